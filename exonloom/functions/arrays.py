@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Odd 64-bit multipliers of the mixing step (public constants of the splitmix64 generator).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -76,3 +77,17 @@ def window_codes(symbols: np.ndarray, width: int, bits: int) -> np.ndarray:
             span *= 2
     out[: total - width + 1] = acc[: total - width + 1]
     return out
+
+
+def row_chunks(batch: pa.RecordBatch, text: int, limit: int = 1 << 20):
+    """Slices of a batch whose text column (by number) holds about `limit` bytes at most; a longer single row is its own slice.
+
+    Bounds the working memory of a task by the longest text, not by the batch size."""
+    col = batch.column(text)
+    if batch.num_rows == 0:
+        return
+    size = np.asarray(pa.compute.binary_length(col).fill_null(0)).astype(np.int64)
+    group = (np.cumsum(size) - size) // limit
+    cut = np.flatnonzero(np.diff(group)) + 1
+    for a, z in zip(np.concatenate([[0], cut]), np.concatenate([cut, [batch.num_rows]])):
+        yield batch.slice(int(a), int(z - a))
