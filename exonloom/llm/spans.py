@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exonloom.functions.arrays import string_bytes, window_codes, window_ok
+from exonloom.functions.arrays import row_chunks, string_bytes, window_codes, window_ok
 from exonloom.functions.symbols import letters
 from exonloom.runtime import join_unique, write_table
 
@@ -54,7 +54,7 @@ def _anchors(classes: DataFrame, block: int, step: int) -> DataFrame:
     """(code, rep, pos) of the windows of `block` symbols at every `step`-th position."""
 
     def run(batches):
-        for b in batches:
+        for b in (c for x in batches for c in row_chunks(x, 1)):
             code, off, bad = _coded(b.column(1))
             rep = b.column(0).to_numpy()
             row = np.repeat(np.arange(len(rep)), np.diff(off))
@@ -75,7 +75,7 @@ def _runs(found: DataFrame, length: int, block: int) -> DataFrame:
     half = length - length // 2
 
     def run(batches):
-        for b in batches:
+        for b in (c for x in batches for c in row_chunks(x, 1)):
             code, off, bad = _coded(b.column(1))
             rep = b.column(0).to_numpy()
             row = np.repeat(np.arange(len(rep)), np.diff(off))
@@ -104,7 +104,7 @@ def _maximal(df: DataFrame, length: int) -> DataFrame:
     """(rep, spans) from (rep, n, seq, starts): overlapping and touching runs are joined; of a copied sequence every run counts."""
 
     def run(batches):
-        for b in batches:
+        for b in (c for x in batches for c in row_chunks(x, 2)):
             rep, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             code, off, bad = _coded(b.column(2))
             row = np.repeat(np.arange(len(rep)), np.diff(off))
