@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exonloom.llm import crosssplit, formatdup, spans
+from exonloom.llm import crosssplit, formatdup, leaks, mixing, neardup, residue, spans, splits
 from exonloom.sources.tables import table
 
 
@@ -39,7 +39,73 @@ def p4_report(spark, sf_dir):
     return crosssplit.overlap_report(d, crosssplit.overlaps(d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_shared_amount, p4_found, p4_report)}
+def p5_found(spark, sf_dir):
+    return neardup.record_pairs(table(spark, sf_dir, "gene_records")).select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+
+
+def p5_groups(spark, sf_dir):
+    return neardup.near_groups(table(spark, sf_dir, "gene_records"))
+
+
+def _positives(spark, sf_dir):
+    return table(spark, sf_dir, "dataset").where("label = 1")
+
+
+def p6_found(spark, sf_dir):
+    return splits.related_groups(_positives(spark, sf_dir)).select("group_id", F.col("id").alias("sample_id"))
+
+
+def p6_assignment(spark, sf_dir):
+    return splits.assign(splits.related_groups(_positives(spark, sf_dir)), table(spark, sf_dir, "split_targets"))
+
+
+def p6_split_report(spark, sf_dir):
+    return splits.split_report(p6_assignment(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+
+
+def p7_found(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_tolerant(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), tolerant_words=20)
+
+
+def p7_leaked_items(spark, sf_dir):
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_mixed_documents(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark, sf_dir):
+    return residue.verdicts(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_reasons(spark, sf_dir):
+    return residue.verdicts(table(spark, sf_dir, "documents"))
+
+
+def p9_open_slots(spark, sf_dir):
+    return residue.open_slots(table(spark, sf_dir, "documents"))
+
+
+def p9_clean_documents(spark, sf_dir):
+    return residue.clean_documents(table(spark, sf_dir, "documents")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_symbols"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_classes, p3_found, p3_shared_amount, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_assignment, p6_split_report,
+        p7_found, p7_tolerant, p7_leaked_items, p8_mixed_documents, p8_shares, p9_found, p9_reasons, p9_open_slots, p9_clean_documents,
+    )
+}
 
 _GENE_CANON = r"""
 WITH c AS (SELECT record_id, regexp_replace(lower(file_name), '[^\p{L}\p{N}]', '', 'g') AS f, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s,
