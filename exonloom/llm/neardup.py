@@ -30,7 +30,7 @@ from exonloom.llm.spans import sequence_classes
 from exonloom.runtime import write_table
 
 #: Hash buckets of the gram counts that make the global order; the only thing that is broadcast.
-RARITY = 1 << 20
+RARITY = 1 << 18
 #: Grams per part, at the lower end of an octave.
 PART = 4
 
@@ -50,7 +50,7 @@ def _grams(col, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(46)).astype(np.int64)
 
 
 def gram_counts(classes: DataFrame, k: int) -> np.ndarray:
@@ -64,9 +64,9 @@ def gram_counts(classes: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    got = classes.select("seq").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(RARITY, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = classes.select("seq").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int32)
+    out[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 31) - 1)
     return out
 
 
