@@ -11,7 +11,6 @@ once per distinct spelling and split; copies come back in at the end."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +72,9 @@ def shingle_counts(texts: DataFrame, k: int, max_q: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    got = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(RARITY, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int32)
+    out[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 31) - 1)
     return out
 
 
