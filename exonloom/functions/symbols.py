@@ -18,12 +18,17 @@ def acgt(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^ACGT]", "")
 
 
+def strip(c: Column) -> Column:
+    """Without whitespace of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def valid_window(c: Column, length: int) -> Column:
-    """The trimmed upper-case window if it has `length` symbols, all of ACGT; else null."""
-    w = F.trim(F.upper(c))
+    """The stripped upper-case window if it has `length` symbols, all of ACGT; else null."""
+    w = strip(F.upper(c))
     return F.when(w.rlike(f"^[ACGT]{{{length}}}$"), w)
 
 
 def base_code(c: Column) -> Column:
     """0..3 for A, C, G, T; -1 for anything else."""
-    return F.instr(F.lit("ACGT"), c) - F.lit(1)
+    return F.position(c, F.lit("ACGT")) - F.lit(1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from exonloom.plans import problem1
+from exonloom.plans import learning, problem1, scoring, sequences
 
-MODULES = [problem1]
+MODULES = [scoring, sequences, learning, problem1]
 
 
 def queries() -> dict:
