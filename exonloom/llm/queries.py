@@ -118,6 +118,26 @@ WITH w AS (SELECT DISTINCT sample_id, split, upper(regexp_replace(win, '^\s+|\s+
 p AS (SELECT a.sample_id AS train_id, b.sample_id AS test_id, levenshtein(a.t, b.t) AS distance FROM w a JOIN w b ON a.split = 'train' AND b.split = 'test'
   AND length(a.t) BETWEEN length(b.t) - 4 AND length(b.t) + 4 WHERE levenshtein(a.t, b.t) <= 4)
 """
+_SPANS = r"""
+WITH c AS (SELECT record_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s FROM gene_records),
+r AS (SELECT record_id, i, substring(s, i, 50) AS w FROM (SELECT record_id, s, unnest(range(1, length(s) - 48)) AS i FROM c WHERE length(s) >= 50)),
+k AS (SELECT w FROM r WHERE regexp_full_match(w, '[ACGT]+') GROUP BY w HAVING count(DISTINCT record_id) > 1),
+h AS (SELECT record_id, i, coalesce(i - lag(i) OVER (PARTITION BY record_id ORDER BY i) > 50, true) AS brk FROM r SEMI JOIN k USING (w)),
+g AS (SELECT record_id, i, sum(brk::INT) OVER (PARTITION BY record_id ORDER BY i) AS grp FROM h),
+sp AS (SELECT record_id, min(i)::INTEGER AS span_start, (max(i) + 49)::INTEGER AS span_end FROM g GROUP BY record_id, grp)
+"""
+_NAME = r"nullif(nullif(nullif(nullif(nullif(trim(upper(regexp_replace({c}, '\s+', ' ', 'g'))), ''), 'UNKNOWN'), 'N/A'), '-'), 'ANONYMOUS')"
+_RELATED = f"""
+WITH RECURSIVE s AS (SELECT DISTINCT sample_id, {_NAME.format(c="gene")} AS g, {_NAME.format(c="submitter")} AS b FROM dataset WHERE label = 1),
+e AS (SELECT sample_id, 'g:' || g AS k FROM s WHERE g IS NOT NULL UNION SELECT sample_id, 'b:' || b FROM s WHERE b IS NOT NULL),
+r AS (SELECT sample_id AS root, k FROM e UNION SELECT r.root, f.k FROM r JOIN e d ON d.k = r.k JOIN e f ON f.sample_id = d.sample_id),
+m AS (SELECT e.sample_id, min(r.root) AS group_id FROM r JOIN e USING (k) GROUP BY 1)
+"""
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+tw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13))
+"""
 ORACLE = {
     "p2_found": _GENE_CANON + "SELECT m AS record_id_a, record_id AS record_id_b FROM (SELECT record_id, min(record_id) OVER (PARTITION BY f, s, a) AS m FROM k) WHERE m <> record_id",
     "p2_classes": _GENE_CANON + "SELECT min(record_id) AS class_id, count(*) AS n_copies, count(DISTINCT (file_name, seq, annot)) AS n_variants FROM k GROUP BY f, s, a",
@@ -126,11 +146,14 @@ ORACLE = {
 n AS (SELECT sample_id, count(*) AS links, count(*) FILTER (distance = 0) AS exact FROM e GROUP BY 1),
 d AS (SELECT sample_id, any_value(split) AS split, any_value(label) AS label, any_value(source) AS source FROM dataset GROUP BY 1)
 SELECT split, label, source, count(*) AS n_samples, sum(links)::BIGINT AS n_pairs, sum(exact)::BIGINT AS n_exact FROM n JOIN d USING (sample_id) GROUP BY ALL""",
-    "p3_found": r"""
+    "p3_found": _SPANS + "SELECT record_id, span_start, span_end FROM sp",
+    "p3_shared_amount": _SPANS + """, n AS (SELECT DISTINCT record_id, length(s)::INTEGER AS n_symbols FROM c WHERE s <> ''), a AS (SELECT record_id, count(*) AS n_spans, sum(span_end - span_start + 1)::BIGINT AS n_shared FROM sp GROUP BY 1)
+SELECT record_id, n_symbols, coalesce(n_spans, 0) AS n_spans, coalesce(n_shared, 0) AS n_shared, coalesce(n_shared, 0) / n_symbols::DOUBLE AS shared_part FROM n LEFT JOIN a USING (record_id)""",
+    "p5_found": r"""
 WITH c AS (SELECT record_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s FROM gene_records),
-r AS (SELECT record_id, i, substring(s, i, 50) AS w FROM (SELECT record_id, s, unnest(range(1, length(s) - 48)) AS i FROM c WHERE length(s) >= 50)),
-k AS (SELECT w FROM r WHERE regexp_full_match(w, '[ACGT]+') GROUP BY w HAVING count(DISTINCT record_id) > 1),
-h AS (SELECT record_id, i, coalesce(i - lag(i) OVER (PARTITION BY record_id ORDER BY i) > 50, true) AS brk FROM r SEMI JOIN k USING (w)),
-g AS (SELECT record_id, i, sum(brk::INT) OVER (PARTITION BY record_id ORDER BY i) AS grp FROM h)
-SELECT record_id, min(i)::INTEGER AS span_start, (max(i) + 49)::INTEGER AS span_end FROM g GROUP BY record_id, grp""",
+g AS (SELECT DISTINCT record_id, substring(s, i, 12) AS g FROM (SELECT record_id, s, unnest(range(1, length(s) - 10)) AS i FROM c WHERE length(s) >= 12)), n AS (SELECT record_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT x.record_id AS a, y.record_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.record_id < y.record_id GROUP BY ALL)
+SELECT a AS record_id_a, b AS record_id_b FROM o JOIN n na ON na.record_id = a JOIN n nb ON nb.record_id = b WHERE o >= 0.6e0 * (na.n + nb.n - o) - 1e-9""",
+    "p6_found": _RELATED + "SELECT coalesce(group_id, sample_id) AS group_id, sample_id FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
+    "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN tw USING (x)",
 }
