@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffle_for(spark: SparkSession, rows: float, per_task: int = 400_000):
+    """Within it, shuffles begin with so many partitions that each holds about `per_task` rows and sorts in memory; adaptive execution
+    still joins small partitions and splits skewed ones. The session's setting comes back afterwards."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    old = spark.conf.get(key, None)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, str(max(least, min(100_000, int(rows / per_task) + 1))))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of `df` with a parquet table in the shared folder and return a DataFrame that reads it.
 
@@ -66,8 +84,9 @@ def join_unique(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> Da
     """Inner join of many `rows` to a `lookup` that is unique in `key`, safe when one key holds a large part of the rows.
 
     `weight` (a column of lookup) says how many rows carry the key. The HOT_KEYS heaviest keys - a constant number, so
-    their list is safe to broadcast - are salted SALTS ways on both sides; the rest is joined as it is. Null keys never match."""
-    hot = lookup.orderBy(F.desc(weight)).limit(HOT_KEYS).where(F.col(weight) > SALTS).select(F.col(key), F.lit(True).alias("_hot"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)).drop("_hot")
+    their list is safe to broadcast - are salted SALTS ways on both sides; the rest is joined as it is. Salts come from the rows'
+    own values, so a task that runs again after a loss makes the same ones. Null keys never match."""
+    hot = lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS).where(F.col(weight) > SALTS).select(F.col(key), F.lit(True).alias("_hot"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     spread = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot", weight)
     return salted.join(spread, [key, "_salt"]).drop("_salt")
