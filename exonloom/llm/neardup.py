@@ -10,8 +10,13 @@ applied again to both sides' remainders. Every pair that meets is verified on th
 So that nodes are told apart by few grams, whatever the number of records, the gram universe is cut by hash into parts of a few
 grams for each record. If J(A, B) >= t over the whole, J >= t holds in at least one part (the sums over the parts give the
 whole), so a search within parts at the same t is exact. The number of parts follows the size of the sets in octaves; a set is
-also registered in the next octave if its partner could lie there. For t > 0.5 two non-trivial parts share two grams at least, so
-the nodes at depth two are the ones that count (depth one for parts of a single gram).
+also registered in the next octave if its partner could lie there. For t > 0.5 two parts of more than one gram share two grams at
+least, so the nodes at depth two are the ones that count.
+
+Parts of a single gram would meet by chance in large collections. They are left out, still exactly: the search within parts runs
+at a slightly lower threshold u < t. If at most a share (t - u) / (1 - u) of a record's grams lies in single-gram parts, then the
+other parts alone cannot all be below u (what the single ones can contribute is less than what the lower threshold gives away).
+Records with a larger share of them - short ones - are registered with their single grams, at depth one.
 
 Copies of one cleaned sequence are collapsed first and come back as members."""
 
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from exonloom.functions.arrays import mix64, row_chunks, string_bytes, window_codes, window_ok
 from exonloom.llm.forest import spanning_forest
 from exonloom.llm.spans import sequence_classes
-from exonloom.runtime import write_table
+from exonloom.runtime import shuffle_for, write_table
 
 #: Hash buckets of the gram counts that make the global order; the only thing that is broadcast.
 RARITY = 1 << 18
@@ -75,14 +80,21 @@ def _least(t: float, a: int) -> int:
     return math.ceil(t * a - 1e-9)
 
 
+def part_threshold(t: float) -> float:
+    """The threshold u within parts for a threshold t over the whole; above 0.5."""
+    return t - min(0.05, (t - 0.5) / 2)
+
+
 def tree_nodes(classes: DataFrame, counts, k: int, t: float) -> DataFrame:
     """(node, rep, info): the nodes at which each set is registered. info packs the size of the whole set, the size of the part and
     the grams that remain after the node."""
     templates: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    u = part_threshold(t)
+    spare = (t - u) / (1 - u)
 
     def template(a: int):
         if a not in templates:
-            need = _least(t, a)
+            need = _least(u, a)
             i, j = np.triu_indices(min(a, a - need + 2), 1)
             keep = i <= a - need
             templates[a] = i[keep], j[keep]
@@ -114,6 +126,11 @@ def tree_nodes(classes: DataFrame, counts, k: int, t: float) -> DataFrame:
                     size = np.diff(np.concatenate([start, [len(g)]]))
                     for a in np.unique(size):
                         at = start[size == a]
+                        if a == 1:
+                            single = np.bincount(r[at], minlength=len(rep))
+                            at = at[(single > spare * n)[r[at]]]
+                            if not len(at):
+                                continue
                         lv = level[r[at]].astype(np.uint64)
                         if a == 1:
                             node, left = mix64(g[at] * c1 + lv), np.zeros(1, np.int64)
@@ -162,13 +179,15 @@ def similar_classes(classes: DataFrame, k: int = 12, t: float = 0.6) -> DataFram
     size = lambda c: F.shiftrightunsigned(F.col(c), 16)
     part = lambda c: F.shiftrightunsigned(F.col(c), 8).bitwiseAND(255)
     rest = lambda c: F.col(c).bitwiseAND(255)
-    depth = F.least(F.lit(2), part("x.info"))
+    depth, u = F.least(F.lit(2), part("x.info")), part_threshold(t)
     meet = x.join(y, F.col("x.node") == F.col("y.node")).where(
         (F.col("x.rep") < F.col("y.rep"))
         & (F.least(size("x.info"), size("y.info")) >= t * F.greatest(size("x.info"), size("y.info")) - 1e-9)
-        & (depth + F.least(rest("x.info"), rest("y.info")) >= t / (1 + t) * (part("x.info") + part("y.info")) - 1e-9)
+        & (depth + F.least(rest("x.info"), rest("y.info")) >= u / (1 + u) * (part("x.info") + part("y.info")) - 1e-9)
     )
-    pairs = write_table(meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "neardup-candidates")
+    symbols = classes.agg(F.sum(F.length("seq"))).first()[0] or 0
+    with shuffle_for(classes.sparkSession, 1.5 * symbols):  # nodes: about 1.5 a symbol
+        pairs = write_table(meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "neardup-candidates")
     full = pairs.join(classes.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(classes.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")
     return _verify(full, k, t)
 
