@@ -120,6 +120,21 @@ def cross_validation(spark, sf_dir):
     return svm.cross_validation(s, DONOR, feature_set=["one_hot", "pwm", "ebn_llr"])
 
 
+def four_way_comparison(spark, sf_dir):
+    """Position model, chain, network and vector classifiers on one test set."""
+    d = _strict(spark, sf_dir)
+    train, test = d.where("split = 'train'"), d.where("split = 'test'")
+    wmm, wam, w = models.wmm_table(train, L), models.wam_tables(train, L), F.col("w")
+    scores = {"WMM": models.wmm_score(w, wmm), "WAM": models.wam_score(w, wam), "BN ebn": models.Network(L, "ebn").fit(train).score(w)}
+    x = test.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("score")) for k, v in scores.items()])).alias("x")).select("x.model", "label", "x.score")
+    blocks = ["one_hot", "pwm", "ebn_llr"]
+    linear = svm.LinearModel(DONOR, blocks).fit(train).transform(test).select(F.lit("SVM linear").alias("model"), "label", "score")
+    ex = features.FeatureExtractor(L, blocks).fit(train)
+    rows = write_table(ex.transform(d).withColumn("grp", F.lit("all")), "four-way")
+    rbf = svm.kernel_scores(rows.where("split = 'train'"), rows.where("split = 'test'"), [svm.Config("SVM rbf")]).select("model", "label", "score")
+    return evaluate.compare(write_table(evaluate.usable(x.unionByName(linear).unionByName(rbf), "model"), "four-way-scores"))
+
+
 def stream_window_rates(spark, sf_dir):
     """The windows table as a stream, counted per site and week; the stream is run to its end."""
     schema = table(spark, sf_dir, "windows").schema
@@ -147,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         onehot_features, kmer2_freq, kmer3_freq, dinuc_pos_features, pwm_features, chi2_pair_features, feature_standardize, combined_features, confusion_metrics, roc_auc_exact, roc_curve, roc_auc_sampled,
-        best_model_markers, svm_linear, top_features, svm_kernel_grid, feature_ablation, cross_validation, stream_window_rates, stream_scores,
+        best_model_markers, svm_linear, top_features, svm_kernel_grid, feature_ablation, cross_validation, four_way_comparison, stream_window_rates, stream_scores,
     )
 }
 

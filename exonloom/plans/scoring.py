@@ -10,7 +10,7 @@ from exonloom.operators.windows import sequences
 from exonloom.plans.sequences import SEQS, strict, strict_windows
 from exonloom.runtime import write_table
 from exonloom.sources.tables import table
-from exonloom.spec import DONOR
+from exonloom.spec import ACCEPTOR, DONOR
 
 L = DONOR.window
 
@@ -174,6 +174,31 @@ def wmm_evaluation(spark, sf_dir):
     return _r(m, "sensitivity", "specificity", "precision", "f1", "mcc", "auc")
 
 
+def wmm_backgrounds(spark, sf_dir):
+    """The position model under each background: raw shares, smoothed shares, uniform."""
+    train = _train(spark, sf_dir)
+    parts = [models.wmm_table(train, L, b).select(F.lit(b).alias("background"), "pos", "base", "log_odds") for b in ("raw", "smoothed", "uniform")]
+    return _r(parts[0].unionByName(parts[1]).unionByName(parts[2]), "log_odds")
+
+
+def acceptor_score(spark, sf_dir):
+    d = write_table(strict_windows(spark, sf_dir, ACCEPTOR), "strict")
+    t = models.wmm_table(d.where("split = 'train'"), ACCEPTOR.window)
+    return _scored(d, lambda w: models.wmm_score(w, t))
+
+
+def bn_summary(spark, sf_dir):
+    m = models.Network(L, "chow-liu").fit(_train(spark, sf_dir))
+    n = spark.createDataFrame([(c, p) for c, ps in enumerate(m.parents) for p in ps], "child int, parent int")
+    return n.agg(F.count("*").alias("n_edges"), F.count_if(F.abs(F.col("child") - F.col("parent")) > 1).alias("n_long_range"))
+
+
+def predictions(spark, sf_dir):
+    """Given scores as 0/1 predictions at threshold 0; scores that are missing or NaN predict nothing."""
+    s = table(spark, sf_dir, "scores").where(F.col("score").isNotNull() & ~F.isnan("score"))
+    return s.select("sample_id", "model_name", "label", (F.col("score") >= 0).cast("int").alias("predicted"))
+
+
 def genome_scan(spark, sf_dir):
     t = models.wmm_table(_train(spark, sf_dir), L)
     s = sequences(table(spark, sf_dir, "gene_records"), "record_id")
@@ -191,7 +216,7 @@ QUERIES = {
     for f in (
         wmm_score, background_freq_raw, background_freq_smoothed, position_freq, wmm_logodds, wam_cond_prob, wam_score, wam_information_content, wam_top_transition, chi2_pairs, dependency_pairs_topk,
         dependency_strength, pair_logodds, depwam_score, joint_smoothed, mutual_information, chowliu_edges, bn_chain_score, bn_chowliu_score, bn_long_range_edges, ebn_parents, ebn_cpt, fixed_network_cpt,
-        ebn_score, model_comparison, wmm_evaluation, genome_scan, scan_context,
+        ebn_score, model_comparison, wmm_evaluation, wmm_backgrounds, acceptor_score, bn_summary, predictions, genome_scan, scan_context,
     )
 }
 
@@ -285,4 +310,12 @@ SELECT 'WMM' AS model, tp, fp, tn, fn, round(sensitivity, 6) AS sensitivity, rou
  round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc, round(auc, 6) AS auc FROM m, a""",
     "genome_scan": f"WITH {_SCAN} SELECT record_id, pos, score, win FROM hs WHERE score >= 1",
     "scan_context": f"WITH {_SCAN} SELECT record_id, pos, substring(s.s, greatest(0, pos - 2) + 1, pos + 5 - greatest(0, pos - 2)) AS context FROM hs JOIN s USING (record_id) WHERE score >= 2",
+    "wmm_backgrounds": f"""WITH {_WMM}, sm AS (SELECT base, (n + 0.5e0) / ((SELECT sum(n) FROM bs) + 2e0) AS f FROM bs)
+SELECT 'raw' AS background, pos, base, round(log_odds, 6) AS log_odds FROM lo UNION ALL SELECT 'smoothed', pos, base, round(ln(p / f), 6) FROM pf JOIN sm USING (base) UNION ALL SELECT 'uniform', pos, base, round(ln(p / 0.25e0), 6) FROM pf""",
+    "acceptor_score": f"""WITH {strict(ACCEPTOR)}, b AS (SELECT base, count(*) / sum(count(*)) OVER () AS f FROM (SELECT substring(w, p::INTEGER, 1) AS base FROM (SELECT w, unnest(range(1, 24)) AS p FROM tn)) GROUP BY 1),
+n AS (SELECT p, substring(w, p::INTEGER, 1) AS base, count(*) AS n FROM (SELECT w, unnest(range(1, 24)) AS p FROM tp) GROUP BY ALL),
+lo AS (SELECT g.p, b.base, ln((coalesce(n, 0) + 0.5e0) / ((SELECT count(*) FROM tp) + 2e0) / greatest(f, 1e-9)) AS v FROM (SELECT unnest(range(1, 24)) AS p) g CROSS JOIN b LEFT JOIN n ON n.p = g.p AND n.base = b.base)
+SELECT label, w, round(sum(v), 6) AS score FROM (SELECT label, w, unnest(range(1, 24)) AS q FROM st WHERE split = 'test') t JOIN lo ON lo.p = t.q AND lo.base = substring(w, t.q::INTEGER, 1) GROUP BY label, w""",
+    "bn_summary": f"WITH RECURSIVE {_TREE} SELECT count(*) AS n_edges, count(*) FILTER (abs(child - parent) > 1) AS n_long_range FROM wk WHERE parent >= 0",
+    "predictions": "SELECT sample_id, model_name, label, (score >= 0)::INTEGER AS predicted FROM scores WHERE score IS NOT NULL AND NOT isnan(score)",
 }

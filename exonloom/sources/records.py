@@ -11,7 +11,7 @@ RANGES = "array<struct<range_start: int, range_end: int>>"
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, value): each *.txt file below a folder (any case of the ending) as one row; unreadable files are skipped. Of names
     equal but for case one is kept: upper-case endings first, then by name."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[tT][xX][tT]").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
+    raw = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, pathGlobFilter="*.[tT][xX][tT]", recursiveFileLookup=True)
     raw = raw.select(F.col("_metadata.file_name").alias("file_name"), "value")
     first = F.struct(F.when(F.col("file_name").endswith(".TXT"), 0).otherwise(1).alias("r"), "file_name", "value")
     return raw.groupBy(F.upper("file_name").alias("k")).agg(F.min(first).alias("x")).select("x.file_name", "x.value")

@@ -31,11 +31,11 @@ def test_canonical_against_brute_force(spark):
 
 def test_interval_windows(spark):
     s = "CAGGTAAGTCCCCCCCCCCCCCCCCCCCCAGG"
-    data = [(1, s, [(1, 3)]), (2, s, [(1, 2)]), (3, s, [(30, 31)]), (4, s, None), (5, s, [(31, 40)]), (6, "GTAAGTCCC", [(0, 0)])]
+    data = [(1, s, [(1, 3)]), (2, s, [(1, 2)]), (3, s, [(30, 31)]), (4, s, None), (5, s, [(32, 40)]), (6, "GTAAGTCCC", [(0, 0)])]
     got = rows(windows.interval_windows(_seqs(spark, data), "record_id", DONOR))
     assert got == [(1, 3, "CAGGTAAGT")]
     acc = rows(windows.interval_windows(_seqs(spark, data), "record_id", ACCEPTOR))
-    assert acc == [(5, 28, s[8:31])]
+    assert acc == [(5, 29, s[9:32])]
 
 
 def test_validation_and_site():
