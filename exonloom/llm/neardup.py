@@ -14,8 +14,8 @@ also registered in the next octave if its partner could lie there. For t > 0.5 t
 least, so the nodes at depth two are the ones that count.
 
 Parts of a single gram would meet by chance in large collections. They are left out, still exactly: the search within parts runs
-at a slightly lower threshold u < t. If at most a share (t - u) / (1 - u) of a record's grams lies in single-gram parts, then the
-other parts alone cannot all be below u (what the single ones can contribute is less than what the lower threshold gives away).
+at a slightly lower threshold u < t. If at most a share (t - u) / (1 - u) of a record's grams lies in single-gram parts, and not
+all do, then the other parts cannot all be below u (what the single ones can contribute is less than what the lower threshold gives away).
 Records with a larger share of them - short ones - are registered with their single grams, at depth one.
 
 Copies of one cleaned sequence are collapsed first and come back as members."""
@@ -128,7 +128,7 @@ def tree_nodes(classes: DataFrame, counts, k: int, t: float) -> DataFrame:
                         at = start[size == a]
                         if a == 1:
                             single = np.bincount(r[at], minlength=len(rep))
-                            at = at[(single > spare * n)[r[at]]]
+                            at = at[((single > spare * n) | (single >= n))[r[at]]]
                             if not len(at):
                                 continue
                         lv = level[r[at]].astype(np.uint64)
