@@ -25,7 +25,7 @@ def onehot_features(spark, sf_dir):
 
 
 def _kmer(spark, sf_dir, k):
-    s = strict_windows(spark, sf_dir)
+    s = strict_windows(spark, sf_dir).select("w").distinct()
     cols = features.kmer_shares(F.col("w"), L, k)
     x = s.select("w", F.explode(F.array(*[F.struct(F.lit(n.split("_")[1]).alias("kmer"), c.alias("share")) for n, c in cols])).alias("x"))
     return x.where("x.share > 0").select("w", "x.kmer", F.round("x.share", 6).alias("share"))
@@ -182,7 +182,7 @@ _PWM = f"{_WMM}, pl AS (SELECT pos, base, ln(greatest(p, 1e-10) / 0.25e0) AS v F
 
 
 def _kmer_sql(k: int) -> str:
-    return f"WITH {strict()} SELECT w, kmer, round(count(*) / {9 - k + 1}e0, 6) AS share FROM (SELECT w, substring(w, p::INTEGER, {k}) AS kmer FROM (SELECT w, unnest(range(1, {9 - k + 2})) AS p FROM st)) GROUP BY ALL"
+    return f"WITH {strict()} SELECT w, kmer, round(count(*) / {9 - k + 1}e0, 6) AS share FROM (SELECT w, substring(w, p::INTEGER, {k}) AS kmer FROM (SELECT w, unnest(range(1, {9 - k + 2})) AS p FROM (SELECT DISTINCT w FROM st))) GROUP BY ALL"
 
 
 ORACLE = {
