@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from exonloom.functions.symbols import acgt, valid_window
 from exonloom.spec import SiteSpec
 
+#: Windows that begin in one piece of a sequence.
+PIECE = 64
+
 
 def sequences(records: DataFrame, id_col: str = "record_id", seq_col: str = "seq") -> DataFrame:
     """(id, s, ranges if there): ACGT only, in upper case; null and empty sequences are left out. Removing N shifts what follows it."""
@@ -15,18 +18,27 @@ def sequences(records: DataFrame, id_col: str = "record_id", seq_col: str = "seq
     return records.select(id_col, acgt(F.col(seq_col)).alias("s"), *keep).where("s <> ''")
 
 
+def _pieces(seqs: DataFrame, id_col: str, length: int) -> DataFrame:
+    """(id, i0, c): each sequence in overlapping pieces, so that every window of `length` lies in one piece; i0 is a piece's 0-based
+    start. Looking into a string costs as much as the way to the place, so windows are cut out of short pieces."""
+    ok = seqs.where(F.length("s") >= length)
+    starts = ok.select(id_col, "s", F.explode(F.when(F.length("s") >= length, F.sequence(F.lit(0), F.length("s") - length, F.lit(PIECE)))).alias("i0"))
+    return starts.select(id_col, "i0", F.col("s").substr(F.col("i0") + 1, F.lit(PIECE + length - 1)).alias("c"))
+
+
 def all_windows(seqs: DataFrame, id_col: str, length: int) -> DataFrame:
     """(id, i, win) of every window of `length` symbols; i is the 0-based start. Shorter sequences have none."""
-    n = F.length("s")
-    starts = F.when(n >= length, F.sequence(F.lit(0), n - length))
-    return seqs.where(n >= length).select(id_col, "s", F.explode(starts).alias("i")).select(id_col, "i", F.col("s").substr(F.col("i") + 1, F.lit(length)).alias("win"))
+    p = _pieces(seqs, id_col, length)
+    w = p.select(id_col, "i0", "c", F.explode(F.sequence(F.lit(0), F.length("c") - length)).alias("k"))
+    return w.select(id_col, (F.col("i0") + F.col("k")).alias("i"), F.col("c").substr(F.col("k") + 1, F.lit(length)).alias("win"))
 
 
 def canonical_windows(seqs: DataFrame, id_col: str, spec: SiteSpec) -> DataFrame:
     """(id, i, win) of the windows whose motif stands at the site's offset. The motif is looked for before any window is cut out."""
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.length("s") - spec.window, F.lit(0))), lambda i: F.col("s").substr(i + spec.offset + 1, F.lit(len(spec.motif))) == spec.motif)
-    ok = seqs.where(F.length("s") >= spec.window)
-    return ok.select(id_col, "s", F.explode(at).alias("i")).select(id_col, "i", F.col("s").substr(F.col("i") + 1, F.lit(spec.window)).alias("win"))
+    p = _pieces(seqs, id_col, spec.window)
+    at = F.filter(F.sequence(F.lit(0), F.length("c") - spec.window), lambda k: F.col("c").substr(k + spec.offset + 1, F.lit(len(spec.motif))) == spec.motif)
+    w = p.select(id_col, "i0", "c", F.explode(at).alias("k"))
+    return w.select(id_col, (F.col("i0") + F.col("k")).alias("i"), F.col("c").substr(F.col("k") + 1, F.lit(spec.window)).alias("win"))
 
 
 def interval_windows(seqs: DataFrame, id_col: str, spec: SiteSpec) -> DataFrame:
