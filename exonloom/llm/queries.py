@@ -154,6 +154,16 @@ WITH c AS (SELECT record_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s
 g AS (SELECT DISTINCT record_id, substring(s, i, 12) AS g FROM (SELECT record_id, s, unnest(range(1, length(s) - 10)) AS i FROM c WHERE length(s) >= 12)), n AS (SELECT record_id, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT x.record_id AS a, y.record_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.record_id < y.record_id GROUP BY ALL)
 SELECT a AS record_id_a, b AS record_id_b FROM o JOIN n na ON na.record_id = a JOIN n nb ON nb.record_id = b WHERE o >= 0.6e0 * (na.n + nb.n - o) - 1e-9""",
+    "p5_groups": r"""
+WITH RECURSIVE c AS (SELECT DISTINCT record_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s FROM gene_records),
+k AS (SELECT min(record_id) AS rep, s, count(*) AS n FROM c WHERE s <> '' GROUP BY s),
+g AS (SELECT DISTINCT rep, substring(s, i, 12) AS g FROM (SELECT rep, s, unnest(range(1, length(s) - 10)) AS i FROM k WHERE length(s) >= 12)), m AS (SELECT rep, count(*) AS m FROM g GROUP BY 1),
+o AS (SELECT x.rep AS a, y.rep AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN m ma ON ma.rep = a JOIN m mb ON mb.rep = b WHERE o >= 0.6e0 * (ma.m + mb.m - o) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS root, rep AS node FROM k UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node),
+f AS (SELECT node AS rep, min(root) AS group_id FROM r GROUP BY 1), d AS (SELECT a AS rep, count(*) AS d FROM e GROUP BY 1)
+SELECT c.record_id, k.rep AS class_id, f.group_id, k.n AS n_copies, coalesce(d.d, 0) AS n_links FROM c JOIN k USING (s) JOIN f ON f.rep = k.rep LEFT JOIN d ON d.rep = k.rep""",
     "p6_found": _RELATED + "SELECT coalesce(group_id, sample_id) AS group_id, sample_id FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
     "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN tw USING (x)",
 }
