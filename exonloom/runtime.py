@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Ways in which the rows of one hot key are split.
 SALTS = 64
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", app: str = "exonloom", **conf: str) -> SparkSession:
@@ -43,6 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor the working directory leads them to it: once per
+    application, a zip of its sources goes to the shared folder and is added to the session's Python files."""
+    root = Path(__file__).resolve().parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(k and Path(k).resolve() == root.parent for k in known):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/exonloom/{root.name}-{uuid.uuid4().hex}.zip")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(target).toString())
+    _shipped.add(app)
+
+
 @contextmanager
 def shuffle_for(spark: SparkSession, rows: float, per_task: int = 400_000):
     """Within it, shuffles begin with so many partitions that each holds about `per_task` rows and sorts in memory; adaptive execution

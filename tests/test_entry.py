@@ -1,5 +1,8 @@
+import zipfile
+
 import __spark_entry__ as e
-from exonloom.runtime import join_unique
+from exonloom.runtime import join_unique, ship_package
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 
@@ -14,3 +17,16 @@ def test_join_unique_with_a_hot_key(spark):
     got = join_unique(r, u, "k", "n")
     assert got.count() == 3000 and got.columns == ["k", "id", "v"] and got.select("id").distinct().count() == 3000
     assert join_unique(r, u.limit(0), "k", "n").count() == 0
+
+
+def test_package_reaches_workers_from_any_folder(spark, monkeypatch, tmp_path):
+    before = set(spark.sparkContext._python_includes)
+    ship_package(spark)  # the working directory leads to the package: nothing to do
+    assert set(spark.sparkContext._python_includes) == before
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    monkeypatch.chdir(tmp_path)
+    for _ in range(2):
+        ship_package(spark)
+    new = set(spark.sparkContext._python_includes) - before
+    assert len(new) == 1
+    assert "exonloom/runtime.py" in zipfile.ZipFile(SparkFiles.get(new.pop())).namelist()
