@@ -1,16 +1,21 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Method: spaced-seed hashing. Fixed masks over SPAN consecutive words ignore selected positions; the hash of the words that a mask
+Method: spaced-seed hashing. A mask keeps some words of a span and ignores those between them; the hash of the words that a mask
 keeps is computed at every position of every document and every test item, and equal hashes are joined. Around each hit the
 document and the item are laid side by side and their overlap is verified word by word, tolerating substitutions: the longest run
-of equal words, and the longest stretch in which no two words in a row differ. Each mask ignores another residue of the
-positions, so a stretch of SPAN words with one word replaced anywhere is still hit.
+of equal words, and the longest stretch in which no two words in a row differ.
+
+In such a stretch the next equal word is one or two words further. A mask is a word of such steps, and GAPS is a set of words of
+which each sequence of 12 steps contains one: any stretch with 13 equal words is hit, wherever its differing words stand. Stretches
+with fewer equal words are found by all words of three steps (or of fewer, for less than four equal words).
 
 The test items are the stated query set. They are hashed in blocks of at most BLOCK_CHARS characters, so that what a block sends
 to the executors has a constant bound however many items there are; the corpus is never shuffled."""
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +25,10 @@ from exonloom.functions.arrays import mix64, row_chunks, string_bytes
 from exonloom.runtime import write_table
 
 SPAN = 13
-#: Positions that each mask ignores (fixed values).
-MASKS = ((0, 4, 8, 12), (1, 5, 9), (2, 6, 10), (3, 7, 11))
+#: Steps between the words that a mask keeps; every sequence of SPAN - 1 steps of 1 or 2 contains one of these.
+GAPS = ("11111", "11112", "12112", "12121", "12122", "12212", "12222", "21111", "21112", "22112", "22212", "22222")
+#: Hits and words that are held at a time.
+HITS = 1 << 20
 BLOCK_CHARS = 16_000_000
 #: Low bits of the hash that a bitmap tests before the exact lookup.
 BITS = 22
@@ -60,82 +67,114 @@ def words(col) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(off, start, side="right") - 1
 
 
-def _coefficients() -> np.ndarray:
-    return mix64(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+def masks(least: int) -> list[np.ndarray]:
+    """Offsets of the words that each mask keeps; together they hit every stretch of at least `least` equal words."""
+    steps = GAPS if least >= SPAN else product("12", repeat=max(0, min(least, 4) - 1))
+    return [np.cumsum([0, *map(int, g)]) for g in steps]
 
 
-def seeds(h: np.ndarray, row: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def seeds(h: np.ndarray, row: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the masked windows that lie within one row."""
-    m = len(h) - SPAN + 1
+    span = int(mask[-1]) + 1
+    m = len(h) - span + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    c = _coefficients()
+    c = mix64(np.arange(1, span + 1, dtype=np.uint64)) | np.uint64(1)
     acc = np.zeros(m, np.uint64)
-    for k in range(SPAN):
-        if k not in mask:
-            acc += h[k : k + m] * c[k]
-    at = np.flatnonzero(row[SPAN - 1 :] == row[:m])
+    for k in mask.tolist():
+        acc += h[k : k + m] * c[k]
+    at = np.flatnonzero(row[span - 1 :] == row[:m])
     return mix64(acc[at]), at
 
 
 class Items:
     """The words of one block of test items and the index of their masked windows."""
 
-    def __init__(self, ids: np.ndarray, h: np.ndarray, row: np.ndarray):
+    def __init__(self, ids: np.ndarray, h: np.ndarray, row: np.ndarray, least: int = SPAN):
         self.ids, self.h = ids, h
         self.begin = np.searchsorted(row, np.arange(len(ids)))
         self.end = np.searchsorted(row, np.arange(len(ids)), side="right")
         self.row = row
         self.index = []
-        for mask in MASKS:
+        for mask in masks(least):
             s, at = seeds(h, row, mask)
             order = np.argsort(s, kind="stable")
             bitmap = np.zeros(1 << BITS, bool)
             bitmap[(s & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-            self.index.append((s[order], at[order], bitmap))
-
-
-def _verified(same: np.ndarray) -> tuple[int, int]:
-    """Longest run of equal words, and equal words in the best stretch without two differing words in a row."""
-    if not same.any():
-        return 0, 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    run = end - begin
-    cut = np.concatenate([[0], np.flatnonzero(begin[1:] - end[:-1] > 1) + 1])
-    return int(run.max()), int(np.add.reduceat(run, cut).max())
-
-
-def _overlaps(h: np.ndarray, row: np.ndarray, items: Items):
+            self.index.append((mask, s[order], at[order], np.packbits(bitmap, bitorder="little")))
+
+
+def _verified(same: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest run of equal words, and equal words in the best stretch without two differing words in a row, of each segment of
+    `same`; first: where the segments begin (none is empty)."""
+    starts = np.zeros(len(same) + 1, bool)
+    starts[first] = starts[-1] = True
+    old = np.concatenate([[False], same[:-1]])
+    begin = np.flatnonzero(same & (starts[:-1] | ~old))
+    end = np.flatnonzero(same & (starts[1:] | ~np.concatenate([same[1:], [False]]))) + 1
+    exact, loose = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    if len(begin):
+        run, seg = end - begin, np.searchsorted(first, begin, side="right") - 1
+        np.maximum.at(exact, seg, run)
+        cut = np.concatenate([[0], np.flatnonzero((begin[1:] - end[:-1] > 1) | (np.diff(seg) > 0)) + 1])
+        np.maximum.at(loose, seg[cut], np.add.reduceat(run, cut))
+    return exact, loose
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct rows, in order."""
+    x = x[np.lexsort(x.T[::-1])]
+    return x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])] if len(x) else x
+
+
+def _measured(diagonals: np.ndarray, h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
+    """(row, item number, exact words, tolerant words) of each document and item among the diagonals (row, item number, offset)."""
+    r, item, d = diagonals.T
+    lo = np.maximum(np.searchsorted(row, r), items.begin[item] + d)
+    n = np.minimum(np.searchsorted(row, r, side="right"), items.end[item] + d) - lo
+    total = np.cumsum(n)
+    exact, loose = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+    a = 0
+    while a < len(r):
+        z = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + HITS, side="right")))
+        first = total[a:z] - n[a:z] - (total[a] - n[a])
+        at = np.arange(n[a:z].sum()) + np.repeat(lo[a:z] - first, n[a:z])
+        exact[a:z], loose[a:z] = _verified(h[at] == items.h[at - np.repeat(d[a:z], n[a:z])], first)
+        a = z
+    return _best(np.stack([r, item, exact, loose], axis=1))
+
+
+def _best(x: np.ndarray) -> np.ndarray:
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)]))
+    return np.concatenate([x[new, :2], np.maximum.reduceat(x[:, 2:], new, axis=0)], axis=1)
+
+
+def _overlaps(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
     """(row, item number, exact words, tolerant words) for each document and item that hit."""
-    found = []
-    for mask, (keys, at, bitmap) in zip(MASKS, items.index):
+    found, some = np.zeros((0, 4), np.int64), np.zeros((0, 3), np.int64)
+    for mask, keys, at, bitmap in items.index:
         s, pos = seeds(h, row, mask)
-        ok = bitmap[(s & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+        low = (s & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        ok = (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & np.uint8(1) > 0
         s, pos = s[ok], pos[ok]
-        lo, hi = np.searchsorted(keys, s), np.searchsorted(keys, s, side="right")
-        n = hi - lo
-        p = np.repeat(pos, n)
-        q = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        found.append(np.stack([row[p], items.row[q], p - q], axis=1))
-    diagonals = np.unique(np.concatenate(found), axis=0)
-    if not len(diagonals):
-        return
-    begin = np.searchsorted(row, diagonals[:, 0])
-    end = np.searchsorted(row, diagonals[:, 0], side="right")
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for (r, item, d), a, z in zip(diagonals.tolist(), begin.tolist(), end.tolist()):
-        lo, hi = max(a, items.begin[item] + d), min(z, items.end[item] + d)
-        exact, loose = _verified(h[lo:hi] == items.h[lo - d : hi - d])
-        old = best.get((r, item), (0, 0))
-        best[r, item] = max(old[0], exact), max(old[1], loose)
-    for (r, item), (exact, loose) in best.items():
-        yield r, item, exact, loose
+        lo = np.searchsorted(keys, s)
+        n = np.searchsorted(keys, s, side="right") - lo
+        total = np.cumsum(n)
+        for f in range(0, int(n.sum()), HITS):
+            k = np.arange(f, min(f + HITS, int(total[-1])))
+            j = np.searchsorted(total, k, side="right")
+            p, q = pos[j], at[lo[j] + k - (total[j] - n[j])]
+            some = _distinct(np.concatenate([some, np.stack([row[p], items.row[q], p - q], axis=1)]))
+            if len(some) > HITS:
+                found, some = _best(np.concatenate([found, _measured(some, h, row, items)])), some[:0]
+    return _best(np.concatenate([found, _measured(some, h, row, items)])) if len(some) else found
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, exact_words, tolerant_words): documents that contain `min_words` (SPAN at least) consecutive words of an
-    item, or, if tolerant_words is given, a stretch of an item with at least so many equal words in which single words may differ.
+    item, or, if tolerant_words is given, a stretch of an item with at least so many equal words in which single words may differ,
+    at whatever spacing. Both columns are the pair's largest; an exact_words under SPAN is that of the stretches that were met.
 
     docs: doc_id, text; items: item_id, text. Words are the runs of a-z and 0-9 of the lower-cased text. Null, empty and short texts
     leak nothing. Rows that occur twice in either table do not repeat in the result."""
@@ -151,16 +190,16 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_wor
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         got = part.toArrow()
         h, row = words(got.column("text")) if got.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sent = spark.sparkContext.broadcast(Items(got.column("item_id").to_numpy(), h, row))
+        sent = spark.sparkContext.broadcast(Items(got.column("item_id").to_numpy(), h, row, min(min_words, tolerant_words or min_words)))
 
         def run(batches, sent=sent):
             block = sent.value
             for b in (c for x in batches for c in row_chunks(x, 1)):
                 ids = b.column(0).to_numpy()
                 h, row = words(b.column(1))
-                rows = [x for x in _overlaps(h, row, block) if x[2] >= min_words or tolerant_words and x[3] >= tolerant_words]
-                if rows:
-                    r, i, exact, loose = (np.array(c, np.int64) for c in zip(*rows))
+                found = _overlaps(h, row, block)
+                r, i, exact, loose = found[(found[:, 2] >= min_words) | (found[:, 3] >= (tolerant_words or np.inf))].T
+                if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(block.ids[i]), pa.array(exact), pa.array(loose)], names=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
         one = docs.mapInArrow(run, "doc_id long, item_id long, exact_words long, tolerant_words long")

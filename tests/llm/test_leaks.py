@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from exonloom.llm import leaks
@@ -74,3 +76,63 @@ def test_report_and_empty(spark):
     assert rows(leaks.leaks(d.limit(0), t)) == [] and rows(leaks.leaks(d, t.limit(0))) == []
     with pytest.raises(ValueError):
         leaks.leaks(d, t, min_words=5)
+
+
+def brute_tolerant(docs, items, least):
+    """Longest run and best stretch over all ways to lay a document beside an item, for pairs that reach `least`."""
+    out = []
+    for i, d in docs:
+        for j, t in items:
+            w, u, best = W(d), W(t), (0, 0)
+            for k in range(-len(u), len(w)):
+                run = loose = missed = 0
+                for a in range(max(0, k), min(len(w), k + len(u))):
+                    if w[a] == u[a - k]:
+                        run, loose, missed = run + 1, loose + 1, 0
+                    else:
+                        run, missed = 0, missed + 1
+                        loose = loose if missed < 2 else 0
+                    best = max(best[0], run), max(best[1], loose)
+            if best[1] >= least:
+                out.append((i, j, best[1]))
+    return sorted(out, key=repr)
+
+
+def test_substitutions_at_any_spacing(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(70))) for i in range(12)]
+    docs = []
+    for i, (_, t) in enumerate(items):
+        for every in range(2, 8):
+            docs.append((100 * i + every, "x " * rng.randint(0, 9) + " ".join("zz" if k % every == 1 else w for k, w in enumerate(W(t)))))
+        w = W(t)[:60]
+        for k in range(1, 60):
+            if w[k - 1] != "zz" and rng.random() < 0.5:
+                w[k] = "zz"
+        docs.append((100 * i + 10, " ".join(w)))
+        docs.append((100 * i + 11, " ".join("zz" if k % 3 else x for k, x in enumerate(W(t)))))  # two in a row
+    d, t = frames(spark, docs, items)
+    for least in (20, 5, 2):
+        want = brute_tolerant(docs, items, least)
+        assert {x[0] % 100 for x in want} >= set(range(2, 8))
+        assert rows(leaks.leaks(d, t, tolerant_words=least).select("doc_id", "item_id", "tolerant_words")) == want
+
+
+def test_masks_hit_every_sequence_of_steps():
+    for least in (1, 2, 3, 4, 12, 13, 20):
+        kept = ["".join(map(str, m[1:] - m[:-1])) for m in leaks.masks(least)]
+        n = min(least, 13) - 1
+        for code in range(1 << n):
+            steps = "".join("12"[code >> k & 1] for k in range(n))
+            assert any(g in steps for g in kept)
+
+
+def test_many_hits_are_held_in_parts(monkeypatch):
+    docs, items = make()
+    items = [x for x in items if x[1]]
+    found = []
+    for hits in (1 << 20, 7):
+        monkeypatch.setattr(leaks, "HITS", hits)
+        block = leaks.Items(np.arange(len(items)), *leaks.words(pa.array([x for _, x in items])))
+        found.append(leaks._overlaps(*leaks.words(pa.array([x for _, x in docs])), block))
+    assert len(found[0]) > 30 and (found[0] == found[1]).all()
