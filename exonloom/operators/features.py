@@ -13,6 +13,8 @@ from exonloom.operators import models, stats
 from exonloom.spec import DEPENDENCY_THRESHOLD, MAX_PAIRS, MAX_PARENTS
 
 ALL_FEATURES = ("one_hot", "kmer2", "kmer3", "dinuc_pos", "pwm", "chi2_pairs", "ebn_llr")
+#: Those that don't depend on the training data.
+UNFITTED = ("one_hot", "kmer2", "kmer3", "dinuc_pos")
 #: Feature sets of the ablation (name, features).
 ABLATION = (
     ("One-hot only", ("one_hot",)), ("k-mer (2+3)", ("kmer2", "kmer3")), ("Dinuc positional", ("dinuc_pos",)), ("PWM log-odds", ("pwm",)), ("Chi2 dependency pairs", ("chi2_pairs",)),

@@ -181,16 +181,20 @@ def ablation(s: DataFrame, spec: SiteSpec, max_rows: int = MAX_ROWS) -> DataFram
 
 def cross_validation(s: DataFrame, spec: SiteSpec, k: int = 5, config: Config = Config("rbf"), feature_set="combined", max_rows: int = MAX_ROWS) -> DataFrame:
     """Mean and population deviation of AUC, MCC and F1 over k stratified folds; the features are fitted anew on each fold's training part."""
-    f = write_table(folds(s, k), "cv-folds")
-    train, test = [], []
+    names = features.FeatureExtractor(spec.window, feature_set).features
+    fixed = features.FeatureExtractor(spec.window, [x for x in names if x in features.UNFITTED]).fit(s)
+    f = write_table(fixed.transform(folds(s, k)).withColumn("fixed", F.col("features").cast("array<double>")).drop("features"), "cv-folds")
+    parts = []
     for i in range(k):
-        ex = features.FeatureExtractor(spec.window, feature_set).fit(f.where(f"fold <> {i}"))
-        train.append(_grouped(f.where(f"fold <> {i}"), ex, str(i)))
-        test.append(_grouped(f.where(f"fold = {i}"), ex, str(i)))
-    for x in (train, test):
-        for p in x[1:]:
-            x[0] = x[0].unionByName(p)
-    got = write_table(kernel_scores(train[0], test[0], [config], max_rows), "cv-scores")
+        train, test = (f.where(f"fold {x} {i}").withColumn("grp", F.lit(str(i))).withColumn("train", F.lit(x == "<>")) for x in ("<>", "="))
+        ex = features.FeatureExtractor(spec.window, [x for x in names if x not in features.UNFITTED]).fit(train)
+        rows = _sampled(train, ["grp"], max_rows).unionByName(test)  # kernel_scores takes the same sample
+        parts.append(ex.transform(rows).withColumn("features", F.concat("fixed", F.col("features").cast("array<double>"))).drop("fixed"))
+    data = parts[0]
+    for p in parts[1:]:
+        data = data.unionByName(p)
+    data = write_table(data, "cv-rows")
+    got = write_table(kernel_scores(data.where("train"), data.where("not train"), [config], max_rows), "cv-scores")
     rows = evaluate.usable(got, "grp")
     per = evaluate.confusion(rows).join(evaluate.roc_auc(rows), "model")
     return per.agg(*[F.avg(m).alias(f"{m}_mean") for m in ("auc", "mcc", "f1")], *[F.stddev_pop(m).alias(f"{m}_std") for m in ("auc", "mcc", "f1")], F.count("*").alias("n_folds"))

@@ -117,7 +117,7 @@ def feature_ablation(spark, sf_dir):
 
 def cross_validation(spark, sf_dir):
     s = _strict(spark, sf_dir).where("split = 'train'").select("label", "w")
-    return svm.cross_validation(s, DONOR, feature_set=["one_hot", "pwm", "ebn_llr"])
+    return svm.cross_validation(s, DONOR)
 
 
 def four_way_comparison(spark, sf_dir):
