@@ -210,11 +210,14 @@ class LinearModel:
         self.weights: list[float] | None = None
 
     def fit(self, train: DataFrame) -> "LinearModel":
+        self.extractor.fit(train)
+        return self.fit_rows(write_table(self.extractor.transform(train.select("label", "w")), "linear-rows"))
+
+    def fit_rows(self, data: DataFrame) -> "LinearModel":
+        """Fit on rows (label, features) that a fitted extractor has made; they are read several times."""
         from pyspark.ml.classification import LinearSVC
         from pyspark.ml.functions import array_to_vector
 
-        self.extractor.fit(train)
-        data = write_table(self.extractor.transform(train.select("label", "w")), "linear-rows")
         m = {r.k: (r.mean, r.sd) for r in features.moments(data, 0).collect()}
         self.moments = [m[k] for k in sorted(m)]
         n = {r.label: r.n for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -229,7 +232,11 @@ class LinearModel:
         """df with `score`; a plain expression over the features."""
         if self.weights is None:
             raise RuntimeError("call fit() first")
-        x = features.standardize(self.extractor.transform(df, win_col), self.moments)
+        return self.score_rows(self.extractor.transform(df, win_col))
+
+    def score_rows(self, df: DataFrame) -> DataFrame:
+        """Rows with `features`, with `score` in their place."""
+        x = features.standardize(df, self.moments)
         dot = F.aggregate(F.zip_with("features", F.array(*[F.lit(v) for v in self.weights]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return x.withColumn("score", dot + self.bias).drop("features")
 

@@ -127,11 +127,11 @@ def four_way_comparison(spark, sf_dir):
     wmm, wam, w = models.wmm_table(train, L), models.wam_tables(train, L), F.col("w")
     scores = {"WMM": models.wmm_score(w, wmm), "WAM": models.wam_score(w, wam), "BN ebn": models.Network(L, "ebn").fit(train).score(w)}
     x = test.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("score")) for k, v in scores.items()])).alias("x")).select("x.model", "label", "x.score")
-    blocks = ["one_hot", "pwm", "ebn_llr"]
-    linear = svm.LinearModel(DONOR, blocks).fit(train).transform(test).select(F.lit("SVM linear").alias("model"), "label", "score")
-    ex = features.FeatureExtractor(L, blocks).fit(train)
+    ex = features.FeatureExtractor(L).fit(train)
     rows = write_table(ex.transform(d).withColumn("grp", F.lit("all")), "four-way")
-    rbf = svm.kernel_scores(rows.where("split = 'train'"), rows.where("split = 'test'"), [svm.Config("SVM rbf")]).select("model", "label", "score")
+    known, unseen = rows.where("split = 'train'"), rows.where("split = 'test'")
+    linear = svm.LinearModel(DONOR).fit_rows(known).score_rows(unseen).select(F.lit("SVM linear").alias("model"), "label", "score")
+    rbf = svm.kernel_scores(known, unseen, [svm.Config("SVM rbf")]).select("model", "label", "score")
     return evaluate.compare(write_table(evaluate.usable(x.unionByName(linear).unionByName(rbf), "model"), "four-way-scores"))
 
 

@@ -41,3 +41,14 @@ def test_cross_validation_uses_all_features(spark, strict, solved):
     assert _features(held) == _features(ex.transform(held.select("label", "w")))
     assert fold.join(held, "w").count() == 0 and fold.count() + held.count() == strict.where("split = 'train'").count()
     assert test.count() == strict.where("split = 'train'").count()
+
+
+def test_four_way_comparison_uses_all_features(spark, strict, solved, monkeypatch):
+    linear, plain = [], svm.LinearModel.score_rows
+    monkeypatch.setattr(svm.LinearModel, "score_rows", lambda self, df: linear.append(self) or plain(self, df))
+    got = learning.four_way_comparison(spark, "").collect()
+    assert {r.model for r in got} == {"WMM", "WAM", "BN ebn", "SVM linear", "SVM rbf"}
+    (train, test), = solved
+    names = features.FeatureExtractor(9).fit(strict.where("split = 'train'")).feature_names
+    assert {len(r.features) for r in train.unionByName(test).collect()} == {len(names)} == {len(linear[0].weights)}
+    assert any(n.startswith("chi2_pair") for n in names) and train.count() + test.count() == strict.count()
