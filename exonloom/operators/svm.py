@@ -133,8 +133,14 @@ def kernel_scores(train: DataFrame, test: DataFrame, configs: list[Config], max_
         return pd.DataFrame([{"name": c["name"], "grp": c["grp"], "kernel": c["kernel"], "degree": int(c["degree"]), "gamma": gamma, "bias": bias, "pa": a, "pb": b, "mean": mean, "sd": sd, "coef": (alpha * y)[sv], "sv": x[sv].ravel(), "n_rows": len(y)}])
 
     schema = "name string, grp string, kernel string, degree int, gamma double, bias double, pa double, pb double, mean array<double>, sd array<double>, coef array<double>, sv array<double>, n_rows long"
-    fitted = {(r.name, r.grp): r for r in rows.groupBy("name", "grp").applyInPandas(solve, schema).collect()}  # configurations x max_rows support vectors at most
-    sent = spark.sparkContext.broadcast({k: (r.kernel, r.degree, r.gamma, r.bias, r.pa, r.pb, np.array(r["mean"]), np.array(r.sd), np.array(r.coef), np.array(r.sv).reshape(len(r.coef), -1) if len(r.coef) else np.zeros((0, len(r.sd)))) for k, r in fitted.items()})
+    # configurations x max_rows support vectors at most; as Arrow, because lists of floats take several times the memory
+    got = rows.groupBy("name", "grp").applyInPandas(solve, schema).toArrow()
+    fitted = {}
+    for k in range(got.num_rows):
+        one = {c: got.column(c)[k] for c in got.column_names}
+        mean, sd, coef, sv = (one[c].values.to_numpy() for c in ("mean", "sd", "coef", "sv"))
+        fitted[one["name"].as_py(), one["grp"].as_py()] = (*(one[c].as_py() for c in ("kernel", "degree", "gamma", "bias", "pa", "pb")), mean, sd, coef, sv.reshape(len(coef), len(sd)))
+    sent = spark.sparkContext.broadcast(fitted)
 
     def score(batches):
         for p in batches:
@@ -189,11 +195,10 @@ def cross_validation(s: DataFrame, spec: SiteSpec, k: int = 5, config: Config =
         train, test = (f.where(f"fold {x} {i}").withColumn("grp", F.lit(str(i))).withColumn("train", F.lit(x == "<>")) for x in ("<>", "="))
         ex = features.FeatureExtractor(spec.window, [x for x in names if x not in features.UNFITTED]).fit(train)
         rows = _sampled(train, ["grp"], max_rows).unionByName(test)  # kernel_scores takes the same sample
-        parts.append(ex.transform(rows).withColumn("features", F.concat("fixed", F.col("features").cast("array<double>"))).drop("fixed"))
+        parts.append(write_table(ex.transform(rows).withColumn("features", F.concat("fixed", F.col("features").cast("array<double>"))).drop("fixed"), "cv-rows"))
     data = parts[0]
     for p in parts[1:]:
         data = data.unionByName(p)
-    data = write_table(data, "cv-rows")
     got = write_table(kernel_scores(data.where("train"), data.where("not train"), [config], max_rows), "cv-scores")
     rows = evaluate.usable(got, "grp")
     per = evaluate.confusion(rows).join(evaluate.roc_auc(rows), "model")
