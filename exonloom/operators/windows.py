@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from exonloom.functions.symbols import acgt, valid_window
 from exonloom.spec import SiteSpec
 
-#: Windows that begin in one piece of a sequence.
-PIECE = 64
+#: Windows that begin in one chunk of a sequence.
+CHUNK = 1 << 16
+#: Symbols beyond which the chunks of one sequence are spread over tasks.
+LONG = 1 << 20
 
 
 def sequences(records: DataFrame, id_col: str = "record_id", seq_col: str = "seq") -> DataFrame:
@@ -18,27 +20,48 @@ def sequences(records: DataFrame, id_col: str = "record_id", seq_col: str = "seq
     return records.select(id_col, acgt(F.col(seq_col)).alias("s"), *keep).where("s <> ''")
 
 
-def _pieces(seqs: DataFrame, id_col: str, length: int) -> DataFrame:
-    """(id, i0, c): each sequence in overlapping pieces, so that every window of `length` lies in one piece; i0 is a piece's 0-based
-    start. Looking into a string costs as much as the way to the place, so windows are cut out of short pieces."""
-    ok = seqs.where(F.length("s") >= length)
-    starts = ok.select(id_col, "s", F.explode(F.when(F.length("s") >= length, F.sequence(F.lit(0), F.length("s") - length, F.lit(PIECE)))).alias("i0"))
-    return starts.select(id_col, "i0", F.col("s").substr(F.col("i0") + 1, F.lit(PIECE + length - 1)).alias("c"))
+def chunks(seqs: DataFrame, id_col: str, length: int, before: int = 0, after: int = 0) -> DataFrame:
+    """(id, i0, k0, b): each sequence as bytes in overlapping chunks, so that every window of `length`, with `before` and `after` symbols
+    around it, lies in one; i0 is the 0-based start of the chunk's own windows in the sequence, k0 their start in the chunk.
 
+    Sequences are ASCII. A place in bytes is found at once, while looking into a string costs the way from its start, so the work is
+    linear in the symbols. Chunks of sequences over LONG symbols are spread over tasks; the others stay where they are read."""
+    ok = seqs.select(id_col, F.col("s").cast("binary").alias("s")).where(F.length("s") >= length)
+
+    def cut(x: DataFrame) -> DataFrame:
+        at = x.select(id_col, "s", F.explode(F.when(F.length("s") >= length, F.sequence(F.lit(0), F.length("s") - length, F.lit(CHUNK)))).alias("i0"))
+        k0 = F.least(F.col("i0"), F.lit(before))
+        return at.select(id_col, "i0", k0.alias("k0"), F.substring("s", F.col("i0") - k0 + 1, k0 + CHUNK + length - 1 + after).alias("b"))
+
+    spread = cut(ok.where(F.length("s") > LONG)).repartition(id_col, "i0")
+    return cut(ok.where(F.length("s") <= LONG)).unionByName(spread)
 
-def all_windows(seqs: DataFrame, id_col: str, length: int) -> DataFrame:
-    """(id, i, win) of every window of `length` symbols; i is the 0-based start. Shorter sequences have none."""
-    p = _pieces(seqs, id_col, length)
-    w = p.select(id_col, "i0", "c", F.explode(F.sequence(F.lit(0), F.length("c") - length)).alias("k"))
-    return w.select(id_col, (F.col("i0") + F.col("k")).alias("i"), F.col("c").substr(F.col("k") + 1, F.lit(length)).alias("win"))
 
+def _starts(c: DataFrame, id_col: str, length: int, after: int) -> DataFrame:
+    """One row per window of a chunk; k is its start in the chunk."""
+    last = F.least(F.col("k0") + CHUNK - 1, F.length("b") - length)  # the last chunk may be short of `after`
+    return c.select(id_col, "i0", "k0", "b", F.explode(F.when(last >= F.col("k0"), F.sequence(F.col("k0"), last))).alias("k"))
 
-def canonical_windows(seqs: DataFrame, id_col: str, spec: SiteSpec) -> DataFrame:
-    """(id, i, win) of the windows whose motif stands at the site's offset. The motif is looked for before any window is cut out."""
-    p = _pieces(seqs, id_col, spec.window)
-    at = F.filter(F.sequence(F.lit(0), F.length("c") - spec.window), lambda k: F.col("c").substr(k + spec.offset + 1, F.lit(len(spec.motif))) == spec.motif)
-    w = p.select(id_col, "i0", "c", F.explode(at).alias("k"))
-    return w.select(id_col, (F.col("i0") + F.col("k")).alias("i"), F.col("c").substr(F.col("k") + 1, F.lit(spec.window)).alias("win"))
+
+def all_windows(seqs: DataFrame, id_col: str, length: int) -> DataFrame:
+    """(id, i, win) of every window of `length` symbols; i is the 0-based start. Shorter sequences have none."""
+    w = _starts(chunks(seqs, id_col, length), id_col, length, 0)
+    return w.select(id_col, (F.col("i0") + F.col("k") - F.col("k0")).alias("i"), F.substring("b", F.col("k") + 1, F.lit(length)).cast("string").alias("win"))
+
+
+def canonical_windows(seqs: DataFrame, id_col: str, spec: SiteSpec, context: tuple[int, int] | None = None) -> DataFrame:
+    """(id, i, win) of the windows whose motif stands at the site's offset; with context = (a, z) also `context`, the symbols from a
+    before the motif to z after its first symbol (exclusive), cut at the sequence's ends. The motif is looked for before any window is
+    cut out."""
+    a, z = context or (0, 0)
+    before, after = max(0, a - spec.offset), max(0, z - (spec.window - spec.offset))
+    w = _starts(chunks(seqs, id_col, spec.window, before, after), id_col, spec.window, after)
+    w = w.where(F.substring("b", F.col("k") + spec.offset + 1, F.lit(len(spec.motif))) == F.lit(spec.motif.encode()))
+    cols = [F.col(id_col), (F.col("i0") + F.col("k") - F.col("k0")).alias("i"), F.substring("b", F.col("k") + 1, F.lit(spec.window)).cast("string").alias("win")]
+    if context:
+        first = F.greatest(F.lit(0), F.col("k") + spec.offset - a)
+        cols.append(F.substring("b", first + 1, F.col("k") + spec.offset + z - first).cast("string").alias("context"))
+    return w.select(*cols)
 
 
 def interval_windows(seqs: DataFrame, id_col: str, spec: SiteSpec) -> DataFrame:

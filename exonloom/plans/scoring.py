@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exonloom.operators import evaluate, models, stats
-from exonloom.operators.scan import scan, with_context
+from exonloom.operators.scan import scan
 from exonloom.operators.windows import sequences
 from exonloom.plans.sequences import SEQS, strict, strict_windows
 from exonloom.runtime import write_table
@@ -199,16 +199,18 @@ def predictions(spark, sf_dir):
     return s.select("sample_id", "model_name", "label", (F.col("score") >= 0).cast("int").alias("predicted"))
 
 
-def genome_scan(spark, sf_dir):
+def _scan(spark, sf_dir, threshold, context=None):
     t = models.wmm_table(_train(spark, sf_dir), L)
     s = sequences(table(spark, sf_dir, "gene_records"), "record_id")
-    return _r(scan(s, "record_id", DONOR, lambda w: F.round(models.wmm_score(w, t), 6), 1.0), "score")
+    return scan(s, "record_id", DONOR, lambda w: F.round(models.wmm_score(w, t), 6), threshold, context)
+
+
+def genome_scan(spark, sf_dir):
+    return _r(_scan(spark, sf_dir, 1.0), "score")
 
 
 def scan_context(spark, sf_dir):
-    s = sequences(table(spark, sf_dir, "gene_records"), "record_id")
-    hits = genome_scan(spark, sf_dir).where("score >= 2.0")
-    return with_context(hits, s, "record_id").select("record_id", "pos", "context")
+    return _scan(spark, sf_dir, 2.0, (2, 5)).select("record_id", "pos", "context")
 
 
 QUERIES = {

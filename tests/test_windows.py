@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,25 @@ def test_sampled_negatives(spark):
     assert {r.win for r in split.sampled_negatives(w, x, 2).collect()} == {"B", "C"}
     with pytest.raises(RuntimeError):
         split.sampled_negatives(w, x, 3)
+
+
+def test_long_sequences_are_spread_and_keep_their_context(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, 8, 9, 10, 63, 64, 65, 300, 1000, 1003))]
+    df = spark.createDataFrame(data, "record_id long, s string")
+    want = sorted((i, k, s[k : k + 9], s[max(0, k - 2) : k + 3 + 11]) for i, s in data for k in range(len(s) - 8) if s[k + 3 : k + 5] == "GT")
+    for chunk, long in ((1 << 16, 1 << 20), (16, 200), (7, 10)):
+        monkeypatch.setattr(windows, "CHUNK", chunk)
+        monkeypatch.setattr(windows, "LONG", long)
+        assert sorted(tuple(x) for x in windows.canonical_windows(df, "record_id", DONOR, (5, 11)).collect()) == want
+        assert windows.all_windows(df, "record_id", 9).count() == sum(max(0, len(s) - 8) for _, s in data)
+
+
+def test_work_is_linear_in_the_symbols(spark):
+    took = {}
+    for n in (1_000_000, 10_000_000):
+        s = windows.sequences(spark.range(1).select("id", F.expr(f"repeat('ACGTTGACGG', {n // 10})").alias("seq")), "id")
+        began = time.time()
+        assert windows.canonical_windows(s, "id", DONOR).count() == n // 10 - 1
+        took[n] = time.time() - began
+    assert took[10_000_000] < min(20, 20 * took[1_000_000] + 5)
