@@ -4,12 +4,14 @@ A block is a list of (name, column) pairs over the window column, so that a feat
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.operators import models, stats
+from exonloom.runtime import write_table
 from exonloom.spec import DEPENDENCY_THRESHOLD, MAX_PAIRS, MAX_PARENTS
 
 ALL_FEATURES = ("one_hot", "kmer2", "kmer3", "dinuc_pos", "pwm", "chi2_pairs", "ebn_llr")
@@ -35,11 +37,14 @@ def one_hot(win: Column, length: int) -> list[tuple[str, Column]]:
     return [(f"oh_pos{i}_{b}", _flag(win.substr(i + 1, 1) == b)) for i in range(length) for b in stats.BASES]
 
 
-def kmer_shares(win: Column, length: int, k: int) -> list[tuple[str, Column]]:
-    """Share of each k-mer among the window's valid k-mers (overlapping)."""
-    all_ = F.filter(F.transform(F.sequence(F.lit(1), F.lit(length - k + 1)), lambda i: win.substr(i, F.lit(k))), lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))
-    share = lambda m: F.when(F.size(all_) > 0, F.size(F.filter(all_, lambda x: x == m)) / F.size(all_)).otherwise(0.0)
-    return [(f"k{k}_{m}", share(m)) for m in kmers(k)]
+def kmer_block(win: Column, length: int, k: int) -> Column:
+    """Share of each k-mer among the window's valid k-mers (overlapping), as one array in the order of kmers(k). The codes of the
+    window's k-mers are made once and counted from there."""
+    digit = lambda i, j: F.position(win.substr(i + (j + 1), F.lit(1)), F.lit("ACGT"))  # noqa: E731  (0 outside ACGT)
+    code = lambda i: F.when(reduce(lambda a, b: a & b, [digit(i, j) > 0 for j in range(k)]), sum(((digit(i, j) - 1) * 4 ** (k - 1 - j) for j in range(k)), F.lit(0)))
+    codes = F.array(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(length - k)), code)))  # in a list of one, so that it is bound once
+    shares = lambda c: F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda m: F.when(F.size(c) > 0, F.size(F.filter(c, lambda x: x == m)) / F.size(c)).otherwise(0.0))
+    return F.get(F.transform(codes, shares), F.lit(0))
 
 
 def dinucleotides(win: Column, length: int, pairs: list[tuple[int, int]] | None = None, name: str = "dn_pos{i}_{ab}") -> list[tuple[str, Column]]:
@@ -61,49 +66,60 @@ class FeatureExtractor:
         self.fitted = False
 
     def fit(self, train: DataFrame) -> "FeatureExtractor":
+        """Pairs are counted once for dependent pairs and network alike."""
         pos = train.where("label = 1").select("w")
         models.require_positives(pos)
         if "ebn_llr" in self.features and train.where("label = 0").isEmpty():
             raise ValueError("'ebn_llr' needs negative windows")
         self.pwm = {(r.pos, r.base): r.log_odds for r in models.wmm_table(train, self.length, "uniform").collect()} if "pwm" in self.features else {}
         self.pairs: list[tuple[int, int]] = []
+        chi2 = write_table(stats.chi2_pairs(stats.pair_counts(pos, self.length)), "chi2") if {"chi2_pairs", "ebn_llr"} & set(self.features) else None
         if "chi2_pairs" in self.features:
-            chosen = stats.dependency_pairs(stats.chi2_pairs(stats.pair_counts(pos, self.length)), self.threshold, max(0, self.max_pairs))
+            chosen = stats.dependency_pairs(chi2, self.threshold, max(0, self.max_pairs))
             self.pairs = [(r.i, r.j) for r in chosen.orderBy("rank").collect()]
-        self.network = models.Network(self.length, "ebn", self.threshold, self.max_parents).fit(train) if "ebn_llr" in self.features else None
+        self.network = models.Network(self.length, "ebn", self.threshold, self.max_parents).fit(train, chi2=chi2) if "ebn_llr" in self.features else None
         self.fitted = True
         return self
 
-    def columns(self, win: Column) -> list[tuple[str, Column]]:
+    def _blocks(self, win: Column) -> list[tuple[list[str], Column]]:
+        """Names and array of each block."""
         if not self.fitted:
             raise RuntimeError("call fit() first")
-        out: list[tuple[str, Column]] = []
+        out = []
         for f in self.features:
+            if f in ("kmer2", "kmer3"):
+                k = int(f[-1])
+                out.append(([f"k{k}_{m}" for m in kmers(k)], kmer_block(win, self.length, k)))
+                continue
             if f == "one_hot":
-                out += one_hot(win, self.length)
-            elif f in ("kmer2", "kmer3"):
-                out += kmer_shares(win, self.length, int(f[-1]))
+                one = one_hot(win, self.length)
             elif f == "dinuc_pos":
-                out += dinucleotides(win, self.length)
+                one = dinucleotides(win, self.length)
             elif f == "pwm":
-                out += [(f"pwm_pos{i}", F.get(F.array(*[F.lit(self.pwm[i, b]) for b in stats.BASES]), models.code(win, i))) for i in range(self.length)]
+                one = [(f"pwm_pos{i}", F.get(F.array(*[F.lit(self.pwm[i, b]) for b in stats.BASES]), models.code(win, i))) for i in range(self.length)]
             elif f == "chi2_pairs":
-                out += dinucleotides(win, self.length, self.pairs, "chi2_pair_{i}_{j}_{ab}")
+                one = dinucleotides(win, self.length, self.pairs, "chi2_pair_{i}_{j}_{ab}")
             else:  # negatives minus positives, the other way round than the network's score
-                out.append(("ebn_llr_false_vs_true", -self.network.score(win)))
+                one = [("ebn_llr_false_vs_true", -self.network.score(win))]
+            if one:
+                out.append(([n for n, _ in one], F.array(*[c.cast("double") for _, c in one])))
         return out
 
     @property
     def feature_names(self) -> list[str]:
-        return [n for n, _ in self.columns(F.col("w"))]
+        return [n for names, _ in self._blocks(F.col("w")) for n in names]
 
     @property
     def feature_dim(self) -> int:
         return len(self.feature_names)
 
+    def array(self, win: Column) -> Column:
+        """The feature vector of a window."""
+        return F.concat(F.array().cast("array<double>"), *[c for _, c in self._blocks(win)])
+
     def transform(self, df: DataFrame, win_col: str = "w") -> DataFrame:
         """df with `features`, an array of doubles."""
-        return df.withColumn("features", F.array(*[c.cast("double") for _, c in self.columns(F.col(win_col))]))
+        return df.withColumn("features", self.array(F.col(win_col)))
 
 
 def moments(df: DataFrame, dim: int) -> DataFrame:

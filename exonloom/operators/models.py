@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import deque
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ def _total(parts: list[Column]) -> Column:
     return out
 
 
+def exact_length(win: Column, length: int) -> Column:
+    """The window itself; the job fails with a message if its length differs. Null stays null."""
+    return F.when(F.length(win) != length, F.raise_error(F.concat(F.lit(f"window of {length} symbols expected, got "), win)).cast("string")).otherwise(win)
+
+
 def _split(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     return train.where("label = 1").select("w"), train.where("label = 0").select("w")
 
@@ -51,10 +57,7 @@ def wmm_table(train: DataFrame, length: int, bg: str = "raw") -> DataFrame:
     """(pos, base, p, bg, log_odds) from (label, w). bg: 'raw' (shares in the negatives), 'smoothed' (0.5 added), 'uniform'."""
     pos, neg = _split(train)
     freq = stats.position_freq(pos, length)
-    if bg == "uniform":
-        b = stats.grid(train.sparkSession, 1).select("base", F.lit(0.25).alias("freq"))
-    else:
-        b = stats.background(neg, pseudo={"raw": 0.0, "smoothed": 0.5}[bg])
+    b = _background(neg, bg)
     floor = FLOOR if bg == "raw" else 1e-10
     t = freq.join(F.broadcast(b), "base")
     return t.select("pos", "base", "p", F.col("freq").alias("bg"), F.ln(F.greatest("p", F.lit(floor)) / F.greatest("freq", F.lit(floor))).alias("log_odds"))
@@ -72,11 +75,18 @@ def wmm_score(win: Column, table: DataFrame) -> Column:
 # -- first-order chain -------------------------------------------------------------------------------------------------------
 
 
-def wam_tables(train: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(first, cond, bg): symbol shares at position 0, conditional shares after it, and the zero-order background of the negatives."""
+def _background(neg: DataFrame, bg: str) -> DataFrame:
+    """'raw' (shares in the negatives), 'smoothed' (0.5 added) or 'uniform'."""
+    if bg == "uniform":
+        return stats.grid(neg.sparkSession, 1).select("base", F.lit(0.25).alias("freq"))
+    return stats.background(neg, pseudo={"raw": 0.0, "smoothed": 0.5}[bg])
+
+
+def wam_tables(train: DataFrame, length: int, bg: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first, cond, bg): symbol shares at position 0, conditional shares after it, and the zero-order background as in wmm_table."""
     pos, neg = _split(train)
     require_positives(pos)
-    return stats.position_freq(pos, length).where("pos = 0"), stats.conditional_freq(pos, length), stats.background(neg)
+    return stats.position_freq(pos, length).where("pos = 0"), stats.conditional_freq(pos, length), _background(neg, bg)
 
 
 def wam_score(win: Column, tables: tuple[DataFrame, DataFrame, DataFrame]) -> Column:
@@ -127,7 +137,9 @@ def pair_log_odds(train: DataFrame, length: int, threshold: float = DEPENDENCY_T
     return x.select("rank", "i", "j", "a", "b", stats.log_odds(p("f", "ft"), p("g", "gt")).alias("log_odds"))
 
 
-def pair_score(win: Column, table: DataFrame) -> Column:
+def pair_score(win: Column, table: DataFrame, length: int | None = None) -> Column:
+    """Sum of the pairs' log-odds; with a length, windows of another one fail the job."""
+    win = win if length is None else exact_length(win, length)
     rows = {(r.i, r.j, r.a, r.b): r.log_odds for r in table.collect()}
     pairs = sorted({k[:2] for k in rows})
     return _total([F.lit(0.0), *[_pick([rows[i, j, a, b] for a in stats.BASES for b in stats.BASES], code(win, i) * 4 + code(win, j)) for i, j in pairs]])
@@ -164,30 +176,24 @@ def chow_liu_parents(mi: DataFrame, length: int, root: int = 0) -> list[list[int
 
 
 def ebn_parents(chi2: DataFrame, length: int, threshold: float = DEPENDENCY_THRESHOLD, max_parents: int = MAX_PARENTS) -> list[list[int]]:
-    """Parents in the expanded network: positions are put in order by a breadth-first walk over dependent pairs from the position of
-    greatest strength; each then gets the max_parents earlier positions it depends on most. Equal values keep the earlier candidate."""
-    s = [[0.0] * length for _ in range(length)]
+    """Parents in the expanded network, from the pair table of 253 rows at most: positions are put in order by a breadth-first walk over
+    dependent pairs from the position of greatest strength, the rest by strength; each then gets the max_parents earlier positions it
+    depends on most. Equal values keep the earlier candidate."""
+    score = np.zeros((length, length))
     for r in chi2.collect():
-        s[r.i][r.j] = s[r.j][r.i] = round(r.score, 9)
-    strength = [sum(x) for x in s]
-    linked: list[list[int]] = [[v for v in range(length) if v != u and s[u][v] >= threshold] for u in range(length)]
-    for u in range(length):  # lone positions join their strongest partner; a link made for one counts for those that follow
-        if not linked[u] and length > 1:
-            v = max((v for v in range(length) if v != u), key=lambda v: (s[u][v], -v))
-            linked[u].append(v)
-            linked[v].append(u)
-    order: list[int] = []
-    queue = deque([min(range(length), key=lambda i: (-strength[i], i))])
-    while queue:
-        u = queue.popleft()
-        if u not in order:
-            order.append(u)
-            queue.extend(v for v in sorted(linked[u], key=lambda v: -s[u][v]) if v not in order)
-    order += sorted((i for i in range(length) if i not in order), key=lambda i: -strength[i])
-    out: list[list[int]] = [[] for _ in range(length)]
-    for k, node in enumerate(order):
-        out[node] = sorted(order[:k], key=lambda p: -s[node][p])[: max(1, max_parents)]
-    return out
+        score[[r.i, r.j], [r.j, r.i]] = round(r.score, 9)
+    near = (score >= threshold) & ~np.eye(length, dtype=bool)
+    for u in np.flatnonzero(~near.any(axis=1)) if length > 1 else ():
+        if not near[u].any():  # still alone: it joins its strongest partner, which then isn't alone either
+            v = int(np.argmax(np.where(np.arange(length) == u, -1.0, score[u])))
+            near[u, v] = near[v, u] = True
+    by_strength = np.argsort(-score.sum(axis=1), kind="stable").tolist()
+    order = by_strength[:1]
+    for u in order:  # grows while it is walked
+        order += [v for v in np.argsort(-score[u], kind="stable").tolist() if near[u, v] and v not in order]
+    order += [v for v in by_strength if v not in order]
+    ranked = {v: sorted(order[:k], key=lambda p: -score[v, p]) for k, v in enumerate(order)}
+    return [ranked[v][: max(1, max_parents)] for v in range(length)]
 
 
 def parents_table(spark, parents: list[list[int]]) -> DataFrame:
@@ -238,7 +244,8 @@ class Network:
         self.length, self.structure, self.threshold, self.max_parents = length, structure, threshold, max_parents
         self.parents: list[list[int]] | None = None
 
-    def fit(self, train: DataFrame) -> "Network":
+    def fit(self, train: DataFrame, chi2: DataFrame | None = None) -> "Network":
+        """chi2: the positives' pair table, if it is there already."""
         pos, neg = _split(train)
         require_positives(pos)
         neg = pos if neg.isEmpty() else neg
@@ -250,14 +257,16 @@ class Network:
             counts = stats.pair_counts(pos, self.length)
             self.parents = chow_liu_parents(stats.mutual_information(stats.joint_smoothed(counts), stats.position_freq(pos, self.length)), self.length)
         else:
-            self.parents = ebn_parents(stats.chi2_pairs(stats.pair_counts(pos, self.length)), self.length, self.threshold, self.max_parents)
+            self.parents = ebn_parents(stats.chi2_pairs(stats.pair_counts(pos, self.length)) if chi2 is None else chi2, self.length, self.threshold, self.max_parents)
         how = {"laplace": 1.0} if self.structure == "ebn" else {"laplace": 0.5, "smooth_all": True}
         self.fg, self.bg = (write_table(network_cpt(x, self.parents, **how), "network") for x in (pos, neg))
         return self
 
-    def score(self, win: Column) -> Column:
+    def score(self, win: Column, strict: bool = False) -> Column:
+        """Null for windows of another length; with strict they fail the job."""
         if self.parents is None:
             raise RuntimeError("the model is not trained")
+        win = exact_length(win, self.length) if strict else win
         return network_log_prob(win, self.fg, self.parents) - network_log_prob(win, self.bg, self.parents)
 
     def long_range(self) -> list[tuple[int, int]]:

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 #: Buckets of hash-keyed ranks: three hexadecimal digits of an md5.
 HEX = 3
-#: Buckets of ranks by a number.
-BINS = 1024
+#: Buckets of ranks by a number, and the relative accuracy of the quantiles that are their limits.
+BINS = 256
+ACCURACY = 10_000
 
 
 def hash_key(c: Column, seed: int = 42) -> Column:
@@ -38,14 +39,13 @@ def hash_rank(df: DataFrame, by: list[str], key: str, out: str = "rank") -> Data
 def running_totals(df: DataFrame, by: str, key: str, values: list[str], descending: bool = True) -> DataFrame:
     """Running totals of `values` over the order of the number `key` within `by`, as columns cum_<value>; df has one row per (by, key).
 
-    Keys are cut into BINS bins of equal width between the smallest and largest finite key of the group; infinite keys have bins of
-    their own. The limits (one row a group) and the bins' totals are broadcast: at most (BINS + 2) rows a group."""
-    finite = F.col(key).isin(float("inf"), float("-inf")) | F.isnan(key)
-    limits = df.groupBy(by).agg(F.min(F.when(~finite, F.col(key))).alias("_lo"), F.max(F.when(~finite, F.col(key))).alias("_hi"))
-    b = df.join(F.broadcast(limits), by)
-    width = (F.col("_hi") - F.col("_lo")) / BINS
-    bin_ = F.when(finite & (F.col(key) < 0), -1).when(finite, BINS + 1).when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col(key) - F.col("_lo")) / width))).otherwise(0).cast("int")
-    b = b.withColumn("_bin", bin_).drop("_lo", "_hi")
+    Keys are cut into bins at the group's approximate quantiles (infinities are keys like others), so that outliers and crowded ranges
+    don't fill one bin; the totals are exact wherever the limits lie. Limits (one row a group) and the bins' totals (BINS rows a group)
+    are broadcast - a group is a model, not a record - and only a bin's rows are ordered."""
+    at = [i / BINS for i in range(1, BINS)]
+    limits = df.groupBy(by).agg(F.array_sort(F.array_distinct(F.percentile_approx(key, at, ACCURACY))).alias("_limits"))
+    below = F.size(F.filter("_limits", lambda x: x < F.col(key)))
+    b = df.join(F.broadcast(limits), by).withColumn("_bin", below).drop("_limits")
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     totals = b.groupBy(by, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w = Window.partitionBy(by).orderBy(order("_bin"))

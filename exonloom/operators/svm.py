@@ -12,10 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from exonloom.operators import evaluate, features
-from exonloom.operators.ranking import hash_key
+from exonloom.operators.ranking import hash_key, hash_rank
 from exonloom.operators.split import folds
 from exonloom.runtime import write_table
 from exonloom.spec import SiteSpec
@@ -100,12 +99,8 @@ def fit_sigmoid(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _sampled(train: DataFrame, by: list[str], max_rows: int, seed: int = 42) -> DataFrame:
-    """At most max_rows per group, the first by hash. Hash ranges that surely hold enough are cut off before any ordering."""
-    k = train.withColumn("_k", hash_key(F.col("w"), seed))
-    n = k.groupBy(*by).agg(F.count("*").alias("_n"))
-    # the share of hash space that holds twice the wanted rows; only those rows are ranked
-    k = k.join(F.broadcast(n), by).where(F.conv(F.substring("_k", 1, 7), 16, 10).cast("long") <= F.least(F.lit(1.0), 2.0 * max_rows / F.col("_n") + 0.0001) * (1 << 28))
-    return k.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_k"))).where(F.col("_r") <= max_rows).drop("_k", "_n", "_r")
+    """At most max_rows per group, the first by hash; equal keys are ranked in no given order."""
+    return hash_rank(train.withColumn("_k", hash_key(F.col("w"), seed)), by, "_k", "_r").where(F.col("_r") <= max_rows).drop("_k", "_r")
 
 
 def kernel_scores(train: DataFrame, test: DataFrame, configs: list[Config], max_rows: int = MAX_ROWS) -> DataFrame:

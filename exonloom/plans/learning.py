@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from exonloom.operators import evaluate, features, models, svm
 from exonloom.plans.scoring import _CHI, _WMM, L
 from exonloom.plans.sequences import STRIP, strict, strict_windows
-from exonloom.runtime import shared_dir, write_table
+from exonloom.runtime import scratch_path, write_table
 from exonloom.sources.tables import table
 from exonloom.spec import DONOR
 from exonloom.streaming import scoring as streams
@@ -26,9 +24,9 @@ def onehot_features(spark, sf_dir):
 
 def _kmer(spark, sf_dir, k):
     s = strict_windows(spark, sf_dir).select("w").distinct()
-    cols = features.kmer_shares(F.col("w"), L, k)
-    x = s.select("w", F.explode(F.array(*[F.struct(F.lit(n.split("_")[1]).alias("kmer"), c.alias("share")) for n, c in cols])).alias("x"))
-    return x.where("x.share > 0").select("w", "x.kmer", F.round("x.share", 6).alias("share"))
+    names = F.array(*[F.lit(m) for m in features.kmers(k)])
+    x = s.select("w", F.explode(F.arrays_zip(names.alias("kmer"), features.kmer_block(F.col("w"), L, k).alias("share"))).alias("x"))
+    return x.where("x.share > 0").select("w", F.col("x.kmer").alias("kmer"), F.round("x.share", 6).alias("share"))
 
 
 def kmer2_freq(spark, sf_dir):
@@ -138,11 +136,11 @@ def four_way_comparison(spark, sf_dir):
 def stream_window_rates(spark, sf_dir):
     """The windows table as a stream, counted per site and week; the stream is run to its end."""
     schema = table(spark, sf_dir, "windows").schema
-    path = f"{shared_dir(spark)}/exonloom/rates-{uuid.uuid4().hex}"
+    rows, state = scratch_path(spark, "rates"), scratch_path(spark, "rates-state")
     rates = streams.window_rates(spark.readStream.schema(schema).parquet(f"{sf_dir}/windows.parquet*"))
-    q = rates.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(lambda df, _: df.coalesce(1).write.mode("overwrite").parquet(f"{path}-rows")).start()
+    q = rates.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(rows)).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}-rows").withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+    return spark.read.parquet(rows).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
 def stream_scores(spark, sf_dir):
@@ -152,10 +150,10 @@ def stream_scores(spark, sf_dir):
     schema = table(spark, sf_dir, "windows").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/windows.parquet*").where("site = 'donor'")
     scored = streams.score_windows(rows, DONOR, lambda w: F.round(models.wmm_score(w, t), 6)).select("record_id", "i", "win", "extracted_at", "score")
-    base = f"{shared_dir(spark)}/exonloom/stream-{uuid.uuid4().hex}"
-    q = scored.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}-state").start(f"{base}-rows")
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    q = scored.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).start(out)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}-rows").where("score is not null")
+    return spark.read.parquet(out).where("score is not null")
 
 
 QUERIES = {

@@ -14,10 +14,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound on the rows that `hot_keys` may broadcast. Keys outside the top HOT_KEYS hold at most 1/HOT_KEYS of all rows each.
-HOT_KEYS = 1000
-#: Ways in which the rows of one hot key are split.
-SALTS = 64
+#: Rows of one key that a single task may hold in a join; keys with more are hot.
+KEY_ROWS = 200_000
+#: Least and most ways in which the rows of a hot key are split.
+SALTS = 8, 4096
+#: Rows of a list that may be broadcast; its size is checked.
+BROADCAST_ROWS = 100_000
 _shipped: set[str] = set()
 
 
@@ -38,10 +40,12 @@ def local_session(cpus: int | str = "*", app: str = "exonloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session. Only where it is unset (local tests) an own
-    temporary folder is made and set."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Only where it is unset and the master is local (tests) an
+    own temporary folder is made and set; on a cluster its absence is a RuntimeError, since executors don't share local disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-exonloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -86,15 +90,21 @@ def shuffle_for(spark: SparkSession, rows: float, per_task: int = 400_000):
             spark.conf.set(key, old)
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of `df` with a parquet table in the shared folder and return a DataFrame that reads it.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for intermediate data; it is removed when the application ends."""
+    path = f"{shared_dir(spark)}/exonloom/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def write_table(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage of `df` with a parquet table in the shared folder, or at a `path` that the caller keeps, and return a DataFrame
+    that reads it.
 
     Unlike an in-memory checkpoint it survives the loss of any executor, and unlike `checkpoint()` the plan runs once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/exonloom/{label}-{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -109,10 +119,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 def join_unique(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of many `rows` to a `lookup` that is unique in `key`, safe when one key holds a large part of the rows.
 
-    `weight` (a column of lookup) says how many rows carry the key. The HOT_KEYS heaviest keys - a constant number, so
-    their list is safe to broadcast - are salted SALTS ways on both sides; the rest is joined as it is. Salts come from the rows'
-    own values, so a task that runs again after a loss makes the same ones. Null keys never match."""
-    hot = lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS).where(F.col(weight) > SALTS).select(F.col(key), F.lit(True).alias("_hot"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    spread = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot", weight)
+    `weight` (a column of lookup) says how many rows carry the key. A key with more than KEY_ROWS rows is split so many ways that each
+    holds about KEY_ROWS (SALTS says the least and the most). How many such keys there are is counted first: where there are none, as
+    mostly, the join is a plain one, and their list is broadcast only up to BROADCAST_ROWS, else joined. Salts come from the rows' own
+    values, so a task that runs again after a loss makes the same ones. Null keys never match."""
+    hot = lookup.where(F.col(weight) > KEY_ROWS).select(F.col(key), F.least(F.lit(SALTS[1]), F.greatest(F.lit(SALTS[0]), F.ceil(F.col(weight) / KEY_ROWS))).cast("int").alias("_ways"))
+    n = hot.count()
+    if not n:
+        return rows.join(lookup.drop(weight), key)
+    small = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    ways = F.coalesce("_ways", F.lit(1))
+    salted = rows.join(small, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), ways).cast("int")).drop("_ways")
+    spread = lookup.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways", weight)
     return salted.join(spread, [key, "_salt"]).drop("_salt")

@@ -103,7 +103,7 @@ def test_errors(spark, train):
     with pytest.raises(ValueError):
         features.FeatureExtractor(9, "nothing")
     with pytest.raises(RuntimeError):
-        features.FeatureExtractor(9).columns(F.col("w"))
+        features.FeatureExtractor(9).array(F.col("w"))
     with pytest.raises(ValueError):
         features.FeatureExtractor(9, "ebn_llr").fit(train.where("label = 1"))
     with pytest.raises(ValueError):
