@@ -116,19 +116,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of many `rows` to a `lookup` that is unique in `key`, safe when one key holds a large part of the rows.
-
-    `weight` (a column of lookup) says how many rows carry the key. A key with more than KEY_ROWS rows is split so many ways that each
-    holds about KEY_ROWS (SALTS says the least and the most). How many such keys there are is counted first: where there are none, as
-    mostly, the join is a plain one, and their list is broadcast only up to BROADCAST_ROWS, else joined. Salts come from the rows' own
-    values, so a task that runs again after a loss makes the same ones. Null keys never match."""
-    hot = lookup.where(F.col(weight) > KEY_ROWS).select(F.col(key), F.least(F.lit(SALTS[1]), F.greatest(F.lit(SALTS[0]), F.ceil(F.col(weight) / KEY_ROWS))).cast("int").alias("_ways"))
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, weight: str | None = None, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Join of many `rows` to a `lookup` that is unique in `key`, safe when one key holds a large part of the rows; inner or left.
+
+    `weight` (a column of lookup, dropped) says how many rows carry the key; without it the rows, a written table, are counted per key.
+    A key with more than KEY_ROWS rows is split so many ways that each holds about KEY_ROWS (SALTS says the least and the most). How
+    many such keys there are is counted first: where there are none, as mostly, the join is a plain one (with `most`, a known bound on
+    the rows, nothing is counted below KEY_ROWS), and their list is broadcast only up to BROADCAST_ROWS, else joined. Salts come from
+    the rows' own values, so a task that runs again after a loss makes the same ones. Null keys never match."""
+    slim = lookup.drop(weight) if weight else lookup
+    if most is not None and most <= KEY_ROWS:
+        return rows.join(slim, key, how)
+    counted = lookup.select(key, F.col(weight).alias("_n")) if weight else rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counted.where(F.col(key).isNotNull() & (F.col("_n") > KEY_ROWS)).select(key, F.least(F.lit(SALTS[1]), F.greatest(F.lit(SALTS[0]), F.ceil(F.col("_n") / KEY_ROWS))).cast("int").alias("_ways"))
     n = hot.count()
     if not n:
-        return rows.join(lookup.drop(weight), key)
+        return rows.join(slim, key, how)
     small = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
     ways = F.coalesce("_ways", F.lit(1))
     salted = rows.join(small, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), ways).cast("int")).drop("_ways")
-    spread = lookup.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways", weight)
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
+    spread = slim.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
