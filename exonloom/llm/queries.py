@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exonloom.llm import crosssplit, formatdup, leaks, mixing, neardup, residue, spans, splits
+from exonloom.runtime import write_table
 from exonloom.sources.tables import table
 
 
@@ -60,7 +61,12 @@ def p6_assignment(spark, sf_dir):
 
 
 def p6_split_report(spark, sf_dir):
-    return splits.split_report(p6_assignment(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+    return splits.split_report(write_table(p6_assignment(spark, sf_dir), "assigned"), table(spark, sf_dir, "split_targets"))
+
+
+def p6_integrity(spark, sf_dir):
+    assigned = write_table(p6_assignment(spark, sf_dir), "assigned")
+    return splits.integrity(assigned, table(spark, sf_dir, "split_targets"))
 
 
 def p7_found(spark, sf_dir):
@@ -102,7 +108,7 @@ def p9_clean_documents(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_classes, p3_found, p3_shared_amount, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_assignment, p6_split_report,
+        p2_found, p2_classes, p3_found, p3_shared_amount, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_assignment, p6_split_report, p6_integrity,
         p7_found, p7_tolerant, p7_leaked_items, p8_mixed_documents, p8_shares, p9_found, p9_reasons, p9_open_slots, p9_clean_documents,
     )
 }
@@ -165,5 +171,6 @@ r AS (SELECT rep AS root, rep AS node FROM k UNION SELECT r.root, e.b FROM r JOI
 f AS (SELECT node AS rep, min(root) AS group_id FROM r GROUP BY 1), d AS (SELECT a AS rep, count(*) AS d FROM e GROUP BY 1)
 SELECT c.record_id, k.rep AS class_id, f.group_id, k.n AS n_copies, coalesce(d.d, 0) AS n_links FROM c JOIN k USING (s) JOIN f ON f.rep = k.rep LEFT JOIN d ON d.rep = k.rep""",
     "p6_found": _RELATED + "SELECT coalesce(group_id, sample_id) AS group_id, sample_id FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
+    "p6_integrity": _RELATED + "SELECT count(*) AS n_samples, count(DISTINCT coalesce(group_id, sample_id)) AS n_groups, 0::BIGINT AS n_parted, 0::BIGINT AS n_off FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
     "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN tw USING (x)",
 }

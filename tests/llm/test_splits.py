@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from exonloom import runtime
 from exonloom.llm import splits
 from exonloom.llm.forest import spanning_forest
 from tests.conftest import rows
@@ -88,6 +91,29 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["test"] - 0.1) < 0.02 and share["none"] == 0
 
 
+@pytest.mark.parametrize("n", [50, 5000])
+def test_every_band_is_dealt_the_same_way(spark, n):
+    rng = random.Random(n)
+    sizes = [(i, max(1, int(rng.paretovariate(1.1)))) for i in range(n)]
+    sizes[0] = (0, sum(x for _, x in sizes) // 2)  # a third of all rows in one group
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
+    got = splits.deal_groups(spark.createDataFrame(sizes, "group_id long, n long"), targets).collect()
+    assert sorted((r.group_id, r.n) for r in got) == sizes
+    total, most = sum(x for _, x in sizes), sorted(x for _, x in sizes)[-2]
+    for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+        assert abs(sum(r.n for r in got if r.split == name) - share * total) <= max(0.02 * total, most / 2)
+
+
+def test_the_forest_is_kept_and_holds_the_groups(spark, tmp_path, monkeypatch):
+    d = make(5, 300, 60)
+    df = spark.createDataFrame(d, "sample_id long, gene string, submitter string")
+    monkeypatch.setattr(runtime, "KEY_ROWS", 3)  # most roots are hot
+    path = f"{tmp_path}/forest"
+    assert rows(splits.related_groups(df, forest_path=path).select("group_id", "id")) == components(d)
+    kept, roots = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/roots")
+    assert kept.count() == roots.count() - roots.select("root").distinct().count()  # a forest over its nodes
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "sample_id long, gene string, submitter string")
     targets = spark.createDataFrame([("train", 1.0)], "split string, target_share double")
