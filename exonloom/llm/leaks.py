@@ -9,8 +9,10 @@ In such a stretch the next equal word is one or two words further. A mask is a w
 which each sequence of 12 steps contains one: any stretch with 13 equal words is hit, wherever its differing words stand. Stretches
 with fewer equal words are found by all words of three steps (or of fewer, for less than four equal words).
 
-The test items are the stated query set. They are hashed in blocks of at most BLOCK_CHARS characters, so that what a block sends
-to the executors has a constant bound however many items there are; the corpus is never shuffled."""
+Both sides are hashed on the executors. The test side's hashes are a table; a Bloom filter of them, of bounded size, lets the
+corpus emit only documents with hits - their words and hits, once - so that the corpus is read once and not shuffled, however many
+items there are. Hits and index are then joined as relations, hot hashes salted, and the verification follows the join. Items of
+one text are collapsed before and expanded after it."""
 
 from __future__ import annotations
 
@@ -22,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.functions.arrays import mix64, row_chunks, string_bytes
-from exonloom.runtime import write_table
+from exonloom.runtime import join_unique, write_table
 
 SPAN = 13
 #: Steps between the words that a mask keeps; every sequence of SPAN - 1 steps of 1 or 2 contains one of these.
 GAPS = ("11111", "11112", "12112", "12121", "12122", "12212", "12222", "21111", "21112", "22112", "22212", "22222")
-#: Hits and words that are held at a time.
-HITS = 1 << 20
-BLOCK_CHARS = 16_000_000
-#: Low bits of the hash that a bitmap tests before the exact lookup.
-BITS = 22
+#: Least and most bits (as powers of two) of the Bloom filter over the test side's hashes: 128 MB are the most that is broadcast.
+#: A fuller filter only lets more hits through to the join.
+BITS = 20, 30
+#: Bits of the filter that are set for a hash, and bits wanted for each hash.
+PROBES, BITS_A_KEY = 4, 16
 _P = np.uint64(0x100000001B3)
 _P_INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _WORD = np.zeros(256, bool)
@@ -87,21 +89,85 @@ def seeds(h: np.ndarray, row: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
     return mix64(acc[at]), at
 
 
-class Items:
-    """The words of one block of test items and the index of their masked windows."""
-
-    def __init__(self, ids: np.ndarray, h: np.ndarray, row: np.ndarray, least: int = SPAN):
-        self.ids, self.h = ids, h
-        self.begin = np.searchsorted(row, np.arange(len(ids)))
-        self.end = np.searchsorted(row, np.arange(len(ids)), side="right")
-        self.row = row
-        self.index = []
-        for mask in masks(least):
-            s, at = seeds(h, row, mask)
-            order = np.argsort(s, kind="stable")
-            bitmap = np.zeros(1 << BITS, bool)
-            bitmap[(s & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-            self.index.append((mask, s[order], at[order], np.packbits(bitmap, bitorder="little")))
+def _keys(h: np.ndarray, row: np.ndarray, kept: list[np.ndarray]):
+    """(hashes, positions) of every mask's windows; each mask has its own hashes."""
+    for k, mask in enumerate(kept):
+        s, at = seeds(h, row, mask)
+        yield mix64(s + np.uint64(k)), at
+
+
+def _slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """The filter's bit of each hash at a probe."""
+    step = (keys >> np.uint64(32)) | np.uint64(1)
+    return ((keys + np.uint64(probe) * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def index_items(texts: DataFrame, kept: list[np.ndarray]) -> DataFrame:
+    """(key, item, at): the masked windows of each distinct item text."""
+
+    def run(batches):
+        for b in (c for x in batches for c in row_chunks(x, 1)):
+            item = b.column(0).to_numpy()
+            h, row = words(b.column(1))
+            begin = np.searchsorted(row, np.arange(len(item)))
+            for key, at in _keys(h, row, kept):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(item[row[at]]), pa.array((at - begin[row[at]]).astype(np.int32))], names=["key", "item", "at"])
+
+    return texts.select("item", "text").mapInArrow(run, "key long, item long, at int")
+
+
+def bloom_filter(index: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, filter as bytes) over the keys of an index. Words of the filter are or-ed on the executors; the driver receives at most
+    2^BITS bits."""
+    n = index.count()
+    bits = max(BITS[0], min(BITS[1], (BITS_A_KEY * max(n, 1) - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            key = b.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_slots(key, bits, p) for p in range(PROBES)]))
+            word, first = np.unique(at >> 6, return_index=True)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64))], names=["word", "set"])
+
+    got = index.select("key").mapInArrow(run, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("set").to_numpy()
+    return bits, out.view(np.uint8)
+
+
+def documents_with_hits(docs: DataFrame, bloom, kept: list[np.ndarray]) -> DataFrame:
+    """(uid, doc_id, words, keys, ats): documents in which some masked window passes the filter, their words' hashes and those windows.
+    docs: (uid, doc_id, text)."""
+
+    def run(batches):
+        bits, table = bloom.value
+        for b in (c for x in batches for c in row_chunks(x, 2)):
+            h, row = words(b.column(2))
+            begin = np.searchsorted(row, np.arange(b.num_rows + 1))
+            keys, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for key, at in _keys(h, row, kept):
+                for p in range(PROBES):
+                    slot = _slots(key, bits, p)
+                    ok = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) > 0
+                    key, at = key[ok], at[ok]
+                keys.append(key)
+                ats.append(at)
+            key, at = np.concatenate(keys), np.concatenate(ats)
+            order = np.argsort(at, kind="stable")
+            key, at = key[order], at[order]
+            hit = np.unique(row[at])
+            if not len(hit):
+                continue
+            mine = np.isin(row, hit)
+            lists = lambda n, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+            n_keys = np.bincount(np.searchsorted(hit, row[at]), minlength=len(hit))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(hit)), b.column(1).take(pa.array(hit)), lists((begin[1:] - begin[:-1])[hit], h[mine].view(np.int64)), lists(n_keys, key.view(np.int64)), lists(n_keys, (at - begin[row[at]]).astype(np.int32))],
+                names=["uid", "doc_id", "words", "keys", "ats"],
+            )
+
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, words array<long>, keys array<long>, ats array<int>")
 
 
 def _verified(same: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,54 +187,18 @@ def _verified(same: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return exact, loose
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Distinct rows, in order."""
-    x = x[np.lexsort(x.T[::-1])]
-    return x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])] if len(x) else x
-
-
-def _measured(diagonals: np.ndarray, h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
-    """(row, item number, exact words, tolerant words) of each document and item among the diagonals (row, item number, offset)."""
-    r, item, d = diagonals.T
-    lo = np.maximum(np.searchsorted(row, r), items.begin[item] + d)
-    n = np.minimum(np.searchsorted(row, r, side="right"), items.end[item] + d) - lo
-    total = np.cumsum(n)
-    exact, loose = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
-    a = 0
-    while a < len(r):
-        z = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + HITS, side="right")))
-        first = total[a:z] - n[a:z] - (total[a] - n[a])
-        at = np.arange(n[a:z].sum()) + np.repeat(lo[a:z] - first, n[a:z])
-        exact[a:z], loose[a:z] = _verified(h[at] == items.h[at - np.repeat(d[a:z], n[a:z])], first)
-        a = z
-    return _best(np.stack([r, item, exact, loose], axis=1))
-
-
-def _best(x: np.ndarray) -> np.ndarray:
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)]))
-    return np.concatenate([x[new, :2], np.maximum.reduceat(x[:, 2:], new, axis=0)], axis=1)
-
-
-def _overlaps(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
-    """(row, item number, exact words, tolerant words) for each document and item that hit."""
-    found, some = np.zeros((0, 4), np.int64), np.zeros((0, 3), np.int64)
-    for mask, keys, at, bitmap in items.index:
-        s, pos = seeds(h, row, mask)
-        low = (s & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        ok = (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & np.uint8(1) > 0
-        s, pos = s[ok], pos[ok]
-        lo = np.searchsorted(keys, s)
-        n = np.searchsorted(keys, s, side="right") - lo
-        total = np.cumsum(n)
-        for f in range(0, int(n.sum()), HITS):
-            k = np.arange(f, min(f + HITS, int(total[-1])))
-            j = np.searchsorted(total, k, side="right")
-            p, q = pos[j], at[lo[j] + k - (total[j] - n[j])]
-            some = _distinct(np.concatenate([some, np.stack([row[p], items.row[q], p - q], axis=1)]))
-            if len(some) > HITS:
-                found, some = _best(np.concatenate([found, _measured(some, h, row, items)])), some[:0]
-    return _best(np.concatenate([found, _measured(some, h, row, items)])) if len(some) else found
+def _measured(laid: DataFrame) -> DataFrame:
+    """laid with `exact` and `loose` in the place of `same`, the equality of the words laid side by side."""
+    keep = [c for c in laid.columns if c != "same"]
+
+    def run(batches):
+        for b in batches:
+            same = b.column(0)
+            first = same.offsets.to_numpy().astype(np.int64)
+            exact, loose = _verified(same.flatten().to_numpy(zero_copy_only=False), first[:-1] - first[0])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(exact), pa.array(loose)], names=[*keep, "exact", "loose"])
+
+    return laid.select("same", *keep).mapInArrow(run, laid.select(*keep, F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("loose")).schema)
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_words: int | None = None) -> DataFrame:
@@ -180,31 +210,40 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_wor
     leak nothing. Rows that occur twice in either table do not repeat in the result."""
     if min_words < SPAN:
         raise ValueError(f"min_words must be {SPAN} at least")
-    spark = docs.sparkSession
+    kept = masks(min(min_words, tolerant_words or min_words))
     items = items.where("item_id is not null and text is not null").select("item_id", F.lower("text").alias("text")).distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    docs = docs.where("text is not null").select("doc_id", F.lower("text").alias("text"))
-    out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = part.toArrow()
-        h, row = words(got.column("text")) if got.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sent = spark.sparkContext.broadcast(Items(got.column("item_id").to_numpy(), h, row, min(min_words, tolerant_words or min_words)))
-
-        def run(batches, sent=sent):
-            block = sent.value
-            for b in (c for x in batches for c in row_chunks(x, 1)):
-                ids = b.column(0).to_numpy()
-                h, row = words(b.column(1))
-                found = _overlaps(h, row, block)
-                r, i, exact, loose = found[(found[:, 2] >= min_words) | (found[:, 3] >= (tolerant_words or np.inf))].T
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(block.ids[i]), pa.array(exact), pa.array(loose)], names=["doc_id", "item_id", "exact_words", "tolerant_words"])
-
-        one = docs.mapInArrow(run, "doc_id long, item_id long, exact_words long, tolerant_words long")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("tolerant_words").alias("tolerant_words"))
+    items = write_table(items, "leak-items")
+    texts = write_table(items.groupBy("text").agg(F.min("item_id").alias("item")), "leak-texts")
+    if texts.groupBy("item").count().where("count > 1").count():  # one id with several texts: number the texts instead
+        texts = write_table(texts.select("text", F.xxhash64("text").alias("item")), "leak-texts")
+    index = write_table(index_items(texts, kept), "leak-index")
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(index))
+    docs = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    met = write_table(documents_with_hits(docs, bloom, kept).dropDuplicates(["uid", "doc_id"]), "leak-documents")
+    hits = met.select("uid", "doc_id", F.explode(F.arrays_zip("keys", "ats")).alias("x")).select("uid", "doc_id", F.col("x.keys").alias("key"), F.col("x.ats").alias("p"))
+    near = write_table(hits.join(index, "key", "left_semi"), "leak-hits")  # what the filter let through by chance goes
+    diagonals = join_unique(near, index, "key").select("uid", "doc_id", "item", (F.col("p") - F.col("at")).alias("d")).distinct()
+    item_words = write_table(_word_lists(texts), "leak-item-words")
+    both = join_unique(write_table(diagonals, "leak-diagonals"), item_words, "item").join(met.select("uid", "doc_id", "words"), ["uid", "doc_id"])
+    first = F.greatest(F.lit(0), F.col("d"))
+    n = F.least(F.size("words"), F.size("item_words") + F.col("d")) - first
+    same = F.zip_with(F.slice("words", first + 1, n), F.slice("item_words", first - F.col("d") + 1, n), lambda a, b: a == b)
+    found = _measured(both.where(n > 0).select("doc_id", "item", same.alias("same"))).groupBy("doc_id", "item").agg(F.max("exact").alias("exact_words"), F.max("loose").alias("tolerant_words"))
+    found = found.where((F.col("exact_words") >= min_words) | (F.col("tolerant_words") >= (tolerant_words or 1 << 62)))
+    members = items.join(texts, "text").select("item_id", "item")
+    return join_unique(write_table(found, "leak-pairs"), members, "item").groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("tolerant_words").alias("tolerant_words"))
+
+
+def _word_lists(texts: DataFrame) -> DataFrame:
+    """(item, item_words): the hashes of each item's words, in order."""
+
+    def run(batches):
+        for b in (c for x in batches for c in row_chunks(x, 1)):
+            h, row = words(b.column(1))
+            offsets = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["item", "item_words"])
+
+    return texts.select("item", "text").mapInArrow(run, "item long, item_words array<long>")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
