@@ -2,177 +2,60 @@
 notices where a commit message should be.
 
 Method: message templates are mined with a fixed-depth prefix tree. Each message gives up to two units - the whole message, and
-its body below the subject. A unit is masked (numbers, hashes, names and words of no weight become wildcards, slots become one
-token), which turns it into a template; templates hang in a tree of fixed depth under their length and first words. The tree is a
-relation: one combining aggregation yields every template with its count. Each distinct template is classified once and the
-verdict is propagated to its documents by a join that salts hot templates. Unresolved slots inside otherwise ordinary messages
-are detected apart, per record, and reported, but such messages are no residue.
-
-A unit is residue only if all of it is: every sentence must match a pattern of one class from end to end, so that real messages
-about placeholders, error pages or scripts don't match. Small regular-expression work per message runs in Arrow batches; only
-the message goes to Python, never the diff."""
+its body below the subject - and each unit its sentences, with numbers, hashes, names and slots masked. The distinct sentences hang
+in a tree of fixed depth: below their number of words, their first DEPTH words (any word that names no concept is one branch).
+Within a leaf, sentences that agree in SIMILAR of their words, and differ only in words without a concept, merge into one template;
+a place where MIN_FILLERS different words were met becomes a wildcard. Each template is classified once, from the concepts of its
+constant words (see residue_words); the verdict is propagated to its sentences and their documents by joins that salt hot sentences.
+A unit is residue only if all of its sentences are.
+
+The tree is a relation: counting the distinct sentences combines on the map side, leaves are partitions of a sorted shuffle, and a
+leaf of more than LEAF_ROWS distinct sentences is mined in parts of that size. Unresolved slots inside otherwise ordinary records
+are detected apart, per record and over the whole text, and reported; such records are no residue. What a message is, ends where
+the diff begins: only that part of a text can carry residue."""
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exonloom.llm.residue_words import CLASSES, NAME, NUMBER, REPEAT, SLOT, WILD, is_latin, is_open, sentence_class
 from exonloom.runtime import join_unique, write_table
 
-#: First words of a template that make its path in the tree, below its length.
+#: Words of a sentence that make its path in the tree, below its length.
 DEPTH = 3
-
-# ---- fixed values: the language of residue, by class -------------------------------------------------------------------------
-
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam "
-    "quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu "
-    "fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-).split()
-
-#: Words that only frame slots in a commit template.
-SCAFFOLD = (
-    "closes close fixes fix resolves refs ref ticket issue why how what where who impact context change changes summary description details subject body title scope type "
-    "reviewer author version reason please fill in out the template release changes since feat chore docs refactor perf test build ci style merge request pull see for to and of by a todo tbd fixme "
-    "grund kurzbeschreibung beschreibung warum was wie raison pourquoi quoi comment motivo razon por que qué como cómo porque your commit message text longer short explanation here is this"
-).split()
-
-_THING = r"(?:commit|page|pages|file|files|file list|diff|diffs|history|viewer|site|website|content|contents|changes|change|branch|repository|repo|document|link|resource|url|view|log|patch|issue|tree|blob|project|commit page|text|app|application|web ?page|comparison|blame|tag|release|revision|panel|list|index)"
-_SCRIPT = r"(?:java ?script|js|java|scripts?|scripting|active scripting|ecmascript)"
-_BROWSER = r"(?:(?:web )?browser(?: settings?)?)"
-_ON = r"(?:enable|activate|turn on|switch on|allow|permit|unblock)"
-_OFF = r"(?:disabled|blocked|turned off|switched off|off|deactivated|inactive|not enabled|not active|not available|unavailable|missing)"
-_NEED = r"(?:needed|required|necessary|enabled|active|activated|turned on|switched on|allowed|on)"
-_END = r"(?:\W.*)?"
-
-SCRIPTS = [
-    rf"(?:please |kindly |(?:you(?:'ll)? )?(?:will |first )?(?:need to|have to|must|should|are required to) )?{_ON} (?:the )?{_SCRIPT}(?: and cookies)?(?: support)?(?: (?:in|on|for|within) (?:your|the|this) (?:{_BROWSER}|{_THING}))?(?: (?:to|and|in order to|so that|before) .*)?",
-    rf"(?:please |kindly |you (?:need to|have to|must|should) )?(?:turn|switch) {_SCRIPT} on{_END}",
-    rf"(?:it (?:looks|seems|appears) (?:like|that) |your {_BROWSER} has )?{_SCRIPT} (?:is|are|seems? to be|appears? to be|has been|must be) {_OFF}(?: (?:in|on|by|for) (?:your|this|the) {_BROWSER})?",
-    rf"(?:sorry,? )?your {_BROWSER} (?:has no support for|has no|does ?n[o']t support|does not run|do not support|blocks|disables|has disabled|is blocking|has blocked|lacks|is not running|has) {_SCRIPT}(?: (?:disabled|blocked|turned off|switched off))?(?:,? .*)?",
-    rf"(?:this|the|our|your) {_THING} (?:needs|requires|relies on|depends on|uses|does not work without|doesn't work without|will not work without|only works with|works only with|cannot work without|can ?not be (?:shown|displayed|loaded|used|viewed|opened|rendered) without|can't be (?:shown|displayed|loaded|used|viewed|opened|rendered) without) {_SCRIPT}(?: and cookies)?(?: (?:to|in order to) .*)?",
-    rf"{_SCRIPT}(?: and cookies)? (?:is|are|must be|have to be|has to be|need to be|needs to be|should be) {_NEED}(?: (?:to|for|in|on) (?:view|see|use|load|show|open|read|continue|this|the|your) ?.*)?",
-    rf"cookies and {_SCRIPT} (?:is|are|must be|have to be|need to be) {_NEED}{_END}",
-    rf"(?:checking (?:your|the) {_BROWSER}|(?:just )?(?:one|a) moment(?: please)?|please wait|hold on|loading)[ .…,:-]*(?:{_SCRIPT}(?: and cookies)? (?:is|are|must be|have to be|has to be|need to be) {_NEED}{_END})?",
-    rf"(?:without|if you block|if you disable|when you block|with) {_SCRIPT}(?: (?:disabled|blocked|turned off))?,? (?:the|this) {_THING} (?:stays|remains|is|will be|will stay|appears|will remain) (?:blank|empty|white|hidden|unavailable)",
-    # German, French, Spanish, Portuguese, Italian, Dutch
-    rf"(?:bitte |sie m(?:ü|ue)ssen )?(?:aktivieren|schalten|erlauben|schalte|aktiviere|erlaube)(?: sie)?(?: bitte)? {_SCRIPT}{_END}",
-    rf"(?:bitte |sie m(?:ü|ue)ssen )?{_SCRIPT} (?:in ihrem browser )?(?:aktivieren|einschalten|erlauben|zulassen){_END}",
-    rf"{_SCRIPT} (?:ist|wird|muss|sind) .*(?:deaktiviert|ben(?:ö|oe)tigt|erforderlich|aktiviert|ausgeschaltet|blockiert|abgeschaltet)(?: sein| werden)?",
-    rf"(?:diese|die|dieser|der|das) \S+ (?:ben(?:ö|oe)tigt|braucht|erfordert) {_SCRIPT}",
-    rf"(?:ihr|dein) browser (?:unterst(?:ü|ue)tzt|blockiert|f(?:ü|ue)hrt) (?:kein )?{_SCRIPT}{_END}",
-    rf"(?:veuillez |vous devez |merci d['’ ])?(?:activez|activer|autorisez|autoriser) (?:le )?{_SCRIPT}{_END}",
-    rf"{_SCRIPT} (?:est|doit (?:ê|e)tre) (?:d(?:é|e)sactiv(?:é|e)|requis|n(?:é|e)cessaire|activ(?:é|e)|bloqu(?:é|e)){_END}",
-    rf"(?:cette|ce|le|la) \S+ (?:n(?:é|e)cessite|requiert|exige) {_SCRIPT}",
-    rf"votre navigateur (?:bloque|ne (?:prend|supporte) pas) .*{_SCRIPT}{_END}",
-    rf"(?:por favor,? |debe |necesita |tiene que |é preciso |(?:é|e) necess(?:á|a)rio |você precisa |voc(?:ê|e) deve )?(?:habilite|habilitar|active|activar|activa|ative|ativar|permita|permitir|habilita)(?: o| el)? {_SCRIPT}{_END}",
-    rf"{_SCRIPT} (?:est(?:á|a)|es|é|debe estar|deve estar|e) (?:desactivado|deshabilitado|desativado|desabilitado|necesario|obligatorio|requerido|necess(?:á|a)rio|obrigat(?:ó|o)rio|habilitado|activado|ativado|bloqueado){_END}",
-    rf"(?:esta|este|el|la|a|o) \S+ (?:necesita|requiere|requer|precisa de|precisa|exige) (?:de )?{_SCRIPT}",
-    rf"(?:su|seu|o seu|tu) navegador (?:bloquea|bloqueia|no admite|no soporta|n(?:ã|a)o suporta) .*{_SCRIPT}{_END}",
-    rf"(?:per favore |si prega di )?(?:abilita|abilitare|attiva|attivare|attivate) {_SCRIPT}{_END}",
-    rf"(?:schakel|zet) {_SCRIPT} (?:in|aan){_END}",
-]
-
-_AGAIN = r"(?:please |kindly )?(?:come back|try again|try once more|retry|check back|refresh|reload|refresh and try|reload and try|go back|return|contact)\b.*"
-_STATUS = r"(?:bad request|unauthorized|unauthorised|payment required|forbidden|not found|page not found|method not allowed|request time-?out|conflict|gone|too many requests|internal (?:server )?error|server error|internal server error|not implemented|bad gateway|(?:service|temporarily|service temporarily) unavailable|gateway time-?out|error|moved permanently|access denied|proxy error|origin error|unavailable)"
-ERRORS = [
-    rf"(?:http|error|status|code|http status|http error|error code|fehler|erreur|erro)[ :]*#(?:[ :–-]+{_STATUS})?",
-    rf"#(?:[ :–-]+{_STATUS})?",
-    rf"#? ?{_STATUS}(?: \(?#\)?)?",
-    r"(?:(?:rate|request|api|usage|call|download|your) )*(?:limit|quota|limits|requests) (?:is |was |has been )?(?:exceeded|reached|exhausted|used up)(?:[,;:]? .*)?",
-    r"(?:access|permission|authori[sz]ation|request|connection) (?:is |was |has been )?(?:denied|refused|rejected|blocked)",
-    r"you (?:do not|don't|are not) (?:have (?:permission|access)|allowed|authori[sz]ed|permitted)(?: (?:here|to .*|in here))?",
-    r"(?:please |kindly )?(?:ask|contact) (?:the|an|your) (?:owner|administrator|admin|maintainer|webmaster|site owner|support)(?: (?:to|for|if) .*)?",
-    r"(?:the|this|our) (?:\S+ )?(?:service|server|backend|host|site|gateway|proxy) (?:is|was|seems) (?:currently |temporarily |now |under )*(?:overloaded|unavailable|down|offline|busy|maintenance|unreachable|not available|not reachable|not responding|not answering)(?: (?:for|due to|because of|at) .*)?",
-    r"(?:please |kindly )?(?:log|sign) ?in (?:again |once more )?to (?:continue|open|see|view|load|use|read|access)\b.*",
-    r"(?:sorry,? )?(?:your|the|this) session (?:has |is |was )?(?:expired|ended|timed out|over|invalid|no longer valid)",
-    r"(?:(?:sorry|oops|whoops|uh oh)[,!.]* )?(?:an |a )?(?:unexpected |unknown |internal |fatal |server |application )*(?:error|problem) (?:has |was )?(?:occurred|happened|encountered)(?: (?:while|during|on|when) .*)?",
-    r"(?:(?:sorry|oops|whoops|uh oh)[,!.]* )?(?:something|that) (?:has )?(?:went|gone) wrong(?: .*)?",
-    r"(?:sorry|oops|whoops|uh oh)",
-    rf"(?:sorry,? )?(?:the|this|our) (?:site|page|server|service|website|host|system|{_THING}) (?:is|was|seems|appears to be) (?:currently |temporarily |now |under )*(?:overloaded|unavailable|down|offline|busy|maintenance|unreachable|gone|not available|not reachable|not responding)(?: (?:for|due to|because of|at) .*)?",
-    rf"(?:sorry,? )?(?:the|this) (?:\S+ )?(?:{_THING}|\S+) (?:that )?(?:you |we )(?:are looking|were looking|asked|requested|have requested|wanted|tried to (?:open|reach|view))(?: for)? (?:is gone|was gone|is missing|was not found|is not found|could ?n[o']t be found|cannot be found|can't be found|does ?n[o']t exist|does not exist|has been (?:re)?moved|has been deleted|was (?:re)?moved|no longer exists|has moved|is not here|is unavailable|is not available|is no longer (?:available|here|there|online)|has expired|was deleted|is not there(?: any ?more)?)",
-    rf"(?:sorry,? )?(?:we )?(?:failed to|unable to|could not|couldn't|cannot|can not|can't|we could not|we cannot|was unable to|were unable to) (?:load|render|display|fetch|show|open|find|retrieve|get|read|reach|access|process) (?:this|the|that|your) (?:{_THING}|request)",
-    rf"(?:this|the) {_THING} (?:could not|cannot|can't|couldn't|can not) be (?:loaded|rendered|displayed|fetched|shown|opened|found|retrieved|read|reached)",
-    r"\S+ (?:took too long to respond|refused to connect|is unreachable|can(?:no|')t be reached|did not respond|is not responding|unexpectedly closed the connection)",
-    r"(?:connection|request|gateway|the (?:connection|request|server)) (?:timed out|was reset|has timed out|reset by peer|refused|closed)",
-    # German
-    r"(?:die |diese )?(?:angeforderte )?seite (?:wurde |konnte |ist |existiert )?(?:nicht|leider nicht)(?: mehr)? (?:gefunden|verf(?:ü|ue)gbar|erreichbar|geladen|vorhanden|geladen werden|gefunden werden|angezeigt werden)",
-    r"(?:es ist )?(?:ein |ein unerwarteter |unerwarteter |ein interner )?(?:interner )?fehler (?:ist )?(?:aufgetreten|passiert)",
-    r"(?:zugriff|zugang) (?:verweigert|nicht erlaubt|gesperrt)",
-    r"(?:der |die |dieser )?(?:dienst|server|seite|website) ist (?:derzeit |vor(?:ü|ue)bergehend |momentan )*(?:nicht (?:verf(?:ü|ue)gbar|erreichbar)|(?:ü|ue)berlastet|in wartung)",
-    r"(?:ihre|die) sitzung ist abgelaufen",
-    # French
-    r"(?:la )?page (?:est )?(?:introuvable|non trouv(?:é|e)e|inexistante|indisponible)",
-    r"acc(?:è|e)s (?:refus(?:é|e)|interdit|non autoris(?:é|e))",
-    r"(?:une )?erreur(?: inattendue| interne| inconnue)?(?: du serveur)? (?:est survenue|s['’ ]?est produite)",
-    r"(?:le |la |ce )?(?:service|serveur|site)(?: est)?(?: temporairement| actuellement)? (?:indisponible|inaccessible|surcharg(?:é|e)|en maintenance)",
-    r"(?:votre|la) session a expir(?:é|e)",
-    # Spanish and Portuguese
-    r"(?:la |a )?p(?:á|a)gina (?:no (?:encontrada|existe|disponible|se ha encontrado|fue encontrada)|n(?:ã|a)o (?:encontrada|existe|dispon(?:í|i)vel|foi encontrada))",
-    r"(?:acceso|acesso) (?:denegado|negado|prohibido|proibido)",
-    r"(?:ha ocurrido|se ha producido|ocurri(?:ó|o)|se produjo|hubo|ocorreu|houve|aconteceu) (?:un|um) (?:erro|error|problema)(?: .*)?",
-    r"(?:el |o )?(?:servicio|servidor|sitio|servi(?:ç|c)o|site)(?: est(?:á|a))?(?: temporalmente| temporariamente)? (?:no disponible|indispon(?:í|i)vel|fuera de servicio|fora do ar|indisponible|sobrecargado|sobrecarregado|en mantenimiento|em manuten(?:ç|c)(?:ã|a)o)",
-    r"(?:su|la|sua|a sua|a) (?:sesi(?:ó|o)n|sess(?:ã|a)o) (?:ha )?(?:caducado|expirado|expir(?:ó|o)|expirou|terminou)",
-    r"algo (?:sali(?:ó|o) mal|ha salido mal|deu errado|correu mal)|quelque chose s['’ ]?est mal pass(?:é|e)|(?:da |hier )?(?:ist )?etwas (?:ist )?schief ?(?:gelaufen|gegangen)",
-    # Italian, Dutch
-    r"pagina (?:non trovata|niet gevonden)|accesso negato|toegang geweigerd|si (?:è|e) verificato un errore|er is een fout opgetreden",
-]
-
-FILLER = [
-    r"(?:(?:(?:filler|dummy|placeholder|sample|example|blank|mock|test) )+(?:section|paragraph|line|text|content|sentence|block|message|body|title|description|words|word)(?: #)? ?)+",
-    r"(?:(?:your|the|some|a|an|more|any|my|insert|add|put) )*(?:(?:longer|short|long|commit|detailed|brief|full|actual|real|first|main|change) )*(?:text|title|message|description|content|explanation|summary|body|subject|details|copy|notes?|comment)(?: text)? (?:(?:goes|comes|belongs) )?(?:here|later|soon)",
-    r"(?:(?:the |a )?(?:real|final|actual|proper|full) )?(?:wording|texts?|title|message|description) (?:to follow|follows|will follow|will come|comes later|to come|pending)(?: later| soon)?",
-    r"this (?:space|line|place|text|section|area|message|field) (?:is |was |has been )?(?:intentionally |deliberately )?(?:reserved|left|kept|held|set aside)(?: (?:blank|empty|free|open))?(?: for .*)?",
-    r"(?:text|title|description|message|content|details|summary) (?:will |to )?(?:follow|follows|come|be added|coming)(?: later| soon)?",
-    r"(?:hier|an dieser stelle) (?:steht|kommt|folgt|erscheint)(?: sp(?:ä|ae)ter)?(?: noch)? (?:der|ein|die|das) (?:text|titel|beschreibung|inhalt|nachricht)(?: sp(?:ä|ae)ter| hin)?",
-    r"(?:der |die |das )?(?:text|titel|beschreibung|inhalt)(?: hier)? (?:folgt|kommt)(?: noch| sp(?:ä|ae)ter| hier)*",
-    r"(?:blindtext|platzhaltertext|platzhalter|beispieltext|mustertext|f(?:ü|ue)lltext)(?: #)?",
-    r"(?:le |la |un |une |ici le |votre )?(?:texte|titre|description|message|contenu) (?:viendra|vient|sera ajout(?:é|e)e?|suivra|ici|(?:à|a) venir)(?: ici| plus tard)?",
-    r"(?:texte|contenu) (?:de remplissage|d['’ ]exemple|factice|provisoire)",
-    r"(?:el |la |un |o |a |um |seu |su |aqu(?:í|i) (?:va |vai )?(?:el |o )?)?(?:texto|t(?:í|i)tulo|descripci(?:ó|o)n|descri(?:ç|c)(?:ã|a)o|mensaje|mensagem|contenido|conte(?:ú|u)do) (?:vendr(?:á|a)|vir(?:á|a)|va|vai|ir(?:á|a)|viene|vem|se (?:añ|an)adir(?:á|a)|aqu(?:í|i)|de (?:relleno|ejemplo|exemplo|preenchimento|prueba|teste)|mais tarde|m(?:á|a)s tarde)(?: .*)?",
-    r"aqu(?:í|i) (?:va|vai|ir(?:á|a)|estar(?:á|a)|vendr(?:á|a)|vir(?:á|a))(?: (?:el|la|o|a))? (?:texto|t(?:í|i)tulo|descripci(?:ó|o)n|descri(?:ç|c)(?:ã|a)o|contenido|conte(?:ú|u)do)(?: .*)?",
-    r"(?:il )?testo (?:segnaposto|di esempio|qui|verr(?:à|a) .*)|(?:hier komt )?(?:later )?(?:de )?tekst(?: later)?",
-]
-
-#: What may stand beside an error page or a notice, but is none by itself.
-BESIDE = [
-    r"(?:request id|req id|ray|ray id|trace|trace id|incident|reference|ref|id|error id|code|support id|event id|session|correlation id)[ :#]*(?:#|<\*>)",
-    r"(?:then|and|now)? ?(?:please )?(?:reload|refresh)(?: (?:the|this|your) (?:page|site|tab|window|browser))?(?: (?:afterwards|then|again|now|and try (?:again|once more)))*",
-    r"(?:back|go back|return|continue)(?: to (?:the )?(?:start|home|main|front|previous|login|sign ?in)(?: ?page)?)?",
-    rf"(?:please )?(?:see|read|check|consult|open) the (?:help|manual|documentation|settings)(?: page| pages)?(?: of| for| in)?(?: your| the)? ?{_BROWSER}?",
-    _AGAIN,
-    r"(?:please )?(?:wait|stand by)(?: .*)?|(?:thank you|thanks)(?: .*)?|(?:one|a|just a) moment(?: please)?",
-    r"bitte (?:sp(?:ä|ae)ter )?(?:noch ?mal |erneut |noch einmal )?(?:versuchen|laden|probieren|versuchen sie).*|bitte .*(?:versuchen|neu laden|anmelden).*|versuchen sie .*|zur(?:ü|ue)ck zur .*",
-    r"(?:veuillez|merci de) (?:r(?:é|e)essayer|recharger|patienter|vous connecter|actualiser).*|retour (?:à|a) .*|r(?:é|e)essayez.*",
-    r"(?:por favor,? )?(?:int(?:é|e)nte(?:lo)?|vuelva|tente|volte|recargue|recarregue|actualice|atualize|inicie|faça|fa(?:ç|c)a|intentelo)\b.*|(?:volver|voltar) (?:al|ao|a|à|para) .*",
-]
+#: Share of equal words at which sentences of a leaf merge, and different words that make a place variable.
+SIMILAR, MIN_FILLERS = 0.5, 3
+#: Distinct sentences that are merged at a time; a leaf with more is mined in parts.
+LEAF_ROWS = 1000
 
 #: Trailers of a message that are neither subject nor body.
 TRAILER = re.compile(r"^\s*(?:(?:signed-off|reviewed|acked|tested|reported|suggested|approved|helped|co-authored|co-developed)-by|change-id|cc|link|refs?|reference|see-also|bug|git-svn-id)\s*:\s.*$|^\s*\((?:cherry picked|cherry-picked) from commit .*\)\s*$", re.I)
-AUTOMATIC = re.compile(r"^(?:merge (?:branch|pull request|remote-tracking|tag|commit)|revert \"|bump |automatic |auto-?|scheduled |nightly |update lock file|build #|chore\(release\))", re.I)
+#: Subjects that tools write.
+AUTOMATIC = re.compile(r"^(?:merge (?:branch|pull request|remote-tracking|tag|commit)\b|revert \"|bump \S+ (?:from|to)\b|automatic(?:ally)? \w+|auto-\w+ |scheduled \w+|nightly \w+|update lock file\b|build #|chore\(release\))", re.I)
 
 # ---- slots ------------------------------------------------------------------------------------------------------------------
 
 _VERB = r"(?:describe|insert|enter|add|write|explain|fill(?: in| out)?|put|type|give|state|specify|your|provide|choose|select|replace|todo|edit|name|list|mention)"
-_WORDS = r"[\w '/,.-]{1,60}"
-#: Unfilled slots in their usual spellings.
-SLOT = re.compile(
+#: Unfilled slots in their usual spellings; bracketed ones reach from mark to mark.
+SLOT_PATTERN = re.compile(
     "|".join(
         [
-            r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%=?[^<>\n]{1,60}%>", rf"<<{_WORDS}>>", rf"«{_WORDS}»", r"[$#]\{[^{}\n]{1,60}\}", r"\{[\w .-]{1,40}\}", r"%\([\w .-]{1,40}\)s?",
-            r"@@[\w .-]{1,40}@@", r"~~[\w .-]{1,40}~~", r"__[A-Za-z][A-Za-z0-9 .-]{0,38}(?:_[A-Za-z0-9]+)*__", r"\$[A-Za-z][\w.-]{0,38}\$", r"%[A-Za-z][\w.-]{0,38}%", rf"<{_WORDS}>", rf"\[\[{_WORDS}\]\]", rf"\[{_WORDS}\]",
-            rf"\({_VERB}\b{_WORDS}\)", r"\bxxx [\w -]{1,40} xxx\b", r"\b[\w-]+(?: [\w-]+)? goes here\b", r"\btodo: ?(?:describe|fill in|add|write|explain|insert|enter|provide|your|put|choose|name|list|set)\b[\w ]{0,40}", r"\[object object\]",
+            r"<!--(?:(?!-->)[^\n])*-->", r"\{\{[^{}\n]+\}\}", r"\{%[^{}\n]+%\}", r"<%=?[^<>\n]+%>", r"<<[^<>\n]+>>", r"«[^«»\n]+»", r"[$#]\{[^{}\n]+\}", r"\{[\w .-]+\}", r"%\([\w .-]+\)s?",
+            r"@@[\w .-]+@@", r"~~[\w .-]+~~", r"__[A-Za-z][A-Za-z0-9 .-]*(?:_[A-Za-z0-9]+)*__", r"\$[A-Za-z][\w.-]*\$", r"%[A-Za-z][\w.-]*%", r"<[^<>@\n]+>", r"\[\[[^\[\]\n]+\]\]", r"\[(?!(?:skip ci|ci skip|no ci|wip|[x ]|[\w-]*\d[\w.-]*)\])[^\[\]\n]+\]",
+            rf"\({_VERB}\b[^()\n]*\)", r"\bxxx [\w -]+ xxx\b", r"\b[\w-]+(?: [\w-]+)? goes here\b", r"\btodo: ?(?:describe|fill in|add|write|explain|insert|enter|provide|your|put|choose|name|list|set)\b[\w ]*", r"\[object object\]",
             r"(?<![\w.])!?(?:undefined|null|nan|none|nil)(?![\w.])",
         ]
     ),
     re.I,
-)
-_SLOT_TOKEN = "⟨slot⟩"
+)
 _HTML = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|noscript|div|span|br|center|hr|meta|strong|b|i|em|a|ul|li|script|style|pre)\b[^<>]*>", re.I)
 _HEADER_ONE = re.compile(r"^[0-9a-f]{7,40} \S.{0,80} \d{4}-\d\d-\d\d\s*$")
 
@@ -189,7 +72,7 @@ def strip_headers(message: str) -> list[str]:
         lines.pop(0)
     if not lines:
         return []
-    if re.match(r"^commit [0-9a-f]{7,64}\b", lines[0]) or re.match(r"^(?:Author|From|Date|Subject|Commit|AuthorDate|CommitDate|Committer|Merge|To|Cc|From [0-9a-f]{40})\b ?:? ", lines[0]) and re.match(r"^(?:From|Author|Date|Subject|Committer|To)\b", lines[0]):
+    if re.match(r"^commit [0-9a-f]{7,64}\b|^From [0-9a-f]{40} |^(?:Author|From|Date|Subject|Commit|AuthorDate|CommitDate|Committer|To)\s*:", lines[0]):
         i, subject = 0, []
         while i < len(lines) and lines[i].strip():
             s = re.match(r"^Subject:\s*(.*)$", lines[i])
@@ -215,64 +98,6 @@ def strip_headers(message: str) -> list[str]:
     return out
 
 
-def _any(patterns: list[str]) -> re.Pattern:
-    return re.compile("(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\s*[.!?…:]*\Z", re.I)
-
-
-_CLASSES = {"scripts_required": _any(SCRIPTS), "error_page": _any(ERRORS), "filler": _any(FILLER)}
-_BESIDE = _any(BESIDE)
-_OPENING = re.compile(r"^(?:(?:sorry|oops|whoops|uh[ -]oh|hmm|note|notice|warning|attention|error|achtung|hinweis|fehler|d(?:é|e)sol(?:é|e)|lo sentimos|desculpe|perd(?:ó|o)n)[,!.:;…-]+ *)+", re.I)
-
-
-def _vocabulary(patterns: list[str]) -> set[str]:
-    """Words that the patterns spell out, in every spelling that their optional letters, blanks and marks allow."""
-    rules = [
-        (r"\\[a-zA-Z]", (" ",)), (r"\[(\w)([\w'])\]", (r"\1", r"\2")), (r"\(\?:([^\W\d_]{1,2})\|([^\W\d_]{1,2})\)", (r"\1", r"\2")), (r" \?", ("", " ")), (r"-\?", ("", "-")),
-        (r"\(\?:(\w+)\)\?", ("", r"\1")), (r"(\w)\?", ("", r"\1")),
-    ]
-    forms = ["\n".join(patterns)]
-    for what, choices in rules:
-        forms = [re.sub(what, c, f) for f in forms for c in choices]
-    return {w for f in forms for w in re.findall(r"[^\W\d_]+", f)}
-
-
-#: Words that a template keeps; all others become wildcards.
-_KNOWN = {*LOREM, *SCAFFOLD, *_vocabulary([*SCRIPTS, *ERRORS, *FILLER, *BESIDE, _OPENING.pattern])}
-
-
-def mask(lines: list[str]) -> str:
-    """The template of a unit: lower case, single blanks, paragraphs and sentences kept apart by ' | ', slots as one token, numbers,
-    hashes and names as wildcards, ordinary words outside the classes' vocabulary as '<*>'. Units that repeat a few words, or consist
-    of one mashed key, become '⟨repeat⟩'."""
-    text = "\n".join(re.sub(r"[ \t\u00a0]+", " ", re.sub(r"^(?:[#*=-]+\s+)+", "", x)) for x in lines).strip()  # without headings' and lists' marks
-    if text[:1] == "{":
-        try:
-            text = " | ".join(_texts(json.loads(text.split("\n\n")[0]))) + "\n" + "\n".join(text.split("\n\n")[1:])
-        except ValueError:
-            pass
-    text = _HTML.sub(" | ", text)
-    flat = re.sub(r"\s+", " ", text).strip().lower()
-    words = re.findall(r"[^\W_]+", flat)
-    if len(words) >= 4 and len(set(words)) <= max(1, len(words) // 3) and len(set(words)) <= 6 or re.fullmatch(r"[x._\s-]{8,}", flat) and "x" in flat or len(words) >= 4 and len(set(re.sub(r"\d+", "", flat).split())) == 1:
-        return "⟨repeat⟩"
-    text = SLOT.sub(f" {_SLOT_TOKEN} ", text)
-    text = re.sub(r"\n\s*\n", " | ", text)
-    text = re.sub(r"(?<=[.!?…])\s+(?=\S)", " | ", re.sub(r"\.\s*\.\s*\.", "…", text))
-    text = re.sub(r"\s+", " ", text).strip().lower()
-    out = []
-    for t in text.split(" "):
-        core = t.strip("\"'`´‘’“”.,;:!?()[]{}<>#*=-–—…|/")
-        if t in (_SLOT_TOKEN, "|") or not core:
-            out.append(t)
-        elif core.isdigit() or re.fullmatch(r"(?=.*\d)[0-9a-f-]{4,}", core):
-            out.append(t.replace(core, "#"))
-        elif core in _KNOWN or any(c in "'’-" or ord(c) > 127 for c in core):
-            out.append(t)
-        else:
-            out.append(t.replace(core, "<*>"))
-    return " ".join(out)
-
-
 def _texts(x) -> list[str]:
     """Strings of an error reply: values of code and text keys of a nested object; anything else is no reply."""
     if isinstance(x, dict):
@@ -290,90 +115,187 @@ def _texts(x) -> list[str]:
     return [str(x)]
 
 
-def classify(template: str) -> str | None:
-    """Class of a template, None for an ordinary one. All of it must be residue of one class (scaffolding, and what may stand beside
-    error pages and notices, excepted)."""
-    if template == "⟨repeat⟩":
-        return "filler"
-    if not template:
-        return None
-    words = re.findall(r"[^\W\d_]+|<\*>|#", template.replace(_SLOT_TOKEN, " "))
-    if _SLOT_TOKEN in template and all(w in SCAFFOLD or w == "#" for w in words):
-        return "placeholder"
-    real = [w for w in words if w not in ("<*>", "#")]
-    if len(words) >= 5 and sum(w in LOREM for w in real) >= 0.9 * len(words):
-        return "filler"
-    seen, beside = set(), False
-    for s in template.split("|"):
-        s = s.strip(" .,;:!?-–—\"'`“”‘’()")
-        if not s:
-            continue
-        s = _OPENING.sub("", s) or s
-        hit = next((c for c, p in _CLASSES.items() if p.match(s)), None)
-        if hit is None and _BESIDE.match(s):
-            beside = True
-        elif hit is None:
-            if _SLOT_TOKEN in s and all(w in SCAFFOLD or w == "#" for w in re.findall(r"[^\W\d_]+|<\*>|#", s.replace(_SLOT_TOKEN, " "))):
-                hit = "placeholder"
-            else:
-                return None
-        if hit:
-            seen.add(hit)
-    if beside and not seen & {"scripts_required", "error_page"}:
-        return None
-    for c in ("scripts_required", "error_page", "filler", "placeholder"):
-        if c in seen:
-            return c
-    return None
+@lru_cache(1 << 16)
+def _masked(token: str) -> str:
+    """A token with its numbers and hashes as '#', and hosts, addresses and paths as a name."""
+    core = token.strip("\"'`´‘’“”.,;:!?()[]{}<>=*-–—…|/")
+    if not core or core in (SLOT.strip("⟨⟩"), NUMBER):
+        return token
+    if re.fullmatch(r"(?=.*\d)[0-9a-f-]{4,}|\d+(?:[.:,]\d+)*", core):
+        return token.replace(core, NUMBER)
+    if re.fullmatch(r"\w+://\S+|[\w.+-]+@[\w.-]+|(?:[\w-]+\.)+[a-z]\w+(?:/\S*)?|\S+/\S+/\S+", core):
+        return token.replace(core, NAME)
+    return token
+
+
+def sentences(lines: list[str]) -> list[str]:
+    """The sentences of a unit, masked and in lower case. Headings' and lists' marks go; JSON replies give their texts, HTML its text. A
+    line break ends a sentence where the line is short or a paragraph ends. A unit that repeats a few words, or consists of one mashed
+    key, is one sentence of its own kind."""
+    text = "\n".join(re.sub(r"[ \t\u00a0\u3000]+", " ", re.sub(r"^(?:[#*=-]+\s+)+", "", x)) for x in lines).strip()
+    if text[:1] == "{":
+        try:
+            text = "\n\n".join([*_texts(json.loads(text.split("\n\n")[0])), *text.split("\n\n")[1:]])
+        except ValueError:
+            pass
+    text = _HTML.sub("\n\n", text)
+    flat = re.sub(r"\s+", " ", text).strip().lower()
+    words = re.findall(r"[^\W_]+", flat)
+    if len(words) >= 4 and len(set(words)) <= max(1, len(words) // 3) and len(set(words)) <= 6 or re.fullmatch(r"[x._\s-]{8,}", flat) and "x" in flat or len(words) >= 4 and len(set(re.sub(r"\d+", "", flat).split())) == 1:
+        return [REPEAT]
+    if is_latin(words):
+        return [" ".join(words)]
+    text = SLOT_PATTERN.sub(f" {SLOT} ", text)
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        parts = [""]
+        for line in paragraph.split("\n"):
+            parts[-1] += " " + line
+            if len(line) < 50:
+                parts.append("")
+        for p in parts:
+            for x in re.split(r"(?<=[.!?…:])\s+|(?<=[。！？])", re.sub(r"\.\s*\.\s*\.", "…", p)):
+                x = " ".join(_masked(t) for t in x.lower().split())
+                if re.search(r"[^\W_]|#", x):
+                    out.append(x)
+    return out
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, path, template, slots) for the units of each message; slots counts unresolved slots in it. Null texts, blank and
-    empty messages have no unit; messages that tools write by themselves (merges, reverts, bumps) have none either."""
+    """(doc_id, unit, slots, sentences) of the units of each message; slots counts unresolved slots in it. Null texts, blank and empty
+    messages have no unit. A message under a subject that tools write is no unit as a whole, but its body is."""
 
     def run(batches):
         for b in batches:
             rows = []
             for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines = strip_headers(m or "")
-                if not lines or AUTOMATIC.match(lines[0]) and not SLOT.search(lines[0]):
-                    continue
-                slots = len(SLOT.findall("\n".join(lines)))
-                t = mask(lines)
-                rows.append((i, "message", t, slots))
-                body = lines[1:]
-                if any(body):
-                    rows.append((i, "body", mask(body), slots))
+                slots = len(SLOT_PATTERN.findall("\n".join(lines)))
+                whole = not lines or AUTOMATIC.match(lines[0]) and not SLOT_PATTERN.search(lines[0])
+                for unit, part in (("message", [] if whole else lines), ("body", lines[1:])):
+                    found = sentences(part)
+                    if found:
+                        rows.append((i, unit, slots, found))
             if rows:
-                d, u, t, s = zip(*rows)
-                path = ["{}/{}".format(len(x.split(" ")), "/".join(x.split(" ")[:DEPTH])) for x in t]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(d, np.int64)), pa.array(u), pa.array(path), pa.array(t), pa.array(np.array(s, np.int32))], names=["doc_id", "unit", "path", "template", "slots"])
+                d, u, n, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(d, np.int64)), pa.array(u), pa.array(np.array(n, np.int32)), pa.array(s, pa.list_(pa.string()))], names=["doc_id", "unit", "slots", "sentences"])
 
     src = docs.where("doc_id is not null and text is not null").select("doc_id", message_column(F.col("text")).alias("message"))
-    return src.mapInArrow(run, "doc_id long, unit string, path string, template string, slots int")
+    return src.mapInArrow(run, "doc_id long, unit string, slots int, sentences array<string>")
+
+
+# ---- the tree ---------------------------------------------------------------------------------------------------------------
+
+
+@lru_cache(1 << 16)
+def _open(token: str) -> bool:
+    return is_open(token)
+
+
+def _paths(distinct: DataFrame) -> DataFrame:
+    """(sentence, n, path) of the sentences that can be residue: those that are none as they stand, and have more words without a concept
+    than others, are ordinary whatever the tree says."""
+
+    def run(batches):
+        for b in batches:
+            keep, path = [], []
+            for k, s in enumerate(b.column(0).to_pylist()):
+                tokens = s.split(" ")
+                free = [_open(t) for t in tokens]
+                if sum(free) <= len(tokens) / 2 or sentence_class(s):
+                    keep.append(k)
+                    path.append(" ".join([str(len(tokens)), *("*" if f else t for t, f in zip(tokens[:DEPTH], free))]))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int64())) for c in b.columns), pa.array(path, pa.string())], names=["sentence", "n", "path"])
+
+    return distinct.select("sentence", "n").mapInArrow(run, "sentence string, n long, path string")
+
+
+def merge_leaf(leaf: list[list[str]]) -> list[str]:
+    """The template of each sentence (as tokens, of one length) of a leaf, in order."""
+    if len(leaf) == 1:
+        return [" ".join(leaf[0])]
+    width, codes = len(leaf[0]), {}
+    rows = np.array([[codes.setdefault(t, len(codes)) for t in x] for x in leaf])
+    free = np.array([[_open(t) for t in x] for x in leaf])
+    tree, loose, met, of = np.zeros((len(leaf), width), int), np.zeros((len(leaf), width), bool), [], []
+    for row, f in zip(rows, free):
+        m = len(met)
+        same = tree[:m] == row
+        fits = (same | (loose[:m] & f)).all(1) & (same.sum(1) >= SIMILAR * width)
+        if fits.any():
+            k = int(np.argmax(np.where(fits, same.sum(1), -1)))
+        else:
+            k = m
+            tree[k], loose[k] = row, f
+            met.append([set() for _ in range(width)])
+        for p in np.flatnonzero(f):
+            met[k][p].add(row[p])
+        tree[k][tree[k] != row] = -1
+        of.append(k)
+    return [" ".join(WILD if len(met[k][p]) >= MIN_FILLERS else t for p, t in enumerate(x)) for k, x in zip(of, leaf)]
+
+
+def mine_templates(distinct: DataFrame) -> DataFrame:
+    """(sentence, n, template): the leaf templates of distinct sentences (sentence, n). Sentences that can't be residue are left out."""
+    paths = write_table(_paths(distinct), "residue-paths")
+    sizes = paths.groupBy("path").agg(F.count("*").alias("m"))
+    hot = sizes.where(F.col("m") > LEAF_ROWS).select("path", F.ceil(F.col("m") / LEAF_ROWS).cast("int").alias("parts"))  # hint-free: as many as fit LEAF_ROWS into the rows
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("sentence"), F.col("parts"))).cast("int")
+    leaves = paths.join(hot, "path", "left").select("path", part.alias("part"), "sentence", "n")
+    leaves = leaves.repartition("path", "part").sortWithinPartitions("path", "part", "sentence")
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def merged(rows):
+            done = [x for _, leaf in groupby(rows, key=lambda r: r[:2]) for g in [list(leaf)] for x in zip(g, merge_leaf([r[2].split(" ") for r in g]))]
+            return pa.RecordBatch.from_arrays([pa.array([r[2] for r, _ in done], pa.string()), pa.array([r[3] for r, _ in done], pa.int64()), pa.array([t for _, t in done], pa.string())], names=["sentence", "n", "template"])
+
+        for b in batches:
+            held += zip(*(c.to_pylist() for c in b.columns))
+            last = held[-1][:2] if held else None
+            cut = len(held)
+            while cut and held[cut - 1][:2] == last:  # the last leaf may go on in the next batch
+                cut -= 1
+            if cut:
+                yield merged(held[:cut])
+                held = held[cut:]
+        if held:
+            yield merged(held)
+
+    return leaves.mapInArrow(run, "sentence string, n long, template string")
 
 
-def mine_templates(found: DataFrame) -> DataFrame:
-    """(path, template, template_id, n_units, verdict): the leaves of the tree with their counts, each classified once."""
-    leaves = found.groupBy("path", "template").agg(F.count("*").alias("n_units"))
+def classify(templates: DataFrame) -> DataFrame:
+    """(template, verdict) of the distinct templates of mine_templates that are residue or may stand beside it."""
 
     def run(batches):
         for b in batches:
-            verdict = [classify(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdict, pa.string())], names=["path", "template", "n_units", "verdict"])
+            verdict = pa.array([sentence_class(t) for t in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), verdict], names=["template", "verdict"]).filter(verdict.is_valid())
 
-    got = leaves.mapInArrow(run, "path string, template string, n_units long, verdict string")
-    return got.withColumn("template_id", F.sha2("template", 256))
+    return templates.select("template").distinct().mapInArrow(run, "template string, verdict string")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, reason, in_unit): documents whose message, or all of whose body below the subject, is residue; reason is placeholder,
     filler, error_page or scripts_required, of the whole message if that is residue, else of the body. A doc_id that occurs in
     several rows comes out once."""
-    found = write_table(units(docs).withColumn("template_id", F.sha2("template", 256)), "residue-units")
-    bad = write_table(mine_templates(found).where("verdict is not null").select("template_id", "verdict", "n_units").groupBy("template_id").agg(F.max("verdict").alias("verdict"), F.sum("n_units").alias("n_units")), "residue-templates")
-    hits = join_unique(found.select("doc_id", "unit", "template_id"), bad, "template_id", "n_units")
-    return hits.groupBy("doc_id").agg(F.max(F.struct(F.col("unit").alias("in_unit"), F.col("verdict").alias("reason"))).alias("v")).select("doc_id", "v.reason", "v.in_unit")
+    found = write_table(units(docs), "residue-units")
+    distinct = found.select(F.explode("sentences").alias("sentence")).groupBy("sentence").agg(F.count("*").alias("n"))
+    mined = write_table(mine_templates(distinct), "residue-templates")
+    judged = write_table(join_unique(mined, classify(mined), "template").select("sentence", "n", "verdict"), "residue-verdicts")
+    # a unit is residue if its first sentence is and all others are: most units leave at the first
+    first = found.select("doc_id", "unit", "sentences", F.col("sentences")[0].alias("sentence"))
+    some = write_table(join_unique(first, judged.drop("verdict"), "sentence", "n").select("doc_id", "unit", "sentences"), "residue-candidates")
+    each = some.select("doc_id", "unit", F.xxhash64("sentences").alias("u"), F.explode("sentences").alias("sentence"))
+    each = join_unique(each, judged, "sentence", "n", how="left")
+    whole = each.groupBy("doc_id", "unit", "u").agg(F.bool_and(F.col("verdict").isNotNull()).alias("ok"), F.collect_set("verdict").alias("seen")).where("ok")
+    has = lambda c: F.array_contains("seen", c)
+    alone = F.coalesce(*[F.when(has(c), F.lit(c)) for c in CLASSES])
+    reason = F.when(has("beside") & ~has("scripts_required") & ~has("error_page"), None).otherwise(alone)
+    hits = whole.select("doc_id", "unit", reason.alias("reason")).where("reason is not null")
+    return hits.groupBy("doc_id").agg(F.max(F.struct(F.col("unit").alias("in_unit"), "reason")).alias("v")).select("doc_id", "v.reason", "v.in_unit")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -382,6 +304,18 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
 
 def open_slots(docs: DataFrame) -> DataFrame:
-    """(doc_id, slots): unresolved slots inside ordinary messages, found per record; for a report, no ground for exclusion."""
-    found = units(docs).where("unit = 'message' and slots > 0").select("doc_id", "slots").distinct()
+    """(doc_id, slots, slots_below): unresolved slots in the messages of ordinary documents, and in what follows the message; for a
+    report, no ground for exclusion. Whole texts are read."""
+
+    def run(batches):
+        for b in batches:
+            ids, n, below = [], [], []
+            for i, t, m in zip(*(c.to_pylist() for c in b.columns)):
+                a, z = len(SLOT_PATTERN.findall("\n".join(strip_headers(m)))), len(SLOT_PATTERN.findall(t[len(m) :]))
+                if a or z:
+                    ids.append(i), n.append(a), below.append(z)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(below, pa.int32())], names=["doc_id", "slots", "slots_below"])
+
+    src = docs.where("doc_id is not null and text is not null").select("doc_id", "text", message_column(F.col("text")).alias("message"))
+    found = src.mapInArrow(run, "doc_id long, slots int, slots_below int").groupBy("doc_id").agg(F.max("slots").alias("slots"), F.max("slots_below").alias("slots_below"))
     return found.join(verdicts(docs).select("doc_id"), "doc_id", "left_anti")

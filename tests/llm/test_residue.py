@@ -1,6 +1,8 @@
 import pytest
 
 from exonloom.llm import residue
+from exonloom.llm.residue_words import CLASSES, sentence_class
+from tests.llm.residue_wordings import ORDINARY, RESIDUE
 
 GIT = "commit 0123456789abcdef0123456789abcdef01234567\nAuthor: A B <a@b.example>\nDate:   2020-01-01 00:00:00 +0000\n\n    {}\n\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+Lorem ipsum {{{{ title }}}}\n"
 MAIL = "From: A B <a@b.example>\r\nDate: 2020-01-01\r\nSubject: [PATCH] {}\r\n\r\n---\r\n\r\ndiff --git a/x b/x\r\n"
@@ -61,15 +63,50 @@ def test_verdicts_in_all_layouts(spark):
     assert left == {i for i, _, _ in data} - set(want)
 
 
-def test_open_slots(spark):
-    df = spark.createDataFrame([(1, "Escape {{ user.name }} and ${X} in mails"), (2, "{{ title }}"), (3, "plain words")], "doc_id long, text string")
-    assert [tuple(r) for r in residue.open_slots(df).collect()] == [(1, 2)]
+def _verdict(message):
+    """As verdicts() combines the sentences, each for itself."""
+    seen = {sentence_class(x) for x in residue.sentences(residue.strip_headers(message.replace("\\n", "\n")))}
+    if None in seen or "beside" in seen and not seen & {"scripts_required", "error_page"}:
+        return None
+    return next((c for c in CLASSES if c in seen), None)
+
+
+def test_wordings_in_many_languages():
+    cases, ordinary = (x.strip().split("\n") for x in (RESIDUE, ORDINARY))
+    assert len(cases) > 150 and sum(_verdict(x) is not None for x in cases) >= 0.9 * len(cases)
+    assert sum(_verdict(x) is not None for x in ordinary) <= 0.1 * len(ordinary)
+
+
+def test_places_that_vary_are_mined(spark):
+    """A word that nobody knows breaks a sentence, unless the tree met others in its place."""
+    text = "The {} could not be loaded"
+    one = spark.createDataFrame([(1, text.format("zorb"))], "doc_id long, text string")
+    assert residue.verdicts(one).count() == 0
+    many = spark.createDataFrame([(i, text.format(x)) for i, x in enumerate(("zorb", "plim", "quast", "zorb"))], "doc_id long, text string")
+    assert {r.doc_id for r in residue.verdicts(many).collect()} == {0, 1, 2, 3}
+    assert {r.template for r in residue.mine_templates(many.selectExpr("lower(text) as sentence", "1L as n")).collect()} == {"the <*> could not be loaded"}
+
 
+def test_leaves_merge_only_similar_sentences():
+    leaf = [x.split(" ") for x in ("the page abc could not load", "the page bcd could not load", "the page cde could not load", "the page abc is not here")]
+    assert residue.merge_leaf(leaf) == ["the page <*> could not load"] * 3 + ["the page abc is not here"]
 
-def test_templates_are_shared(spark):
-    df = spark.createDataFrame([(i, f"Fix parser{i} when f{i} returns {i}") for i in range(50)], "doc_id long, text string")
-    t = residue.mine_templates(residue.units(df)).collect()
-    assert len(t) == 1 and t[0].n_units == 50 and t[0].verdict is None
+
+def test_hot_leaves_are_mined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(residue, "LEAF_ROWS", 10)
+    df = spark.createDataFrame([(f"the zq{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} could not be loaded", 1) for i in range(100)], "sentence string, n long")
+    got = residue.mine_templates(df).collect()
+    assert len(got) == 100 and {r.template for r in got} == {"the <*> could not be loaded"}
+
+
+def test_the_body_under_an_automatic_subject_is_judged(spark):
+    df = spark.createDataFrame([(1, "Merge branch 'a' into b\n\nLorem ipsum dolor sit amet consectetur"), (2, "Merge branch 'lorem ipsum' into b"), (3, "Autosize the pool\n\nLorem ipsum dolor sit amet")], "doc_id long, text string")
+    assert {(r.doc_id, r.in_unit) for r in residue.verdicts(df).collect()} == {(1, "body"), (3, "body")}
+
+
+def test_open_slots(spark):
+    df = spark.createDataFrame([(1, "Escape {{ user.name }} and ${X} in mails\n\ndiff --git a/x b/x\n+{{ y }}\n"), (2, "{{ title }}"), (3, "plain words"), (4, None)], "doc_id long, text string")
+    assert [tuple(r) for r in residue.open_slots(df).collect()] == [(1, 2, 1)]
 
 
 def test_empty(spark):
@@ -77,6 +114,6 @@ def test_empty(spark):
     assert residue.verdicts(df).count() == 0 and residue.open_slots(df).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "a", "|", "((((", "[" * 3000])
+@pytest.mark.parametrize("text", ["", "a", "|", "((((", "[" * 3000, "<" * 3000 + ">" * 3000, "\u3042" * 5000])
 def test_masking_is_robust(text):
-    residue.classify(residue.mask(text.split("\n")))
+    [sentence_class(x) for x in residue.sentences(text.split("\n"))]
