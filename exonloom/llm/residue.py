@@ -121,7 +121,7 @@ def _masked(token: str) -> str:
     core = token.strip("\"'`´‘’“”.,;:!?()[]{}<>=*-–—…|/")
     if not core or core in (SLOT.strip("⟨⟩"), NUMBER):
         return token
-    if re.fullmatch(r"(?=.*\d)[0-9a-f-]{4,}|\d+(?:[.:,]\d+)*", core):
+    if re.fullmatch(r"(?=.*\d)[0-9a-f-]{4,}|[0-9a-f]{8,}|\d+(?:[.:,]\d+)*", core):
         return token.replace(core, NUMBER)
     if re.fullmatch(r"\w+://\S+|[\w.+-]+@[\w.-]+|(?:[\w-]+\.)+[a-z]\w+(?:/\S*)?|\S+/\S+/\S+", core):
         return token.replace(core, NAME)
@@ -154,7 +154,7 @@ def sentences(lines: list[str]) -> list[str]:
             if len(line) < 50:
                 parts.append("")
         for p in parts:
-            for x in re.split(r"(?<=[.!?…:])\s+|(?<=[。！？])", re.sub(r"\.\s*\.\s*\.", "…", p)):
+            for x in re.split(r"(?<=[.!?…:;])\s+|(?<=[。！？])", re.sub(r"\.\s*\.\s*\.", "…", p)):
                 x = " ".join(_masked(t) for t in x.lower().split())
                 if re.search(r"[^\W_]|#", x):
                     out.append(x)

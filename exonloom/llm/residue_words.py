@@ -34,13 +34,13 @@ STEMS = {
     "text": "opis 文字 描述 text texts copy title message description content explanation summary body subject details copy notes comment wording sentence section paragraph line lines words word block topic heading texte titre contenu texto título titulo descripción descrição mensaje mensagem contenido conteúdo titel beschreibung inhalt nachricht testo titolo tekst titel beskrivning rubrik beskrivelse teksti otsikko kuvaus tytuł opis treść popis текст описание заголовок текст опис metin başlık açıklama テキスト 本文 タイトル 説明 文章 文本 标题 描述 内容 文字 텍스트 제목 설명 내용",
     "here": "insert enter 填写 填寫 輸入 输入 wpisz wprowadź wstaw введите вставьте infoga skriv inserisci escriba ingrese insérer saisir einfügen eingeben invoer voeg added here goes go comes follow follows following coming belongs soon later intentionally deliberately left blank reserved kept space place pending final hier steht stehen folgt kommt später hin ici viendra suivra venir sera ajouté ajoutée aquí aqui va vai irá vendrá virá viene vem añadirá mais tarde más tarde qui verrà hier komt later här kommer senare her kommer senere tähän tulee tutaj będzie później zde bude později здесь будет позже тут буде buraya gelecek sonra ここ 入ります 入力 这里 此处 這裡 在此 여기",
     "filler": "placeholder placeholders filler dummy sample example mock lorem ipsum blah bla tbd tba xxx foo asdf blindtext platzhalter- beispieltext mustertext fülltext remplissage factice exemple provisoire relleno ejemplo exemplo preenchimento prueba teste segnaposto esempio riempitivo voorbeeldtekst opvul- platshållar- exempel- utfyllnad pladsholder eksempel- plassholder täyte- paikkamerkki zastępcz- przykładow- wypełniacz- zástupn- ukázkov- заполнитель пример- рыба заглушк- приклад- örnek yer tutucu ダミー サンプル プレースホルダー 占位 占位符 示例 样例 더미 예시 샘플",
-    "plain": "à al dal della dello degli delle nei chez är 일 시 적 인 right now zurzeit pro této tato tohoto nebyla nebyl nebylo nebyly byl byla bylo został została zostało zostały haya haber avez avons hat haben hatte fu furono siano sii vous-même esse essa este isso nenhum ninguna ningún aucun aucune kein keinen keiner nessun nessuna geen żaden žádný никакой mevcut değildir olan olarak oldu edildi edilmiş gibi başka nu nå dann mer meer very please 没 就 也 与 及 或者 那 里 来自 进行 时 對 对 於 于 可以 可 需 让 讓 她 他 best better nieoczekiwan- obsługę blev bliver blivit masz tę те у вас нет вам вы мы она он они inne jest ci cię 或 内部 面 お 試 解 해 해서 또는 inattendu- interni inre intern internt vnitřní iç ett blir är under varmasti aluksi alla så sorry unfortunately valitettavasti bohužel niestety к сожалению helaas helaas malheureusement desafortunadamente lamentablemente infelizmente purtroppo yhden 还 请求 時 few a an the this that these those your you our my we us i it its it's itself is are was were be been being has have had having having do don't not no nor and or but if so because as of to in on for from by with at into within during due up out over under about after before below above here there then than when while which who whom what where why how all any some each every other another both very too also only just currently temporarily still already yet unexpected unknown internal fatal general some something things anything nothing more most less full fully new first next own order reason time times may might will would shall like longer http https error status www safe security check verify verifying ensure human robot und oder der die das den dem des ein eine einen einem einer ist sind war wird werden wurde wurden sein nicht kein keine leider derzeit momentan vorübergehend interner unerwarteter ihr ihre ihrem ihren ihrer dein deine deinem sie du es wir um zu zum zur im in am an auf für von vom mit bei aus dass mehr zugriff zugang diese dieser dieses diesen alle etwas da le la les l un une des du de d et ou est sont a ont été être il elle on nous vous votre vos notre ce cet cette ces ne n pas plus pour par sur dans avec en au aux que qui quelque chose s c y actuellement temporairement interne inattendue inconnue accès el los las lo una uno unos y o es son está están fue ha han se su sus tu nuestro este esta estos no en del al con por para que hay algo un actualmente temporalmente interno inesperado acceso o os as um uma e é são estão foi há seu sua neste nesta na no nas nos do da dos das ao em com não que algo atualmente temporariamente acesso il i gli uno è sono ha stato stata si di a da nel nella per con non questo questa tuo tua suo qualcosa che al accesso momento de het een en is zijn was werd wordt heeft er je uw jouw deze dit die van naar op in met voor om te niet geen iets momenteel toegang och eller en ett den det de är var har din ditt denna detta inte för att i på av med till vid något sin tillfälligt åtkomst og en et er var har din dit denne dette ikke for at i på af av med til noget noe der adgang tilgang on ei ja tämä tämän sinun että voi olla pääsy jokin i w na do z ze się nie jest są był została ten ta to tej twój twoja twojej aby żeby dostęp coś chwilowo obecnie a v na se je jsou byl byla tato tento tuto váš vaše vašem aby přístup něco и в на с со не был была было ваш ваша вашем вашего этот эта эту этой этого для чтобы по к что-то что доступ временно сейчас та у це цей цю щоб вашому bir bu şu ve veya için ile de da değil şey sizin lütfen şu anda geçici olarak の を に は が で と も て た い し ま す です ます した する して から まで この その が ない ため には では 的 了 在 是 您 你 我 们 我们 此 该 这 本 个 以 和 并 将 已 未 后 中 上 来 以便 才 能 到 出 先 所 有 不 一 个 에 을 를 이 가 은 는 의 로 으로 에서 합니다 있습니다 됩니다 되었습니다 했습니다 하려면 이",
+    "plain": "real actual proper à al dal della dello degli delle nei chez är 일 시 적 인 right now zurzeit pro této tato tohoto nebyla nebyl nebylo nebyly byl byla bylo został została zostało zostały haya haber avez avons hat haben hatte fu furono siano sii vous-même esse essa este isso nenhum ninguna ningún aucun aucune kein keinen keiner nessun nessuna geen żaden žádný никакой mevcut değildir olan olarak oldu edildi edilmiş gibi başka nu nå dann mer meer very please 没 就 也 与 及 或者 那 里 来自 进行 时 對 对 於 于 可以 可 需 让 讓 她 他 best better nieoczekiwan- obsługę blev bliver blivit masz tę те у вас нет вам вы мы она он они inne jest ci cię 或 内部 面 お 試 解 해 해서 또는 inattendu- interni inre intern internt vnitřní iç ett blir är under varmasti aluksi alla så sorry unfortunately valitettavasti bohužel niestety к сожалению helaas helaas malheureusement desafortunadamente lamentablemente infelizmente purtroppo yhden 还 请求 時 few a an the this that these those your you our my we us i it its it's itself is are was were be been being has have had having having do don't not no nor and or but if so because as of to in on for from by with at into within during due up out over under about after before below above here there then than when while which who whom what where why how all any some each every other another both very too also only just currently temporarily still already yet unexpected unknown internal fatal general some something things anything nothing more most less full fully new first next own order reason time times may might will would shall like longer http https error status www safe security check verify verifying ensure human robot und oder der die das den dem des ein eine einen einem einer ist sind war wird werden wurde wurden sein nicht kein keine leider derzeit momentan vorübergehend interner unerwarteter ihr ihre ihrem ihren ihrer dein deine deinem sie du es wir um zu zum zur im in am an auf für von vom mit bei aus dass mehr zugriff zugang diese dieser dieses diesen alle etwas da le la les l un une des du de d et ou est sont a ont été être il elle on nous vous votre vos notre ce cet cette ces ne n pas plus pour par sur dans avec en au aux que qui quelque chose s c y actuellement temporairement interne inattendue inconnue accès el los las lo una uno unos y o es son está están fue ha han se su sus tu nuestro este esta estos no en del al con por para que hay algo un actualmente temporalmente interno inesperado acceso o os as um uma e é são estão foi há seu sua neste nesta na no nas nos do da dos das ao em com não que algo atualmente temporariamente acesso il i gli uno è sono ha stato stata si di a da nel nella per con non questo questa tuo tua suo qualcosa che al accesso momento de het een en is zijn was werd wordt heeft er je uw jouw deze dit die van naar op in met voor om te niet geen iets momenteel toegang och eller en ett den det de är var har din ditt denna detta inte för att i på av med till vid något sin tillfälligt åtkomst og en et er var har din dit denne dette ikke for at i på af av med til noget noe der adgang tilgang on ei ja tämä tämän sinun että voi olla pääsy jokin i w na do z ze się nie jest są był została ten ta to tej twój twoja twojej aby żeby dostęp coś chwilowo obecnie a v na se je jsou byl byla tato tento tuto váš vaše vašem aby přístup něco и в на с со не был была было ваш ваша вашем вашего этот эта эту этой этого для чтобы по к что-то что доступ временно сейчас та у це цей цю щоб вашому bir bu şu ve veya için ile de da değil şey sizin lütfen şu anda geçici olarak の を に は が で と も て た い し ま す です ます した する して から まで この その が ない ため には では 的 了 在 是 您 你 我 们 我们 此 该 这 本 个 以 和 并 将 已 未 后 中 上 来 以便 才 能 到 出 先 所 有 不 一 个 에 을 를 이 가 은 는 의 로 으로 에서 합니다 있습니다 됩니다 되었습니다 했습니다 하려면 이",
     "number": "one two three four five ten",
 }
 #: Status lines of replies, word by word; with a number, or alone, they are an error page.
 STATUS = "bad request unauthorized payment required forbidden not found method allowed request timeout time-out conflict gone too many requests internal server error not implemented bad gateway service unavailable gateway timeout moved permanently access denied proxy origin temporarily"
 #: Imperatives that open a change description.
-TRADE = set("explain add adds added fix fixes fixed show shows let lets replace replaces drop drops document reject rejects escape escapes translate detect stop stops expand handle remove removes update updates make makes print raise catch ignore log skip skips test tests send map hide rename move refactor improve introduce avoid prevent ensure support merge revert bump implement extract convert simplify clean clarify mention describe rewrite reword style format align adjust tweak pin seed cache guard validate warn throw report rework split join sort parse strip trim limit disable retry redirect return returns render renders mark treat respect tell teach give keep clear swap serve send install configure "
+TRADE = set("check reset trace copy load explain add adds added fix fixes fixed show shows let lets replace replaces drop drops document reject rejects escape escapes translate detect stop stops expand handle remove removes update updates make makes print raise catch ignore log skip skips test tests send map hide rename move refactor improve introduce avoid prevent ensure support merge revert bump implement extract convert simplify clean clarify mention describe rewrite reword style format align adjust tweak pin seed cache guard validate warn throw report rework split join sort parse strip trim limit disable retry redirect return returns render renders mark treat respect tell teach give keep clear swap serve send install configure "
     "refresh reload wait обработать исправить добавить удалить обновить исправлен исправлена добавлен добавлена corrige corriger ajoute ajouter supprime añade añadir arregla corregir corrigir adiciona adicionar remove aggiunge aggiungi correggi "
     "behebt behebe füge ergänze entferne korrigiert voeg herstel verwijder lägg fixa tilføj fjern legg dodaj popraw usuń napraw přidat opravit odstranit ekle düzelt kaldır".split())
 #: The same where words aren't parted.
@@ -132,7 +132,7 @@ def sentence_class(template: str) -> str | None:
         frame = "frame"
     else:
         frame = None
-    if SLOT in every or not every or re.match(r"\[?[\w-]+-#\]|\w+(?:\([^)]*\))?!?: \S", template) and not re.match(r"(?:error|http|code|status|fehler|erreur|erro|errore|request|req|ray|trace|id|note|notice|sorry|warning|nginx|\W)\b", template):
+    if SLOT in every or not every or re.match(r"\[?[\w-]+-(?:#|\d+)\]|\w+(?:\([^)]*\))?!?: \S", template) and not re.match(r"(?:error|http|code|status|fehler|erreur|erro|errore|request|req|ray|trace|id|note|notice|sorry|warning|nginx)\b", template):
         return frame
     if {"lorem", "ipsum"} <= set(real) and all(w in LATIN for w in real):
         return "filler"
@@ -152,7 +152,7 @@ def sentence_class(template: str) -> str | None:
     meant = [m for m in meant if m]
     wild = sum(w == WILD for w in every)
     trade = TRADE_EAST.search(template) or real[0] in TRADE and not (real[0] == "log" and real[1:2] and real[1] in ("in", "out", "on", "opnieuw"))
-    if not known or every[0] == WILD or wild > max(1, len(every) / 5) or trade and not (real[0] in ("retry", "refresh", "reload", "wait") and all(m & {"again", "plain", "view", "number"} or w in ("page", "site", "tab", "window", "browser") for m, w in zip(meant, real))):
+    if not known or every[0] == WILD or wild > max(1, len(every) / 5) or trade and not (real[0] in ("retry", "refresh", "reload", "wait") and (len(real) == 1 or real[1] in ("the", "this", "your", "page", "and", "or", "to", "later", "shortly", "again", "once", "a", "for", "please"))):
         return frame
     sayings = lambda *c: sum(bool(m & set(c)) for m in meant)
     if "script" in has and (has & {"enable", "disabled", "need"}) or "script" in has and "browser" in has:
