@@ -49,42 +49,42 @@ def _first_failing(line: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(~line.rlike(p), F.lit(k + 1)) for k, p in enumerate(patterns)])
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator of one element keeps the optimizer from copying their expressions into
+    each place that uses them, filters above included."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.drop(*cols).select("*", one.alias("_one")).select("*", *[F.col("_one")[n].alias(n) for n in cols]).drop("_one")
+
+
 def parse_rows(df: DataFrame, line_col: str, fields: tuple[FieldSpec, ...]) -> DataFrame:
     """Add to each line `fields` (array of unquoted contents, null if the quoting is broken), `reason` (null for a valid line) and
     `broken_field` (1-based number of the first broken field, 0 for a wrong number of fields).
 
-    Reasons in order: 'quoting', 'column_count', then each field's own in schema order. One carriage return at the end is ignored.
-    Null and empty lines have reason 'empty' (no field is tested). Other columns pass through; names clashing with the added
-    ones are replaced."""
-    line = F.regexp_replace(F.col(line_col), r"\r\z", "")
-    df = df.drop("fields", "reason", "broken_field", "_line", "_ok").withColumn("_line", line)
-    ln = F.col("_line")
-    df = df.withColumn("_ok", ln.rlike(row_pattern(fields)))
-    ok = F.col("_ok")
-    any_broken = F.when(~ok & ~ln.rlike(rf"\A{ANY}(?:,{ANY})*+\z"), F.coalesce(_first_failing(ln, prefix_patterns(fields, False)), F.lit(len(fields) + 1)))
-    df = df.withColumn("_quote", any_broken)
+    Reasons in order: 'quoting', 'column_count', then each field's own in schema order. One carriage return at the end is ignored. A
+    null line has reason 'missing' (there is nothing to test); an empty one has one field, so its count is wrong, unless the schema
+    has just one. Other columns pass through; names clashing with the added ones are replaced.
+
+    A line that matches the whole-row expression meets no other pattern: it leaves after one match and the checks."""
+    df = df.drop("fields", "reason", "broken_field", "_line", "_ok", "_quote", "_typed", "_v", "_one")
+    ln, ok, got = F.col("_line"), F.col("_ok"), F.col("fields")
+    df = _once(df, _line=F.regexp_replace(F.col(line_col), r"\r\z", ""))
+    df = _once(df, _ok=ln.rlike(row_pattern(fields)))
+    broken = F.when(~ok & ~ln.rlike(rf"\A{ANY}(?:,{ANY})*+\z"), F.coalesce(_first_failing(ln, prefix_patterns(fields, False)), F.lit(len(fields) + 1)))
+    df = _once(df, _quote=broken)
     raw = F.regexp_extract_all(F.concat(F.lit(","), ln), F.lit(f",({ANY})"), F.lit(1))
     clean = F.transform(raw, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    df = df.withColumn("fields", F.when(F.col("_quote").isNull() & (ln != ""), clean))
-    got = F.col("fields")
+    df = _once(df, fields=F.when(F.col("_quote").isNull(), clean))
     count_bad = F.size(got) != len(fields)
-    typed = _first_failing(ln, prefix_patterns(fields, True))
-    df = df.withColumn("_typed", F.when(~ok & F.col("_quote").isNull() & ~count_bad, typed))
+    df = _once(df, _typed=F.when(~ok & F.col("_quote").isNull() & ~count_bad, _first_failing(ln, prefix_patterns(fields, True))))
     # what patterns can't say: checks in schema order; a field breaks if its pattern or its check fails
-    first = []
-    for k, f in enumerate(fields):
-        if f.reason is None:
-            continue
-        bad = _field_bad(f, k, got, F.col("_typed"))
-        first.append(F.when(bad, F.struct(F.lit(f.reason).alias("reason"), F.lit(k + 1).alias("at"))))
     verdict = F.coalesce(
-        F.when(ln.isNull() | (ln == ""), F.struct(F.lit("empty").alias("reason"), F.lit(0).alias("at"))),
+        F.when(ln.isNull(), F.struct(F.lit("missing").alias("reason"), F.lit(0).alias("at"))),
         F.when(F.col("_quote").isNotNull(), F.struct(F.lit("quoting").alias("reason"), F.col("_quote").alias("at"))),
         F.when(count_bad, F.struct(F.lit("column_count").alias("reason"), F.lit(0).alias("at"))),
-        *first,
+        *[F.when(_field_bad(f, k, got, F.col("_typed")), F.struct(F.lit(f.reason).alias("reason"), F.lit(k + 1).alias("at"))) for k, f in enumerate(fields) if f.reason is not None],
     )
-    df = df.withColumn("_v", verdict).withColumn("reason", F.col("_v.reason")).withColumn("broken_field", F.col("_v.at"))
-    return df.drop("_line", "_ok", "_quote", "_typed", "_v")
+    df = _once(df, _v=verdict)
+    return df.select("*", F.col("_v.reason").alias("reason"), F.col("_v.at").alias("broken_field")).drop("_line", "_ok", "_quote", "_typed", "_v")
 
 
 def _field_bad(f: FieldSpec, k: int, got: Column, typed: Column) -> Column:
@@ -122,8 +122,8 @@ def parse_gene_lines(df: DataFrame, line_col: str = "raw_line") -> DataFrame:
 
 
 def rejected(parsed: DataFrame, id_col: str = "line_id") -> DataFrame:
-    """Invalid lines with their reason. Null and empty lines carry nothing to load and are no cases."""
-    return parsed.where(F.col("reason").isNotNull() & (F.col("reason") != "empty")).select(id_col, "reason", "broken_field")
+    """Invalid lines with their reason; null lines are no cases."""
+    return parsed.where(F.col("reason").isNotNull() & (F.col("reason") != "missing")).select(id_col, "reason", "broken_field")
 
 
 def loaded_gene_records(parsed: DataFrame, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ _ANY = '("([^"]|"")*"|[^",]*)'
 _LINES = rf"""
 WITH l AS (SELECT line_id, batch_id, regexp_replace(raw_line, '\r$', '') AS ln FROM raw_records),
 q AS (SELECT line_id, batch_id, ln, regexp_full_match(ln, '(?s){_ANY}(,{_ANY})*') AS quoted,
-      [CASE WHEN x LIKE '"%' THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END FOR x IN regexp_extract_all(',' || ln, ',{_ANY}', 1)] AS f FROM l WHERE ln <> ''),
+      [CASE WHEN x LIKE '"%' THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END FOR x IN regexp_extract_all(',' || ln, ',{_ANY}', 1)] AS f FROM l WHERE ln IS NOT NULL),
 r AS (SELECT *, len(regexp_replace(coalesce(f[6], ''), '\s', '', 'g')) AS n, string_split(coalesce(f[5], ''), ',') AS parts FROM q),
 v AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 6 THEN 'column_count'
       WHEN len([x FOR x IN parts IF regexp_full_match(x, '[ \t]*[0-9]+\.\.[0-9]+[ \t]*') AND coalesce(try_cast(regexp_extract(x, '([0-9]+)\.\.', 1) AS BIGINT) >= 1
@@ -38,7 +38,7 @@ v AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 6 THEN 'colum
 """
 ORACLE = {
     "p1_found": _LINES + "SELECT line_id, reason FROM v WHERE reason IS NOT NULL",
-    "p1_reason_counts": _LINES + """, w AS (SELECT batch_id, coalesce(reason, 'valid') AS reason FROM v UNION ALL SELECT batch_id, 'empty' FROM l WHERE ln IS NULL OR ln = '')
+    "p1_reason_counts": _LINES + """, w AS (SELECT batch_id, coalesce(reason, 'valid') AS reason FROM v UNION ALL SELECT batch_id, 'missing' FROM l WHERE ln IS NULL)
 SELECT batch_id, reason, count(*) AS n_lines FROM w GROUP BY ALL""",
     "p1_loaded_records": _LINES + r"""SELECT line_id, nullif(trim(f[1]), '') AS gene, try_cast(trim(f[2]) AS INTEGER) AS file_rank, nullif(trim(f[3]), '') AS division, nullif(trim(f[4]), '') AS note,
  len(parts)::INTEGER AS n_ranges, regexp_extract(parts[-1], '\.\.([0-9]+)', 1)::INTEGER AS last_end, upper(regexp_replace(f[6], '\s', '', 'g')) AS seq FROM v WHERE reason IS NULL""",

@@ -21,8 +21,8 @@ CASES = [
     (15, "g,1,PRI,note,1..2,ACXT", "seq"),
     (16, "g,1,PRI,note,1..2,", "ranges"),
     (17, "gene,file_rank,division,note,ranges,seq", "ranges"),
-    (18, "", "empty"),
-    (19, None, "empty"),
+    (18, "", "column_count"),
+    (19, None, "missing"),
     (20, "   ", "column_count"),
     (21, 'g,1,PRI,note,"1..99999999999999999999999",ACGT', "ranges"),
     (22, ',,,,1..1,A', None),
@@ -43,7 +43,7 @@ def test_broken_field_and_rejects(spark):
     p = r.parse_gene_lines(df)
     at = {x.line_id: x.broken_field for x in p.collect()}
     assert at[4] == 4 and at[5] == 4 and at[6] == 4 and at[7] == 0 and at[9] == 5 and at[15] == 6
-    assert {x.line_id for x in r.rejected(p).collect()} == {i for i, _, w in CASES if w and w != "empty"}
+    assert {x.line_id for x in r.rejected(p).collect()} == {i for i, _, w in CASES if w and w != "missing"}
 
 
 def test_loaded(spark):
