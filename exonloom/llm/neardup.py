@@ -1,23 +1,25 @@
 """Near-duplicate records with small edits (problem 5): all pairs whose sets of n-grams have a Jaccard similarity of t or more.
 
 Method: prefix-tree join over globally ordered n-gram sets. The n-grams of all records share one order, rarest first (counts in a
-table of constant size, ties by hash). The tree is kept as a relation: a node is a path of shared grams, and a set is registered
-at every node it can reach while the remaining-length bound holds - grams shared so far plus grams that still follow must come
-to the least overlap that the threshold asks for; what lies beyond is pruned and never written. Sets that meet at a node share
-that partial overlap, and the join of the node relation with itself is the traversal of the tree against itself, with the bound
-applied again to both sides' remainders. Every pair that meets is verified on the full sets.
+table of constant size, ties by hash). A set is stored in the tree below each gram that can be the first one it shares with a
+partner, together with the path of the grams that follow; sets below one gram meet in one task, which descends the tree: a set goes
+to the child of each following gram while the remaining-length bound holds - grams shared so far plus grams that still follow must
+come to the least overlap that the threshold asks for - and is pruned where that fails or where it is alone. Sets that share a
+node share that partial overlap; below the second level what remains of their paths is compared, the partial overlap carried, and
+the bound applied to both sides' sizes. Every pair that is left is verified on the full sets.
 
 So that nodes are told apart by few grams, whatever the number of records, the gram universe is cut by hash into parts of a few
 grams for each record. If J(A, B) >= t over the whole, J >= t holds in at least one part (the sums over the parts give the
 whole), so a search within parts at the same t is exact. The number of parts follows the size of the sets in octaves; a set is
-also registered in the next octave if its partner could lie there. For t > 0.5 two parts of more than one gram share two grams at
-least, so the nodes at depth two are the ones that count.
+also stored in the next octave if its partner could lie there. For t > 0.5 two parts of more than one gram share two grams at
+least.
 
 Parts of a single gram would meet by chance in large collections. They are left out, still exactly: the search within parts runs
 at a slightly lower threshold u < t. If at most a share (t - u) / (1 - u) of a record's grams lies in single-gram parts, and not
 all do, then the other parts cannot all be below u (what the single ones can contribute is less than what the lower threshold gives away).
-Records with a larger share of them - short ones - are registered with their single grams, at depth one.
+Records with a larger share of them - short ones - are stored with their single grams.
 
+Below a gram that more than HEAVY records have, sets are stored at the second level, so that no common gram gathers them in one task.
 Copies of one cleaned sequence are collapsed first and come back as members."""
 
 from __future__ import annotations
@@ -32,12 +34,16 @@ from pyspark.sql import functions as F
 from exonloom.functions.arrays import mix64, row_chunks, string_bytes, window_codes, window_ok
 from exonloom.llm.forest import spanning_forest
 from exonloom.llm.spans import sequence_classes
-from exonloom.runtime import shuffle_for, write_table
+from exonloom.runtime import join_unique, shuffle_for, write_table
 
 #: Hash buckets of the gram counts that make the global order; the only thing that is broadcast.
 RARITY = 1 << 18
 #: Grams per part, at the lower end of an octave.
 PART = 4
+#: Records with a gram (by its bucket) beyond which sets are stored one level below it.
+HEAVY = 20_000
+#: Rows and pairs that a task works on at a time.
+ROWS, PAIRS = 1 << 17, 1 << 19
 
 
 def _grams(col, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,23 +92,26 @@ def part_threshold(t: float) -> float:
 
 
 def tree_nodes(classes: DataFrame, counts, k: int, t: float) -> DataFrame:
-    """(node, rep, info): the nodes at which each set is registered. info packs the size of the whole set, the size of the part and
-    the grams that remain after the node."""
-    templates: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """(node, rep, info, path): the first-level nodes (second-level ones below heavy grams) at which each set is stored. info packs the
+    size of the whole set, the size of the part, the grams shared at the node and the children it may descend to; path has 16 bits of each gram
+    that follows in the part."""
     u = part_threshold(t)
     spare = (t - u) / (1 - u)
 
-    def template(a: int):
-        if a not in templates:
-            need = _least(u, a)
-            i, j = np.triu_indices(min(a, a - need + 2), 1)
-            keep = i <= a - need
-            templates[a] = i[keep], j[keep]
-        return templates[a]
-
     def run(batches):
         rarity = counts.value
         c1, c2, c3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+        def rows(node, rep, n, size, depth, children, grams, first, left):
+            """Rows of sets of one size; grams: their parts' grams by row, first: where the path begins."""
+            short = (grams >> np.uint64(20)).astype(np.uint16)
+            path = np.ascontiguousarray(short[np.arange(len(first))[:, None], np.minimum(first[:, None] + np.arange(size), size - 1)])
+            take = np.arange(size)[None, :] < left[:, None]
+            offsets = np.concatenate([[0], np.cumsum(left * 2)]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(path[take]))])
+            info = (n << 24) | (min(size, 255) << 16) | (depth << 8) | np.clip(children, 0, 255)
+            return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep), pa.array(info.astype(np.int64)), binary], names=["node", "rep", "info", "path"])
+
         for b in batches:
             for c in row_chunks(b, 1, 1 << 19):
                 rep = c.column(0).to_numpy()
@@ -111,38 +120,123 @@ def tree_nodes(classes: DataFrame, counts, k: int, t: float) -> DataFrame:
                     continue
                 n = np.bincount(row, minlength=len(rep))
                 octave = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
-                cost = np.minimum(rarity[_bucket(h)], (1 << 20) - 1).astype(np.uint64)
+                met = rarity[_bucket(h)]
+                cost = (np.log2(1.0 + met) * (1 << 15)).astype(np.uint64)  # 20 bits, in the order of the counts
                 for up in (0, 1):
                     level = octave + up
                     parts = np.maximum(1, (1 << level) // PART)
                     take = np.ones(len(h), bool) if up == 0 else (n >= t * (1 << level) - 1e-9)[row]
-                    r, g = row[take], h[take]
+                    r, g, m = row[take], h[take], met[take]
                     if not len(g):
                         continue
                     cell = (np.cumsum(parts) - parts)[r] + ((g & np.uint64(0xFFFFFFFF)) % parts[r].astype(np.uint64)).astype(np.int64)
                     order = np.lexsort((g, (cell.astype(np.uint64) << np.uint64(20)) | cost[take]))
-                    r, g, cell = r[order], g[order], cell[order]
+                    r, g, m, cell = r[order], g[order], m[order], cell[order]
                     start = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
                     size = np.diff(np.concatenate([start, [len(g)]]))
-                    for a in np.unique(size):
+                    for a in np.unique(size).tolist():
                         at = start[size == a]
                         if a == 1:
                             single = np.bincount(r[at], minlength=len(rep))
                             at = at[((single > spare * n) | (single >= n))[r[at]]]
-                            if not len(at):
-                                continue
-                        lv = level[r[at]].astype(np.uint64)
-                        if a == 1:
-                            node, left = mix64(g[at] * c1 + lv), np.zeros(1, np.int64)
-                        else:
-                            i, j = template(int(a))
-                            node = mix64((g[at[:, None] + i] * c1) ^ (g[at[:, None] + j] * c2 + (lv * c3)[:, None])).ravel()
-                            left = a - 1 - j
-                        of = np.repeat(r[at], len(left))
-                        info = (n[of] << 16) | (min(int(a), 255) << 8) | np.tile(np.minimum(left, 255), len(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep[of]), pa.array(info.astype(np.int64))], names=["node", "rep", "info"])
+                            if len(at):
+                                zero = np.zeros(len(at), np.int64)
+                                yield rows(mix64(g[at] * c1 + level[r[at]].astype(np.uint64)), rep[r[at]], n[r[at]], 1, 1, zero, g[at][:, None], zero, zero)
+                            continue
+                        need = _least(u, a)
+                        grams, common = g[at[:, None] + np.arange(a)], m[at[:, None] + np.arange(a)] > HEAVY
+                        salt = level[r[at]].astype(np.uint64) * c3
+                        for i in range(a - need + 1):
+                            root = mix64(grams[:, i] * c1 + salt)
+                            plain = np.flatnonzero(~common[:, i])
+                            if len(plain):
+                                of = r[at[plain]]
+                                same = np.full(len(plain), 1)
+                                yield rows(root[plain], rep[of], n[of], a, 1, same * (a - need - i + 1), grams[plain], same * (i + 1), same * (a - 1 - i))
+                            heavy = np.flatnonzero(common[:, i])
+                            for j in range(i + 1, a - need + 2) if len(heavy) else ():
+                                of = r[at[heavy]]
+                                same = np.full(len(heavy), 1)
+                                yield rows(mix64(root[heavy] ^ (grams[heavy, j] * c2)), rep[of], n[of], a, 2, same * 0, grams[heavy], same * (j + 1), same * (a - 1 - j))
+
+    return classes.select("rep", "seq").mapInArrow(run, "node long, rep long, info long, path binary")
+
+
+def _pairs_of(group: np.ndarray):
+    """Blocks of (x, y), x < y, over all rows of equal group (sorted), PAIRS at a time."""
+    end = np.searchsorted(group, group, side="right")
+    n = end - np.arange(len(group)) - 1  # partners after each row
+    total = np.cumsum(n)
+    for f in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+        p = np.arange(f, min(f + PAIRS, int(total[-1])))
+        x = np.searchsorted(total, p, side="right")
+        yield x, x + 1 + p - (total[x] - n[x])
+
+
+def descend(node: np.ndarray, rep: np.ndarray, info: np.ndarray, paths: pa.Array, t: float):
+    """Candidate pairs (a, b), a < b, in blocks, of the sets below the nodes of a sorted batch that holds whole nodes."""
+    u = part_threshold(t)
+    alone = np.concatenate([[True], node[1:] != node[:-1]]) & np.concatenate([node[1:] != node[:-1], [True]])
+    keep = np.flatnonzero(~alone)
+    if not len(keep):
+        return
+    node, rep, info = node[keep], rep[keep], info[keep]
+    width, part, depth, child = info >> 24, (info >> 16) & 255, (info >> 8) & 255, info & 255
+    paths = paths.take(pa.array(keep))
+    raw = np.frombuffer(paths.buffers()[2], np.uint16) if paths.buffers()[2] is not None else np.zeros(0, np.uint16)
+    off = np.frombuffer(paths.buffers()[1], np.int32, count=len(paths) + 1, offset=4 * paths.offset) // 2
+    left = np.diff(off)
+    grams = np.full((len(keep), max(1, int(left.max()))), -1, np.int32)
+    grams[np.repeat(np.arange(len(keep)), left), np.arange(off[-1] - off[0]) - np.repeat(off[:-1] - off[0], left)] = raw[off[0] : off[-1]]
+    group = np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))
+    # second level: one entry per child that the bound allows; nodes stored there already keep their place
+    times = np.where(depth == 1, np.minimum(child, left), 0)
+    row = np.repeat(np.arange(len(keep)), times)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    deep = (group[row] << 16) | grams[row, step]
+    here = np.flatnonzero((depth == 2) | (part == 1))
+    for key, of, first in ((deep, row, step + 1), (group[here], here, np.zeros(len(here), np.int64))):
+        order = np.argsort(key, kind="stable")
+        key, of, first = key[order], of[order], first[order]
+        for x, y in _pairs_of(key):
+            p, q = of[x], of[y]
+            a, b, fa, fb = part[p], part[q], first[x], first[y]
+            shared = np.minimum(2, np.minimum(a, b))
+            need = u / (1 + u) * (a + b) - 1e-9
+            ok = (rep[p] != rep[q]) & (np.minimum(width[p], width[q]) >= t * np.maximum(width[p], width[q]) - 1e-9) & (shared + np.minimum(left[p] - fa, left[q] - fb) >= need)
+            p, q, fa, fb, need, shared = p[ok], q[ok], fa[ok], fb[ok], need[ok], shared[ok]
+            if len(p):
+                at = np.arange(grams.shape[1])
+                ga, gb = np.where(at >= fa[:, None], grams[p], -1), np.where(at >= fb[:, None], grams[q], -2)
+                more = ((ga[:, :, None] == gb[:, None, :]) & (ga[:, :, None] >= 0)).any(2).sum(1)
+                p, q = p[shared + more >= need], q[shared + more >= need]
+                yield np.unique(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])], axis=1), axis=0)
+
+
+def candidates(nodes: DataFrame, t: float) -> DataFrame:
+    """(a, b), a < b: pairs of sets that meet below a node with enough shared grams in their part; a pair may come several times."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def work(table):
+            cols = [table.column(i).combine_chunks() for i in range(4)]
+            for pairs in descend(*(c.to_numpy() for c in cols[:3]), cols[3], t):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            node = table.column(0).to_numpy()
+            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            yield from work(table.slice(0, cut)) if cut else ()
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
-    return classes.select("rep", "seq").mapInArrow(run, "node long, rep long, info long")
+    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, k: int, t: float) -> DataFrame:
@@ -174,22 +268,12 @@ def similar_classes(classes: DataFrame, k: int = 12, t: float = 0.6) -> DataFram
     if not 1 <= k <= 12 or not 0.5 < t <= 1:
         raise ValueError("k must lie in 1..12 and t in (0.5, 1]")
     counts = classes.sparkSession.sparkContext.broadcast(gram_counts(classes, k))
-    nodes = tree_nodes(classes, counts, k, t)
-    x, y = nodes.alias("x"), nodes.alias("y")
-    size = lambda c: F.shiftrightunsigned(F.col(c), 16)
-    part = lambda c: F.shiftrightunsigned(F.col(c), 8).bitwiseAND(255)
-    rest = lambda c: F.col(c).bitwiseAND(255)
-    depth, u = F.least(F.lit(2), part("x.info")), part_threshold(t)
-    meet = x.join(y, F.col("x.node") == F.col("y.node")).where(
-        (F.col("x.rep") < F.col("y.rep"))
-        & (F.least(size("x.info"), size("y.info")) >= t * F.greatest(size("x.info"), size("y.info")) - 1e-9)
-        & (depth + F.least(rest("x.info"), rest("y.info")) >= u / (1 + u) * (part("x.info") + part("y.info")) - 1e-9)
-    )
     symbols = classes.agg(F.sum(F.length("seq"))).first()[0] or 0
-    with shuffle_for(classes.sparkSession, 1.5 * symbols):  # nodes: about 1.5 a symbol
-        pairs = write_table(meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "neardup-candidates")
-    full = pairs.join(classes.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(classes.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")
-    return _verify(full, k, t)
+    with shuffle_for(classes.sparkSession, symbols):  # nodes: about one a symbol
+        pairs = write_table(candidates(tree_nodes(classes, counts, k, t), t).distinct(), "neardup-candidates")
+    left = join_unique(pairs, classes.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a")
+    partners = classes.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")).join(pairs.groupBy("b").agg(F.count("*").alias("n_pairs")), "b")
+    return _verify(join_unique(left, partners, "b", "n_pairs"), k, t)
 
 
 def near_pairs(df: DataFrame, k: int = 12, t: float = 0.6, id_col: str = "record_id", seq_col: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,7 +299,8 @@ def near_groups(df: DataFrame, k: int = 12, t: float = 0.6, id_col: str = "recor
     links, classes, members = near_pairs(df, k, t, id_col, seq_col)
     _, labels = spanning_forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("w")))
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    rooted = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = write_table(classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "neardup-roots")
     first = rooted.groupBy("root").agg(F.min("rep").alias("group_id"))
-    per = rooted.join(first, "root").join(ends, "rep", "left").select("rep", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return members.join(per, "rep").select(F.col("id").alias(id_col), F.col("rep").alias("class_id"), "group_id", F.col("n").alias("n_copies"), "n_links")
+    per = join_unique(rooted, first, "root").join(ends, "rep", "left").select("rep", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per = write_table(per.join(classes.select("rep", F.col("n").alias("copies")), "rep"), "neardup-classes")
+    return join_unique(members, per, "rep", "copies").select(F.col("id").alias(id_col), F.col("rep").alias("class_id"), "group_id", F.col("n").alias("n_copies"), "n_links")
