@@ -2,7 +2,8 @@
 
 Method: exact prefix-filter bipartite join on rare shingles. Of each evaluation text the prefix is indexed: the k+1 rarest shingles
 that don't overlap each other - k edits can break at most k of them, so one stays whole in any text within distance k. The
-training texts are probed with all their shingles; a length filter (difference <= k) and a position filter (shift <= k) thin the
+training texts are probed with all their shingles - those that no indexed one can equal are dropped before the shuffle by a filter of
+bounded size (see bloom) -; a length filter (difference <= k) and a position filter (shift <= k) thin the
 hits, and the edit distance of every distinct candidate pair is verified. No pair is lost.
 
 Rarity comes from counts over all texts in RARITY hash buckets - a table of constant size, whatever the data. Texts are compared
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.functions.arrays import mix64, string_bytes, window_ok
-from exonloom.runtime import write_table
+from exonloom.llm import bloom
+from exonloom.runtime import join_unique, write_table
 
 #: Hash buckets of the shingle counts; the only thing that is broadcast (8 bytes each).
 RARITY = 1 << 18
@@ -133,8 +135,9 @@ def index_prefixes(texts: DataFrame, counts, k: int, max_q: int) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, _HITS)
 
 
-def probe_shingles(texts: DataFrame, k: int, max_q: int, sizes: set[int]) -> DataFrame:
-    """(key, tid, pos, n) of every shingle of each text, in the sizes that an index entry within the length filter can have."""
+def probe_shingles(texts: DataFrame, k: int, max_q: int, sizes: set[int], sent) -> DataFrame:
+    """(key, tid, pos, n) of the shingles of each text, in the sizes that an index entry within the length filter can have, that pass the
+    index's filter (sent, a broadcast)."""
 
     def run(batches):
         for b in batches:
@@ -154,6 +157,7 @@ def probe_shingles(texts: DataFrame, k: int, max_q: int, sizes: set[int]) -> Dat
                         hashed[q] = _hashes(raw, q), window_ok(off, q)
                     h, ok = hashed[q]
                     at = np.flatnonzero(ok & (length[row] == n))
+                    at = at[bloom.passing(sent.value, h[at])]
                     for i in range(0, len(at), EMIT):
                         s = at[i : i + EMIT]
                         yield _batch(h[s], tid[row[s]], s - off[row[s]], np.full(len(s), n))
@@ -169,32 +173,51 @@ def near_texts(left: DataFrame, right: DataFrame, k: int = 4, max_q: int = MAX_Q
     left, right = (x.select("tid", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text")) for x in (left, right))  # one byte a symbol
     counts = spark.sparkContext.broadcast(shingle_counts(left.unionByName(right), k, max_q))
     sizes = {r[0] for r in right.select(F.least(F.lit(max_q), F.floor(F.length("text") / (k + 1))).cast("int").alias("q")).distinct().collect()}  # at most max_q + 1 numbers
-    index = index_prefixes(right, counts, k, max_q).withColumnsRenamed({"tid": "tid_r", "pos": "pos_r", "n": "n_r"})
-    probes = probe_shingles(left, k, max_q, sizes).withColumnsRenamed({"tid": "tid_l", "pos": "pos_l", "n": "n_l"})
-    hits = probes.join(index, "key").where((F.abs(F.col("n_l") - F.col("n_r")) <= k) & (F.abs(F.col("pos_l") - F.col("pos_r")) <= k))
-    pairs = hits.select("tid_l", "tid_r").distinct()
-    both = pairs.join(whole["l"].select(F.col("tid").alias("tid_l"), F.col("text").alias("text_l")), "tid_l").join(whole["r"].select(F.col("tid").alias("tid_r"), F.col("text").alias("text_r")), "tid_r")
+    index = write_table(index_prefixes(right, counts, k, max_q).withColumnsRenamed({"tid": "tid_r", "pos": "pos_r", "n": "n_r"}), "split-index")
+    probes = probe_shingles(left, k, max_q, sizes, spark.sparkContext.broadcast(bloom.build(index))).withColumnsRenamed({"tid": "tid_l", "pos": "pos_l", "n": "n_l"})
+    hits = join_unique(write_table(probes, "split-probes"), index, "key").where((F.abs(F.col("n_l") - F.col("n_r")) <= k) & (F.abs(F.col("pos_l") - F.col("pos_r")) <= k))
+    pairs = write_table(hits.select("tid_l", "tid_r").distinct(), "split-candidates")
+    both = join_unique(pairs, whole["l"].select(F.col("tid").alias("tid_l"), F.col("text").alias("text_l")), "tid_l")
+    partners = whole["r"].select(F.col("tid").alias("tid_r"), F.col("text").alias("text_r")).join(pairs.groupBy("tid_r").agg(F.count("*").alias("n_pairs")), "tid_r")
+    both = join_unique(both, partners, "tid_r", "n_pairs")
     return both.withColumn("distance", F.levenshtein("text_l", "text_r", k)).where("distance >= 0").select("tid_l", "tid_r", "distance")
 
 
+def linked_texts(df: DataFrame, k: int = 4, split: tuple[str, str] = ("train", "test")) -> tuple[DataFrame, DataFrame]:
+    """(links, members): the overlaps between distinct texts of two splits (tid_l, tid_r, distance), and (sample_id, split, tid, copies)
+    for each sample's text, copies counting the samples' rows with that text."""
+    rows = df.select("sample_id", "split", canon_window(F.col("win")).alias("text")).where("text <> '' and split in ('%s', '%s')" % split).distinct()
+    rows = write_table(rows.withColumn("text_key", F.concat_ws(":", "split", "text")), "split-rows")
+    texts = write_table(rows.groupBy("text_key", "split", "text").agg(F.min("sample_id").alias("tid"), F.count("*").alias("n")), "split-texts")
+    side = [texts.where(F.col("split") == s).select("tid", "text") for s in split]
+    members = join_unique(rows.select("sample_id", "split", "text_key"), texts.select("text_key", "tid", F.col("n").alias("copies"), "n"), "text_key", "n")
+    return write_table(near_texts(side[0], side[1], k), "split-pairs"), write_table(members.drop("text_key"), "split-members")
+
+
 def overlaps(df: DataFrame, k: int = 4, split: tuple[str, str] = ("train", "test")) -> DataFrame:
     """All overlaps between two splits: train_id, test_id, distance, one row per pair of sample ids.
 
     Null and blank windows match nothing. Rows delivered again (same sample_id and window) count once. Symbols outside
     ASCII are told apart only in the final distance."""
-    rows = df.select("sample_id", "split", canon_window(F.col("win")).alias("text")).where("text <> '' and split in ('%s', '%s')" % split).distinct()
-    texts = rows.groupBy("split", "text").agg(F.min("sample_id").alias("tid"), F.count("*").alias("n"))
-    texts = write_table(texts, "split-texts")
-    side = [texts.where(F.col("split") == s).select("tid", "text") for s in split]
-    pairs = write_table(near_texts(side[0], side[1], k), "split-pairs")
-    members = rows.join(texts.select("split", "text", "tid"), ["split", "text"])
+    links, members = linked_texts(df, k, split)
     m = [members.where(F.col("split") == s).select(F.col("tid").alias(t), F.col("sample_id").alias(i)) for s, t, i in ((split[0], "tid_l", "train_id"), (split[1], "tid_r", "test_id"))]
-    return pairs.join(m[0], "tid_l").join(m[1], "tid_r").select("train_id", "test_id", "distance")
-
-
-def overlap_report(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Overlaps per split, label and source: pairs, affected samples and exact ones; a null source is its own group."""
+    left = write_table(join_unique(links, m[0], "tid_l"), "split-expanded")
+    return join_unique(left, m[1], "tid_r").select("train_id", "test_id", "distance")
+
+
+def overlap_report(df: DataFrame, k: int = 4, split: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """Overlaps per split, label and source: pairs, affected samples and exact ones; a null source is its own group. Pairs are counted
+    from links and copies, not expanded."""
+    links, members = linked_texts(df, k, split)
+    copies = members.select("split", "tid", "copies").distinct()
+    per = []
+    for s, own, other in ((split[0], "tid_l", "tid_r"), (split[1], "tid_r", "tid_l")):
+        far = copies.where(F.col("split") != s).select(F.col("tid").alias(other), "copies")
+        n = join_unique(links, far, other).groupBy(own).agg(F.sum("copies").alias("links"), F.sum(F.when(F.col("distance") == 0, F.col("copies")).otherwise(0)).alias("exact"))
+        per.append(n.select(F.lit(s).alias("split"), F.col(own).alias("tid"), "links", "exact"))
+    counted = per[0].unionByName(per[1]).withColumn("text_key", F.concat_ws(":", "split", "tid"))
+    rows = members.select("sample_id", "copies", F.concat_ws(":", "split", "tid").alias("text_key"))
+    weights = counted.select("text_key", "links", "exact").join(rows.groupBy("text_key").agg(F.max("copies").alias("n")), "text_key")
+    each = join_unique(rows.drop("copies"), write_table(weights, "split-counts"), "text_key", "n").groupBy("sample_id").agg(F.sum("links").alias("links"), F.sum("exact").alias("exact"))
     who = df.groupBy("sample_id").agg(F.first("split").alias("split"), F.first("label").alias("label"), F.first("source", True).alias("source"))
-    sides = pairs.select(F.col("train_id").alias("sample_id"), "distance").unionByName(pairs.select(F.col("test_id").alias("sample_id"), "distance"))
-    per = sides.groupBy("sample_id").agg(F.count("*").alias("links"), F.count_if(F.col("distance") == 0).alias("exact"))
-    return per.join(who, "sample_id").groupBy("split", "label", "source").agg(F.count("*").alias("n_samples"), F.sum("links").alias("n_pairs"), F.sum("exact").alias("n_exact"))
+    return each.join(who, "sample_id").groupBy("split", "label", "source").agg(F.count("*").alias("n_samples"), F.sum("links").alias("n_pairs"), F.sum("exact").alias("n_exact"))

@@ -24,16 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.functions.arrays import mix64, row_chunks, string_bytes
+from exonloom.llm import bloom
 from exonloom.runtime import join_unique, write_table
 
 SPAN = 13
 #: Steps between the words that a mask keeps; every sequence of SPAN - 1 steps of 1 or 2 contains one of these.
 GAPS = ("11111", "11112", "12112", "12121", "12122", "12212", "12222", "21111", "21112", "22112", "22212", "22222")
-#: Least and most bits (as powers of two) of the Bloom filter over the test side's hashes: 128 MB are the most that is broadcast.
-#: A fuller filter only lets more hits through to the join.
-BITS = 20, 30
-#: Bits of the filter that are set for a hash, and bits wanted for each hash.
-PROBES, BITS_A_KEY = 4, 16
 _P = np.uint64(0x100000001B3)
 _P_INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _WORD = np.zeros(256, bool)
@@ -96,12 +92,6 @@ def _keys(h: np.ndarray, row: np.ndarray, kept: list[np.ndarray]):
         yield mix64(s + np.uint64(k)), at
 
 
-def _slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
-    """The filter's bit of each hash at a probe."""
-    step = (keys >> np.uint64(32)) | np.uint64(1)
-    return ((keys + np.uint64(probe) * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def index_items(texts: DataFrame, kept: list[np.ndarray]) -> DataFrame:
     """(key, item, at): the masked windows of each distinct item text."""
 
@@ -116,43 +106,19 @@ def index_items(texts: DataFrame, kept: list[np.ndarray]) -> DataFrame:
     return texts.select("item", "text").mapInArrow(run, "key long, item long, at int")
 
 
-def bloom_filter(index: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, filter as bytes) over the keys of an index. Words of the filter are or-ed on the executors; the driver receives at most
-    2^BITS bits."""
-    n = index.count()
-    bits = max(BITS[0], min(BITS[1], (BITS_A_KEY * max(n, 1) - 1).bit_length()))
-
-    def run(batches):
-        for b in batches:
-            key = b.column(0).to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate([_slots(key, bits, p) for p in range(PROBES)]))
-            word, first = np.unique(at >> 6, return_index=True)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64))], names=["word", "set"])
-
-    got = index.select("key").mapInArrow(run, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[got.column("word").to_numpy()] = got.column("set").to_numpy()
-    return bits, out.view(np.uint8)
-
-
-def documents_with_hits(docs: DataFrame, bloom, kept: list[np.ndarray]) -> DataFrame:
+def documents_with_hits(docs: DataFrame, sent, kept: list[np.ndarray]) -> DataFrame:
     """(uid, doc_id, words, keys, ats): documents in which some masked window passes the filter, their words' hashes and those windows.
     docs: (uid, doc_id, text)."""
 
     def run(batches):
-        bits, table = bloom.value
         for b in (c for x in batches for c in row_chunks(x, 2)):
             h, row = words(b.column(2))
             begin = np.searchsorted(row, np.arange(b.num_rows + 1))
             keys, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for key, at in _keys(h, row, kept):
-                for p in range(PROBES):
-                    slot = _slots(key, bits, p)
-                    ok = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) > 0
-                    key, at = key[ok], at[ok]
-                keys.append(key)
-                ats.append(at)
+                ok = bloom.passing(sent.value, key)
+                keys.append(key[ok])
+                ats.append(at[ok])
             key, at = np.concatenate(keys), np.concatenate(ats)
             order = np.argsort(at, kind="stable")
             key, at = key[order], at[order]
@@ -217,9 +183,9 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_wor
     if texts.groupBy("item").count().where("count > 1").count():  # one id with several texts: number the texts instead
         texts = write_table(texts.select("text", F.xxhash64("text").alias("item")), "leak-texts")
     index = write_table(index_items(texts, kept), "leak-index")
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(index))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(index))
     docs = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    met = write_table(documents_with_hits(docs, bloom, kept).dropDuplicates(["uid", "doc_id"]), "leak-documents")
+    met = write_table(documents_with_hits(docs, sent, kept).dropDuplicates(["uid", "doc_id"]), "leak-documents")
     hits = met.select("uid", "doc_id", F.explode(F.arrays_zip("keys", "ats")).alias("x")).select("uid", "doc_id", F.col("x.keys").alias("key"), F.col("x.ats").alias("p"))
     near = write_table(hits.join(index, "key", "left_semi"), "leak-hits")  # what the filter let through by chance goes
     diagonals = join_unique(near, index, "key").select("uid", "doc_id", "item", (F.col("p") - F.col("at")).alias("d")).distinct()

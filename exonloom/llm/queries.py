@@ -36,8 +36,7 @@ def p4_found(spark, sf_dir):
 
 
 def p4_report(spark, sf_dir):
-    d = table(spark, sf_dir, "dataset")
-    return crosssplit.overlap_report(d, crosssplit.overlaps(d))
+    return crosssplit.overlap_report(table(spark, sf_dir, "dataset"))
 
 
 def p5_found(spark, sf_dir):

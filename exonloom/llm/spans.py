@@ -2,13 +2,14 @@
 
 Method: fixed-block anchors. Of every distinct sequence the non-overlapping blocks of BLOCK symbols are indexed, one row per block
 text. Every rolling window of BLOCK symbols of every sequence probes the index; a hit in another record is an anchor. As
-2 * BLOCK - 1 <= length, each shared run of `length` symbols holds a whole block, so no run escapes. Anchors are extended to both
+BLOCK is at most 32 and 2 * BLOCK - 1 <= length, each shared run of `length` symbols holds a whole block, so no run escapes. Anchors are extended to both
 sides: each run of `length` symbols around an anchor is looked up, exactly, among the runs of the others, and confirmed runs grow
 together to maximal repeats.
 
 No pairs are made at any point: a block, and likewise a run, keeps only the smallest and the largest record that has it, which
 decides for every prober whether another record has it too. So a sequence family that holds a third of all records costs as much
-as any other rows. Codes of ACGT runs are exact (2 bits a symbol), not hashes; runs with other symbols are never shared."""
+as any other rows. Codes of ACGT runs are exact (2 bits a symbol, in words of up to 32 symbols), not hashes; runs with other symbols
+are never shared. Windows that no block can match are dropped before the shuffle by a filter of bounded size (see bloom)."""
 
 from __future__ import annotations
 
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exonloom.functions.arrays import row_chunks, string_bytes, window_codes, window_ok
+from exonloom.functions.arrays import mix64, row_chunks, string_bytes, window_codes, window_ok
 from exonloom.functions.symbols import letters
+from exonloom.llm import bloom
 from exonloom.runtime import join_unique, write_table
 
 EMIT = 1 << 20
@@ -50,8 +52,9 @@ def _clean_windows(off: np.ndarray, bad: np.ndarray, width: int) -> np.ndarray:
     return i[bad[i + width] == bad[i]]
 
 
-def _anchors(classes: DataFrame, block: int, step: int) -> DataFrame:
-    """(code, rep, pos) of the windows of `block` symbols at every `step`-th position."""
+def _anchors(classes: DataFrame, block: int, step: int, sent=None) -> DataFrame:
+    """(key, rep, pos) of the windows of `block` symbols at every `step`-th position; key is the window's exact code, mixed one-to-one.
+    sent: a broadcast filter that the keys must pass."""
 
     def run(batches):
         for b in (c for x in batches for c in row_chunks(x, 1)):
@@ -61,18 +64,28 @@ def _anchors(classes: DataFrame, block: int, step: int) -> DataFrame:
             at = _clean_windows(off, bad, block)
             if step > 1:
                 at = at[(at - off[row[at]]) % step == 0]
-            codes = window_codes(code, block, 2)
+            keys = mix64(window_codes(code, block, 2)[at])
+            if sent is not None:
+                ok = bloom.passing(sent.value, keys)
+                at, keys = at[ok], keys[ok]
             for i in range(0, len(at), EMIT):
                 s = at[i : i + EMIT]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[s].view(np.int64)), pa.array(rep[row[s]]), pa.array((s - off[row[s]]).astype(np.int32))], names=["code", "rep", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + EMIT].view(np.int64)), pa.array(rep[row[s]]), pa.array((s - off[row[s]]).astype(np.int32))], names=["key", "rep", "pos"])
 
-    return classes.select("rep", "seq").mapInArrow(run, "code long, rep long, pos int")
+    return classes.select("rep", "seq").mapInArrow(run, "key long, rep long, pos int")
+
+
+def word_names(length: int) -> list[str]:
+    """Columns of the words of up to 32 symbols that cover a run."""
+    return [f"w{k}" for k in range(max(2, -(-length // 32)))]
 
 
 def _runs(found: DataFrame, length: int, block: int) -> DataFrame:
-    """(hi, lo, rep, start): the runs of `length` symbols that hold an anchor; hi and lo are the exact codes of their halves.
-    found: (rep, seq, anchors array<int>)."""
-    half = length - length // 2
+    """(w0, w1, ..., rep, start): the runs of `length` symbols that hold an anchor; the w are the exact codes of the words, of one length,
+    that cover them. found: (rep, seq, anchors array<int>)."""
+    names = word_names(length)
+    size = -(-length // len(names))
+    begins = [min(k * size, length - size) for k in range(len(names))]
 
     def run(batches):
         for b in (c for x in batches for c in row_chunks(x, 1)):
@@ -89,15 +102,15 @@ def _runs(found: DataFrame, length: int, block: int) -> DataFrame:
             near = np.cumsum(edge)[:-1] > 0
             at = _clean_windows(off, bad, length)
             at = at[near[at]]
-            first, rest = window_codes(code, half, 2), window_codes(code, length - half, 2)
+            codes = window_codes(code, size, 2).view(np.int64)
             for i in range(0, len(at), EMIT):
                 s = at[i : i + EMIT]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[s].view(np.int64)), pa.array(rest[s + half].view(np.int64)), pa.array(rep[row[s]]), pa.array((s - off[row[s]]).astype(np.int32))],
-                    names=["hi", "lo", "rep", "start"],
+                    [*(pa.array(codes[s + k]) for k in begins), pa.array(rep[row[s]]), pa.array((s - off[row[s]]).astype(np.int32))],
+                    names=[*names, "rep", "start"],
                 )
 
-    return found.select("rep", "seq", "anchors").mapInArrow(run, "hi long, lo long, rep long, start int")
+    return found.select("rep", "seq", "anchors").mapInArrow(run, ", ".join([*(f"{w} long" for w in names), "rep long", "start int"]))
 
 
 def _maximal(df: DataFrame, length: int) -> DataFrame:
@@ -128,21 +141,22 @@ def _maximal(df: DataFrame, length: int) -> DataFrame:
 
 def shared_spans(df: DataFrame, length: int = 50, id_col: str = "record_id", seq_col: str = "seq") -> DataFrame:
     """(id, span_start, span_end): the maximal stretches of each cleaned sequence that lie in runs of `length` symbols, all of ACGT,
-    which also occur in another record; 1-based, inclusive. length: 2 to 64.
+    which also occur in another record; 1-based, inclusive. length: 2 or more.
 
     Null and empty sequences have none. Sequences shorter than `length`, or broken by N, have none there. A record that is
     delivered several times under one id counts once."""
-    if not 2 <= length <= 64:
-        raise ValueError("length must be between 2 and 64")
-    block = (length + 1) // 2
+    if length < 2:
+        raise ValueError("length must be 2 at least")
+    block = min(32, (length + 1) // 2)
     classes, members = sequence_classes(df, id_col, seq_col)
-    index = _anchors(classes, block, block).groupBy("code").agg(F.min("rep").alias("lo_rep"), F.max("rep").alias("hi_rep"))
-    probes = _anchors(classes, block, 1)
-    hits = probes.join(index, "code").where("rep <> lo_rep or rep <> hi_rep").groupBy("rep").agg(F.collect_list("pos").alias("anchors"))
+    index = write_table(_anchors(classes, block, block).groupBy("key").agg(F.min("rep").alias("lo_rep"), F.max("rep").alias("hi_rep")), "span-index")
+    probes = _anchors(classes, block, 1, classes.sparkSession.sparkContext.broadcast(bloom.build(index)))
+    hits = probes.join(index, "key").where("rep <> lo_rep or rep <> hi_rep").groupBy("rep").agg(F.collect_list("pos").alias("anchors"))
     hits = write_table(hits, "span-anchors")  # positions within one record: as many as it has symbols at most
     runs = _runs(hits.join(classes, "rep"), length, block)
-    shared = runs.groupBy("hi", "lo").agg(F.min("rep").alias("lo_rep"), F.max("rep").alias("hi_rep")).where("lo_rep <> hi_rep").select("hi", "lo")
-    starts = runs.join(shared, ["hi", "lo"]).groupBy("rep").agg(F.collect_list("start").alias("starts"))
+    words = word_names(length)
+    shared = runs.groupBy(*words).agg(F.min("rep").alias("lo_rep"), F.max("rep").alias("hi_rep")).where("lo_rep <> hi_rep").select(*words)
+    starts = runs.join(shared, words).groupBy("rep").agg(F.collect_list("start").alias("starts"))
     spans = _maximal(classes.join(starts, "rep", "left").where("n > 1 or starts is not null"), length)
     per = write_table(spans.groupBy("rep").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"), F.lit(1).alias("one")), "spans")
     per = per.join(classes.select("rep", F.col("n").alias("copies")), "rep")

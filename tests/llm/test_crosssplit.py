@@ -1,5 +1,6 @@
 import random
 
+from exonloom import runtime
 from exonloom.llm import crosssplit
 from tests.conftest import rows
 
@@ -45,8 +46,20 @@ def test_against_brute_force(spark):
     assert rows(crosssplit.overlaps(df)) == want
 
 
+def test_report_counts_what_the_pairs_say(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "KEY_ROWS", 2)
+    df = spark.createDataFrame(data(2), "sample_id long, split string, label int, win string, source string")
+    pairs = crosssplit.overlaps(df).collect()
+    who = {x[0]: (x[1], x[2], x[4]) for x in data(2)}
+    want = {}
+    for i, exact in [(p.train_id, p.distance == 0) for p in pairs] + [(p.test_id, p.distance == 0) for p in pairs]:
+        n = want.setdefault(who[i], [set(), 0, 0])
+        n[0].add(i), n.__setitem__(1, n[1] + 1), n.__setitem__(2, n[2] + exact)
+    assert rows(crosssplit.overlap_report(df)) == sorted(((*k, len(a), b, c) for k, (a, b, c) in want.items()), key=repr)
+
+
 def test_report_and_empty(spark):
     df = spark.createDataFrame([(1, "train", 1, "ACGTACGTAC" * 6, "a"), (2, "test", 0, "ACGTACGTAC" * 6, None)], "sample_id long, split string, label int, win string, source string")
-    assert rows(crosssplit.overlap_report(df, crosssplit.overlaps(df))) == [("test", 0, None, 1, 1, 1), ("train", 1, "a", 1, 1, 1)]
+    assert rows(crosssplit.overlap_report(df)) == [("test", 0, None, 1, 1, 1), ("train", 1, "a", 1, 1, 1)]
     for part in (df.limit(0), df.where("split = 'train'")):
         assert rows(crosssplit.overlaps(part)) == []

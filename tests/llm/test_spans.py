@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from exonloom.llm import spans
+from exonloom.llm import bloom, spans
 from tests.conftest import rows
 
 
@@ -42,8 +42,10 @@ def family(seed, n=40):
     return data + [(100, None), (101, ""), (102, "ACGT"), (103, data[0][1]), (104, data[0][1])]
 
 
-@pytest.mark.parametrize("length", [50, 21])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize("length", [50, 21, 65, 100])
+def test_against_brute_force(spark, length, monkeypatch):
+    if length == 21:
+        monkeypatch.setattr(bloom, "BITS", (6, 8))  # a full filter
     data = family(length)
     df = spark.createDataFrame([(i, s, 1) for i, s in data], "record_id long, seq string, rep int")
     assert rows(spans.shared_spans(df, length)) == brute(data, length)
@@ -66,4 +68,4 @@ def test_empty_and_bad_length(spark):
     df = spark.createDataFrame([], "record_id long, seq string")
     assert rows(spans.shared_spans(df)) == []
     with pytest.raises(ValueError):
-        spans.shared_spans(df, 65)
+        spans.shared_spans(df, 1)
