@@ -4,8 +4,9 @@ Method: Efraimidis-Spirakis sampling. Each document draws an exponential key -ln
 are taken in the order of the keys until the prefix sum of their tokens reaches the source's budget. Complete epochs come before
 the fractional selection: a budget of 2.3 times what the source holds takes every document twice and then selects 0.3.
 
-The prefix sums are taken in two steps, so that no source is sorted as a whole: token sums of BUCKETS key ranges per source (a
-table of constant size) tell which range a budget ends in, and only within that range the documents are ordered."""
+The prefix sums are taken in steps, so that no source is sorted as a whole: token sums of BUCKETS key ranges per source tell which
+range a budget ends in - one row a source, which is all that goes back to the documents -, and only within that range the documents
+are ordered, cut once more into bins of equal count."""
 
 from __future__ import annotations
 
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exonloom.runtime import write_table
+from exonloom.operators.ranking import running_totals
+from exonloom.runtime import BROADCAST_ROWS, write_table
 
 BUCKETS = 4096
 _encoders: dict = {}
@@ -82,20 +84,23 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     have = ranges.groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("n").alias("n_docs"))
     want = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
     plan = have.join(want, "source", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens", "n_docs", "target_share", "max_repeats")})
-    rows = plan.where("tokens > 0 and target_share > 0 and max_repeats > 0").select("source", "tokens", "target_share", "max_repeats").collect()  # one a listed source
-    whole = sum(r.target_share for r in rows)
-    total = total_tokens or min((int(r.max_repeats * r.tokens * whole / r.target_share) for r in rows), default=0)
-    budget = F.least(F.col("max_repeats") * F.col("tokens"), F.round(F.col("target_share") / (whole or 1.0) * total)).cast("long")
+    plan = write_table(plan, "mix-plan")
+    usable = plan.where("tokens > 0 and target_share > 0 and max_repeats > 0")
+    whole = usable.agg(F.sum("target_share")).first()[0] or 1.0
+    total = total_tokens or usable.agg(F.min((F.col("max_repeats") * F.col("tokens") * whole / F.col("target_share")).cast("long"))).first()[0] or 0
+    budget = F.least(F.col("max_repeats") * F.col("tokens"), F.round(F.col("target_share") / whole * total)).cast("long")
     plan = plan.withColumn("budget", F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), budget).otherwise(0))
     plan = plan.withColumns({"epochs": F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int")}).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    # whole key ranges first: taken while the budget covers them
-    w = Window.partitionBy("source").orderBy("bucket")
-    cum = ranges.withColumn("upto", F.sum("t").over(w)).join(F.broadcast(plan.where("budget > 0").select("source", "epochs", "left")), "source")
-    cum = cum.select("source", "bucket", "epochs", "left", (F.col("upto") - F.col("t")).alias("before"), "upto")
-    docs_ = base.where("n_tokens > 0").join(F.broadcast(cum), ["source", "bucket"])  # listed sources x BUCKETS rows
-    inside = docs_.where("upto <= left or before >= left").select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("upto") <= F.col("left")).cast("int")).alias("n_uses"))
-    k = Window.partitionBy("source", "bucket").orderBy("key", "doc_id")
-    edge = docs_.where("upto > left and before < left").withColumn("sum", F.col("before") + F.sum("n_tokens").over(k.rowsBetween(Window.unboundedPreceding, 0)))
+    # whole key ranges first: taken while the budget covers them; the range it ends in is the edge
+    cum = ranges.join(plan.where("budget > 0").select("source", "epochs", "left"), "source").withColumn("upto", F.sum("t").over(Window.partitionBy("source").orderBy("bucket")))
+    cum = cum.withColumn("before", F.col("upto") - F.col("t"))
+    at_edge = (F.col("upto") > F.col("left")) & (F.col("before") < F.col("left"))
+    ends = cum.groupBy("source", "epochs", "left").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("bucket"))).alias("last"), F.max(F.when(at_edge, F.col("bucket"))).alias("edge"), F.max(F.when(at_edge, F.col("before"))).alias("before"))
+    ends = write_table(ends, "mix-ends")
+    docs_ = base.where("n_tokens > 0").join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "source")
+    on_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    inside = docs_.where(~on_edge).select("doc_id", "source", "n_tokens", (F.col("epochs") + F.coalesce(F.col("bucket") <= F.col("last"), F.lit(False)).cast("int")).alias("n_uses"))
+    edge = running_totals(write_table(docs_.where(on_edge), "mix-edge"), "source", "key", ["n_tokens"], descending=False).withColumn("sum", F.col("before") + F.col("cum_n_tokens"))
     edge = edge.select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("sum") - F.col("n_tokens") / 2 <= F.col("left")).cast("int")).alias("n_uses"))
     used = inside.unionByName(edge).where("n_uses > 0")
     per = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("mixed_tokens"), F.count("*").alias("n_used"), F.max("n_uses").alias("most_uses"))

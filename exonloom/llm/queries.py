@@ -80,6 +80,10 @@ def p7_leaked_items(spark, sf_dir):
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_item_counts(spark, sf_dir):
+    return p7_leaked_items(spark, sf_dir).select("item_id", "suite", "eval_split", "n_docs", "n_sources")
+
+
 def p8_mixed_documents(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -108,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_classes, p3_found, p3_shared_amount, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_assignment, p6_split_report, p6_integrity,
-        p7_found, p7_tolerant, p7_leaked_items, p8_mixed_documents, p8_shares, p9_found, p9_reasons, p9_open_slots, p9_clean_documents,
+        p7_found, p7_tolerant, p7_leaked_items, p7_item_counts, p8_mixed_documents, p8_shares, p9_found, p9_reasons, p9_open_slots, p9_clean_documents,
     )
 }
 
@@ -171,5 +175,7 @@ f AS (SELECT node AS rep, min(root) AS group_id FROM r GROUP BY 1), d AS (SELECT
 SELECT c.record_id, k.rep AS class_id, f.group_id, k.n AS n_copies, coalesce(d.d, 0) AS n_links FROM c JOIN k USING (s) JOIN f ON f.rep = k.rep LEFT JOIN d ON d.rep = k.rep""",
     "p6_found": _RELATED + "SELECT coalesce(group_id, sample_id) AS group_id, sample_id FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
     "p6_integrity": _RELATED + "SELECT count(*) AS n_samples, count(DISTINCT coalesce(group_id, sample_id)) AS n_groups, 0::BIGINT AS n_parted, 0::BIGINT AS n_off FROM (SELECT DISTINCT sample_id FROM s) LEFT JOIN m USING (sample_id)",
+    "p7_item_counts": _LEAKS + """, p AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN tw USING (x)), n AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT source) AS n_sources FROM p JOIN documents USING (doc_id) GROUP BY 1)
+SELECT item_id, suite, eval_split, coalesce(n_docs, 0) AS n_docs, coalesce(n_sources, 0) AS n_sources FROM eval_items LEFT JOIN n USING (item_id)""",
     "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN tw USING (x)",
 }
