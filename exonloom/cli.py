@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exonloom.operators import evaluate, models, plot
+from exonloom.operators import evaluate, plot, scorers
 from exonloom.operators.scan import scan, scan_sequence
 from exonloom.operators.split import balanced, labelled_windows, strict_split
-from exonloom.operators.windows import sequences
+from exonloom.operators.windows import canonical_windows, hard_negatives, interval_windows, sequences
 from exonloom.runtime import local_session
-from exonloom.sources import synthetic
-from exonloom.sources.store import load_model, save_model
+from exonloom.sources import records, synthetic
+from exonloom.sources.store import write_tsv
 from exonloom.sources.tables import table
 from exonloom.spec import site
 
@@ -23,8 +26,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=("train", "evaluate", "predict", "scan", "demo"))
     p.add_argument("--site", default="donor", choices=("donor", "acceptor"))
     p.add_argument("--tables", help="folder of the Parquet tables; synthetic windows without it")
-    p.add_argument("--model", default="wmm", choices=("wmm", "wam", "depwam", "chain", "chow-liu", "ebn"))
-    p.add_argument("--path", help="folder of a stored wmm model (train writes, predict and scan read)")
+    p.add_argument("--model", default="wmm", choices=scorers.KINDS)
+    p.add_argument("--path", help="folder of a stored model (train writes, predict and scan read)")
+    p.add_argument("--gene-files", nargs=2, metavar=("TRAIN", "TEST"), help="two different folders of gene files, in place of --tables")
+    p.add_argument("--out", help="folder for all hits of scan as tab-separated values")
+    p.add_argument("--cost", type=float, default=1.0)
     p.add_argument("--predict", metavar="SEQUENCE")
     p.add_argument("--threshold", type=float, default=0.0)
     p.add_argument("--dependency-threshold", type=float, default=6.0)
@@ -42,16 +48,16 @@ def training_set(spark, spec, tables: str | None):
     return both[0].unionByName(both[1]).select("split", "label", "w")
 
 
-def scorer(train, spec, a):
-    """A function from a window column to its score."""
-    if a.model == "wmm":
-        t = models.wmm_table(train, spec.window)
-        return lambda w: models.wmm_score(w, t)
-    if a.model in ("wam", "depwam"):
-        t = models.wam_tables(train, spec.window)
-        p = models.pair_log_odds(train, spec.window, a.dependency_threshold, a.max_dependency_pairs) if a.model == "depwam" else None
-        return lambda w: models.wam_score(w, t) + (models.pair_score(w, p) if p is not None else F.lit(0.0))
-    return models.Network(spec.window, a.model, a.dependency_threshold, a.max_parents).fit(train).score
+def gene_file_set(spark, spec, train: str, test: str):
+    """(split, label, w) from two folders of gene files; ValueError if they are one and the same."""
+    if os.path.realpath(train) == os.path.realpath(test):
+        raise ValueError("training and test files must lie in different folders")
+    parts = []
+    for name, path in (("train", train), ("test", test)):
+        seqs = sequences(records.parse_records(records.read_texts(spark, path)), "file_name")
+        pos, every = interval_windows(seqs, "file_name", spec), canonical_windows(seqs, "file_name", spec)
+        parts += [pos.select(F.lit(name).alias("split"), F.lit(1).alias("label"), F.col("win").alias("w")), hard_negatives(every, pos).select(F.lit(name).alias("split"), F.lit(0).alias("label"), F.col("win").alias("w"))]
+    return balanced(strict_split(reduce(DataFrame.unionByName, parts).distinct()))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -59,25 +65,26 @@ def main(argv: list[str] | None = None) -> int:
     spec = site(a.site)
     spark = local_session()
     if a.path and a.command in ("predict", "scan"):
-        _, _, t = load_model(spark, a.path, "wmm")
-        score = lambda w: models.wmm_score(w, t["table"])
+        model = scorers.load(spark, a.path)
+        if model.params.get("site") != spec.name:
+            raise ValueError(f"the model at {a.path} is of site {model.params.get('site')}")
     else:
-        data = training_set(spark, spec, a.tables).cache()
-        train = data.where("split = 'train'")
+        data = (gene_file_set(spark, spec, *a.gene_files) if a.gene_files else training_set(spark, spec, a.tables)).cache()
+        model = scorers.fit(a.model, data.where("split = 'train'"), spec, a.dependency_threshold, a.max_dependency_pairs, a.max_parents, cost=a.cost)
         if a.command == "train":
-            save_model(spark, a.path or "model", "wmm", {"site": spec.name, "window": spec.window}, {"table": models.wmm_table(train, spec.window)})
+            model.save(spark, a.path or "model")
             return 0
-        score = scorer(train, spec, a)
         if a.command in ("evaluate", "demo"):
-            rows = evaluate.usable(data.where("split = 'test'").withColumn("model", F.lit(a.model)).withColumn("score", score(F.col("w"))), "model")
+            rows = evaluate.usable(data.where("split = 'test'").withColumn("model", F.lit(a.model)).withColumn("score", model.score(F.col("w"))), "model")
             evaluate.compare(rows, a.threshold).show(50, False)
             if a.svg:
                 with open(a.svg, "w") as f:
                     f.write(plot.roc_svg(evaluate.roc_curve(rows), evaluate.roc_auc(rows)))
     if a.command == "scan":
-        scan(sequences(table(spark, a.tables, "gene_records"), "record_id"), "record_id", spec, score, a.threshold).show(50, False)
+        hits = scan(sequences(table(spark, a.tables, "gene_records"), "record_id"), "record_id", spec, model.score, a.threshold)
+        write_tsv(hits, a.out or "hits")  # all of them, however many
     if a.predict:
-        hits = scan_sequence(spark, a.predict, spec, score, a.threshold).collect()
+        hits = scan_sequence(spark, a.predict, spec, model.score, a.threshold).collect()
         print("\n".join(f"{h.pos}\t{h.score:.4f}\t{h.win}" for h in hits) or "No sites above threshold.")
     return 0
 

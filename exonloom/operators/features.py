@@ -47,6 +47,13 @@ def kmer_block(win: Column, length: int, k: int) -> Column:
     return F.get(F.transform(codes, shares), F.lit(0))
 
 
+def kmer_columns(win: Column, length: int, k: int) -> Column:
+    """kmer_block without lambdas, which the input of a Python function must not hold."""
+    at = [win.substr(i + 1, k) for i in range(length - k + 1)]
+    n = sum((_flag(x.rlike(f"^[ACGT]{{{k}}}$")) for x in at), F.lit(0.0))
+    return F.array(*[F.coalesce(sum((_flag(x == m) for x in at), F.lit(0.0)) / F.nullif(n, F.lit(0.0)), F.lit(0.0)) for m in kmers(k)])
+
+
 def dinucleotides(win: Column, length: int, pairs: list[tuple[int, int]] | None = None, name: str = "dn_pos{i}_{ab}") -> list[tuple[str, Column]]:
     pairs = pairs if pairs is not None else [(i, i + 1) for i in range(length - 1)]
     return [(name.format(i=i, j=j, ab=a + b), _flag((win.substr(i + 1, 1) == a) & (win.substr(j + 1, 1) == b))) for i, j in pairs for a in stats.BASES for b in stats.BASES]
@@ -81,7 +88,7 @@ class FeatureExtractor:
         self.fitted = True
         return self
 
-    def _blocks(self, win: Column) -> list[tuple[list[str], Column]]:
+    def _blocks(self, win: Column, kmer=kmer_block) -> list[tuple[list[str], Column]]:
         """Names and array of each block."""
         if not self.fitted:
             raise RuntimeError("call fit() first")
@@ -89,7 +96,7 @@ class FeatureExtractor:
         for f in self.features:
             if f in ("kmer2", "kmer3"):
                 k = int(f[-1])
-                out.append(([f"k{k}_{m}" for m in kmers(k)], kmer_block(win, self.length, k)))
+                out.append(([f"k{k}_{m}" for m in kmers(k)], kmer(win, self.length, k)))
                 continue
             if f == "one_hot":
                 one = one_hot(win, self.length)
@@ -113,9 +120,9 @@ class FeatureExtractor:
     def feature_dim(self) -> int:
         return len(self.feature_names)
 
-    def array(self, win: Column) -> Column:
-        """The feature vector of a window."""
-        return F.concat(F.array().cast("array<double>"), *[c for _, c in self._blocks(win)])
+    def array(self, win: Column, lambdas: bool = True) -> Column:
+        """The feature vector of a window; without lambdas, as the input of a Python function must be."""
+        return F.concat(F.array().cast("array<double>"), *[c for _, c in self._blocks(win, kmer_block if lambdas else kmer_columns)])
 
     def transform(self, df: DataFrame, win_col: str = "w") -> DataFrame:
         """df with `features`, an array of doubles."""

@@ -21,8 +21,8 @@ FLOOR = 1e-9
 
 
 def code(win: Column, pos: int) -> Column:
-    """0..3 of the symbol at a position."""
-    return F.position(win.substr(pos + 1, 1), F.lit("ACGT")) - 1
+    """0..3 of the symbol at a position; null beyond the window's end, -1 for other symbols."""
+    return F.position(F.nullif(win.substr(pos + 1, 1), F.lit("")), F.lit("ACGT")) - 1
 
 
 def _pick(values: list[float], index: Column) -> Column:

@@ -6,6 +6,7 @@ rows; configurations and folds are solved side by side as groups of one Spark jo
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,10 +50,11 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, kernel: str, gamma: float, degre
     return g**degree if kernel == "poly" else np.tanh(g)
 
 
-def solve_dual(k: np.ndarray, y: np.ndarray, cost: np.ndarray, tol: float = 1e-3, max_iter: int = 100_000) -> tuple[np.ndarray, float]:
-    """(alpha, bias) of the soft-margin dual by sequential minimal optimisation with second-order working sets (Fan, Chen and Lin 2005)."""
+def solve_dual(k: np.ndarray, y: np.ndarray, cost: np.ndarray, tol: float = 1e-3, max_iter: int = 100_000) -> tuple[np.ndarray, float, bool]:
+    """(alpha, bias, converged) of the soft-margin dual by sequential minimal optimisation with second-order working sets (Fan, Chen and Lin 2005)."""
     n = len(y)
     alpha, grad, diag = np.zeros(n), -np.ones(n), np.diag(k).copy()
+    converged = False
     for _ in range(max_iter):
         up = ((y > 0) & (alpha < cost)) | ((y < 0) & (alpha > 0))
         low = ((y < 0) & (alpha < cost)) | ((y > 0) & (alpha > 0))
@@ -60,6 +62,7 @@ def solve_dual(k: np.ndarray, y: np.ndarray, cost: np.ndarray, tol: float = 1e-3
         i = int(np.argmax(np.where(up, v, -np.inf)))
         gap = v[i] - np.where(low, v, np.inf)
         if gap.max() < tol:
+            converged = True
             break
         eta = np.maximum(diag[i] + diag - 2 * k[i], 1e-12)
         j = int(np.argmax(np.where(low & (gap > 0), gap * gap / eta, -np.inf)))
@@ -73,7 +76,16 @@ def solve_dual(k: np.ndarray, y: np.ndarray, cost: np.ndarray, tol: float = 1e-3
     up = ((y > 0) & (alpha < cost)) | ((y < 0) & (alpha > 0))
     low = ((y < 0) & (alpha < cost)) | ((y > 0) & (alpha > 0))
     bias = v[free].mean() if free.any() else (v[up].max() + v[low].min()) / 2
-    return alpha, float(bias)
+    return alpha, float(bias), converged
+
+
+def precomputed(gram: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
+    """(coefficients, bias) of a classifier on a given matrix of kernel values between at most MAX_ROWS training rows; the score of a
+    row is its kernel values to them times the coefficients, plus the bias. y: 1 and -1. ValueError for a matrix of another shape."""
+    if gram.shape != (len(y), len(y)) or len(y) > MAX_ROWS:
+        raise ValueError(f"a square matrix of at most {MAX_ROWS} rows is needed")
+    alpha, bias, _ = solve_dual(gram, y, balanced_cost(y, cost))
+    return alpha * y, bias
 
 
 def balanced_cost(y: np.ndarray, cost: float) -> np.ndarray:
@@ -103,9 +115,10 @@ def _sampled(train: DataFrame, by: list[str], max_rows: int, seed: int = 42) ->
     return hash_rank(train.withColumn("_k", hash_key(F.col("w"), seed)), by, "_k", "_r").where(F.col("_r") <= max_rows).drop("_k", "_r")
 
 
-def kernel_scores(train: DataFrame, test: DataFrame, configs: list[Config], max_rows: int = MAX_ROWS) -> DataFrame:
-    """(model, w, label, score, proba) of every test row under every configuration. train, test: (grp, label, w, features): groups are
-    feature sets or folds and are fitted apart; scores belong to the row's own group. Model names are 'config' or 'config/grp'."""
+def fit_kernels(train: DataFrame, configs: list[Config], max_rows: int = MAX_ROWS) -> dict[tuple[str, str], tuple]:
+    """(kernel, degree, gamma, bias, a, b, mean, sd, coefficients, support vectors) by (configuration, group); train: (grp, label, w,
+    features). Configurations x groups x max_rows support vectors at most reach the driver. A warning tells of solvers that stopped
+    at their last iteration."""
     spark = train.sparkSession
     grid = spark.createDataFrame([(c.name, c.kernel, c.cost, c.degree, c.gamma) for c in configs], "name string, kernel string, cost double, degree int, gamma double")
     rows = _sampled(train, ["grp"], max_rows).select("*", F.explode(F.array(*[F.lit(c.name) for c in configs])).alias("name")).join(F.broadcast(grid), "name")
@@ -119,23 +132,31 @@ def kernel_scores(train: DataFrame, test: DataFrame, configs: list[Config], max_
         gamma = c["gamma"] if c["gamma"] == c["gamma"] and c["gamma"] is not None else 1.0 / max(1e-12, x.shape[1] * x.var())
         k = kernel_matrix(x, x, c["kernel"], gamma, int(c["degree"]))
         if len(set(y)) < 2:
-            alpha, bias = np.zeros(len(y)), float(y[0]) if len(y) else 0.0
+            alpha, bias, converged = np.zeros(len(y)), float(y[0]) if len(y) else 0.0, True
         else:
-            alpha, bias = solve_dual(k, y, balanced_cost(y, float(c["cost"])))
+            alpha, bias, converged = solve_dual(k, y, balanced_cost(y, float(c["cost"])))
         sv = alpha > 1e-8
         score = k[:, sv] @ (alpha * y)[sv] + bias
         a, b = fit_sigmoid(score, y)
-        return pd.DataFrame([{"name": c["name"], "grp": c["grp"], "kernel": c["kernel"], "degree": int(c["degree"]), "gamma": gamma, "bias": bias, "pa": a, "pb": b, "mean": mean, "sd": sd, "coef": (alpha * y)[sv], "sv": x[sv].ravel(), "n_rows": len(y)}])
+        return pd.DataFrame([{"name": c["name"], "grp": c["grp"], "kernel": c["kernel"], "degree": int(c["degree"]), "gamma": gamma, "bias": bias, "pa": a, "pb": b, "mean": mean, "sd": sd, "coef": (alpha * y)[sv], "sv": x[sv].ravel(), "n_rows": len(y), "converged": converged}])
 
-    schema = "name string, grp string, kernel string, degree int, gamma double, bias double, pa double, pb double, mean array<double>, sd array<double>, coef array<double>, sv array<double>, n_rows long"
+    schema = "name string, grp string, kernel string, degree int, gamma double, bias double, pa double, pb double, mean array<double>, sd array<double>, coef array<double>, sv array<double>, n_rows long, converged boolean"
     # configurations x max_rows support vectors at most; as Arrow, because lists of floats take several times the memory
     got = rows.groupBy("name", "grp").applyInPandas(solve, schema).toArrow()
     fitted = {}
     for k in range(got.num_rows):
         one = {c: got.column(c)[k] for c in got.column_names}
         mean, sd, coef, sv = (one[c].values.to_numpy() for c in ("mean", "sd", "coef", "sv"))
+        if not one["converged"].as_py():
+            warnings.warn(f"the solver of {one['name'].as_py()} stopped at its last iteration")
         fitted[one["name"].as_py(), one["grp"].as_py()] = (*(one[c].as_py() for c in ("kernel", "degree", "gamma", "bias", "pa", "pb")), mean, sd, coef, sv.reshape(len(coef), len(sd)))
-    sent = spark.sparkContext.broadcast(fitted)
+    return fitted
+
+
+def kernel_scores(train: DataFrame, test: DataFrame, configs: list[Config], max_rows: int = MAX_ROWS) -> DataFrame:
+    """(model, w, label, score, proba) of every test row under every configuration. train, test: (grp, label, w, features): groups are
+    feature sets or folds and are fitted apart; scores belong to the row's own group."""
+    sent = train.sparkSession.sparkContext.broadcast(fit_kernels(train, configs, max_rows))
 
     def score(batches):
         for p in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exonloom.operators import evaluate, features, models, svm
-from exonloom.plans.scoring import _CHI, _WMM, L
+from exonloom.plans.scoring import _CHI, _EBN_TABLES, _FREQ, _WMM, L, _ebn_score
 from exonloom.plans.sequences import STRIP, strict, strict_windows
 from exonloom.runtime import scratch_path, write_table
 from exonloom.sources.tables import table
@@ -105,6 +105,14 @@ def top_features(spark, sf_dir):
     return svm.LinearModel(DONOR).fit(s.where("split = 'train'")).top_features(spark)
 
 
+def svm_predictions(spark, sf_dir):
+    """Test windows with score, probability and prediction (1 or -1) of the kernel classifier on all features."""
+    d = _strict(spark, sf_dir)
+    rows = write_table(features.FeatureExtractor(L).fit(d.where("split = 'train'")).transform(d).withColumn("grp", F.lit("all")), "svm-rows")
+    got = svm.kernel_scores(rows.where("split = 'train'"), rows.where("split = 'test'"), [svm.Config("rbf")])
+    return got.select("w", "label", "score", "proba", F.when(F.col("score") >= 0, 1).otherwise(-1).alias("predicted"))
+
+
 def svm_kernel_grid(spark, sf_dir):
     return svm.kernel_grid(_strict(spark, sf_dir), DONOR)
 
@@ -160,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         onehot_features, kmer2_freq, kmer3_freq, dinuc_pos_features, pwm_features, chi2_pair_features, feature_standardize, combined_features, confusion_metrics, roc_auc_exact, roc_curve, roc_auc_sampled,
-        best_model_markers, svm_linear, top_features, svm_kernel_grid, feature_ablation, cross_validation, four_way_comparison, stream_window_rates, stream_scores,
+        best_model_markers, svm_linear, top_features, svm_predictions, svm_kernel_grid, feature_ablation, cross_validation, four_way_comparison, stream_window_rates, stream_scores,
     )
 }
 
@@ -191,6 +199,9 @@ ORACLE = {
     "pwm_features": f"WITH {_PWM} SELECT w, pos, round(v, 6) AS value FROM (SELECT w, unnest(range(1, 10)) AS p FROM st) JOIN pl ON pos = p - 1 AND base = substring(w, p::INTEGER, 1)",
     "chi2_pair_features": f"WITH {_CHI} SELECT w, 'chi2_pair_' || i || '_' || j || '_' || substring(w, i + 1, 1) || substring(w, j + 1, 1) AS feature FROM st, dp",
     "feature_standardize": f"WITH {_PWM} SELECT pos AS k, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM (SELECT w, unnest(range(1, 10)) AS p FROM st WHERE split = 'train') JOIN pl ON pos = p - 1 AND base = substring(w, p::INTEGER, 1) GROUP BY 1",
+    "combined_features": f"""WITH RECURSIVE {_EBN_TABLES}, {_FREQ}, {_ebn_score('st', 'split, label, w')}, np AS (SELECT count(*) AS n FROM dp),
+pl AS (SELECT pos, base, ln(greatest(p, 1e-10) / 0.25e0) AS v FROM pf), pv AS (SELECT w, sum(v) AS v FROM (SELECT w, unnest(range(1, 10)) AS q FROM (SELECT DISTINCT w FROM st)) JOIN pl ON pos = q - 1 AND base = substring(w, q::INTEGER, 1) GROUP BY w)
+SELECT split, label, w, (254 + 16 * n)::INTEGER AS dim, round(9 + 1 + 1 + 8 + v + n - score, 6) AS total FROM eb JOIN pv USING (w), np""",
     "confusion_metrics": f"WITH {_CONF} SELECT model, tp, fp, tn, fn, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity, round(precision, 6) AS precision, round(f1, 6) AS f1, round(mcc, 6) AS mcc FROM mm",
     "roc_auc_exact": f"WITH {_U}, {_AUC} SELECT model, round(auc, 6) AS auc FROM a",
     "roc_curve": f"WITH {_CURVE} SELECT model, idx, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM cu",

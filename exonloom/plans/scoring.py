@@ -273,6 +273,34 @@ SELECT t.label, t.w, round(sum(ln(greatest(f.p, 1e-10)) - ln(greatest(b.p, 1e-10
  JOIN fc f ON f.child = t.child AND f.key = t.key AND f.base = t.base JOIN bc b ON b.child = t.child AND b.key = t.key AND b.base = t.base GROUP BY t.label, t.w"""
 
 
+#: The walk keeps its order in a list: each step appends the linked positions that are not there yet.
+_EBN = f"""{_CHI}, cs AS (SELECT i AS u, j AS v, round(score, 9) AS s FROM ch UNION ALL SELECT j, i, round(score, 9) FROM ch),
+lk AS (SELECT u, v, s FROM cs WHERE s >= 6), lo1 AS (SELECT u, max_by(v, s) AS v FROM cs WHERE u NOT IN (SELECT u FROM lk) GROUP BY u),
+nb AS (SELECT u, v, s FROM lk UNION SELECT cs.u, cs.v, cs.s FROM cs JOIN lo1 ON (cs.u = lo1.u AND cs.v = lo1.v) OR (cs.v = lo1.u AND cs.u = lo1.v)),
+sg AS (SELECT u, sum(s) AS t FROM cs GROUP BY u),
+bf(ord, k) AS (SELECT [(SELECT u FROM sg ORDER BY t DESC, u LIMIT 1)], 1 UNION ALL
+ SELECT bf.ord || coalesce((SELECT list(nb.v ORDER BY nb.s DESC, nb.v) FROM nb WHERE nb.u = bf.ord[bf.k] AND NOT list_contains(bf.ord, nb.v)), []), bf.k + 1 FROM bf WHERE bf.k <= len(bf.ord)),
+wo AS (SELECT ord FROM bf ORDER BY k DESC LIMIT 1), ro AS (SELECT ord || coalesce((SELECT list(u ORDER BY t DESC, u) FROM sg, wo WHERE NOT list_contains(ord, u)), []) AS ord FROM wo),
+od AS (SELECT unnest(ord) AS node, unnest(range(0, len(ord))) AS k FROM ro),
+pa AS (SELECT a.node::INTEGER AS child, b.node::INTEGER AS parent, (row_number() OVER (PARTITION BY a.node ORDER BY s DESC, b.k) - 1)::INTEGER AS rank FROM od a JOIN od b ON b.k < a.k JOIN cs ON cs.u = a.node AND cs.v = b.node QUALIFY rank < 2)"""
+
+
+def _ebn_cells(src: str, keep: str = "w") -> str:
+    """Key and symbol of each node in the windows of src."""
+    return f"""(SELECT {keep}, n.node, coalesce(string_agg(substring(w, parent + 1, 1), '' ORDER BY rank), '') AS key, substring(w, n.node + 1, 1) AS base FROM {src} CROSS JOIN (SELECT i::INTEGER AS node FROM range(0, 9) r(i)) n LEFT JOIN pa ON pa.child = n.node GROUP BY {keep}, n.node)"""
+
+
+def _ebn_cpt(src: str, name: str) -> str:
+    return f"""{name}x AS (SELECT node, key, base, count(*) AS n FROM {_ebn_cells(src)} GROUP BY ALL), {name}t AS (SELECT node, key, sum(n) AS t FROM {name}x GROUP BY ALL),
+{name} AS (SELECT t.node, t.key, b.base, coalesce(n, 0) AS n, (coalesce(n, 0) + 1e0) / (t + 4e0) AS p FROM {name}t t CROSS JOIN {_B} b(base) LEFT JOIN {name}x x ON x.node = t.node AND x.key = t.key AND x.base = b.base)"""
+
+
+def _ebn_score(src: str, keep: str) -> str:
+    return f"""eb AS (SELECT {keep}, sum(ln(greatest(coalesce(f.p, 0.25e0), 1e-10)) - ln(greatest(coalesce(g.p, 0.25e0), 1e-10))) AS score FROM {_ebn_cells(src, keep)} c
+ LEFT JOIN ef f ON f.node = c.node AND f.key = c.key AND f.base = c.base LEFT JOIN eg g ON g.node = c.node AND g.key = c.key AND g.base = c.base GROUP BY {keep})"""
+
+
+_EBN_TABLES = f"{_EBN}, {_ebn_cpt('pw', 'ef')}, {_ebn_cpt('nw', 'eg')}"
 _WMM_TEST = "sc AS (SELECT label, w, round(sum(log_odds), 6) AS score FROM (SELECT label, w, unnest(range(1, 10)) AS p FROM tw) t JOIN lo ON lo.pos = t.p - 1 AND lo.base = substring(w, t.p::INTEGER, 1) GROUP BY label, w)"
 _SCAN = f"""{_WMM}, {SEQS}, ww AS (SELECT record_id, i::INTEGER AS i, substring(s, i::INTEGER + 1, 9) AS win FROM (SELECT record_id, s, unnest(range(0, length(s) - 8)) AS i FROM s WHERE length(s) >= 9) WHERE substring(s, i::INTEGER + 4, 2) = 'GT'),
 hs AS (SELECT record_id, i + 3 AS pos, win, round(sum(log_odds), 6) AS score FROM (SELECT record_id, i, win, unnest(range(1, 10)) AS p FROM ww) x JOIN lo ON lo.pos = x.p - 1 AND lo.base = substring(win, x.p::INTEGER, 1) GROUP BY record_id, i, win)"""
@@ -304,6 +332,9 @@ SELECT label, w, round(score + coalesce(extra, 0), 6) AS score FROM ws LEFT JOIN
     "fixed_network_cpt": f"""WITH {_POS}, x AS (SELECT p::INTEGER AS node, CASE WHEN p >= 1 THEN substring(w, p::INTEGER, 1) ELSE '' END || CASE WHEN p >= 2 THEN substring(w, p::INTEGER - 1, 1) ELSE '' END AS key, substring(w, p::INTEGER + 1, 1) AS base FROM (SELECT w, unnest(range(0, 9)) AS p FROM pw)),
 c AS (SELECT node, key, base, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT node, key, sum(n) AS t FROM c GROUP BY ALL)
 SELECT t.node, t.key, b.base, coalesce(n, 0) AS n, round((coalesce(n, 0) + 1e0) / (t + 4e0), 6) AS p FROM t CROSS JOIN {_B} b(base) LEFT JOIN c ON c.node = t.node AND c.key = t.key AND c.base = b.base""",
+    "ebn_parents": f"WITH RECURSIVE {_EBN} SELECT child, parent, rank FROM pa",
+    "ebn_cpt": f"WITH RECURSIVE {_EBN}, {_ebn_cpt('pw', 'ef')} SELECT node, key, base, n, round(p, 6) AS p FROM ef",
+    "ebn_score": f"WITH RECURSIVE {_EBN_TABLES}, {_ebn_score('tw', 'label, w')} SELECT label, w, round(score, 6) AS score FROM eb",
     "wmm_evaluation": f"""WITH {_WMM}, {_WMM_TEST}, c AS (SELECT count(*) FILTER (label = 1 AND score >= 0) AS tp, count(*) FILTER (label = 0 AND score >= 0) AS fp, count(*) FILTER (label = 0 AND score < 0) AS tn, count(*) FILTER (label = 1 AND score < 0) AS fn FROM sc),
 k AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS r FROM sc),
 a AS (SELECT (sum(r) FILTER (label = 1) - (tp + fn) * (tp + fn + 1) / 2e0) / ((tp + fn)::DOUBLE * (tn + fp)) AS auc FROM k, c GROUP BY tp, fp, tn, fn),

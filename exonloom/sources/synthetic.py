@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from exonloom.spec import ACCEPTOR, DONOR, SiteSpec
 
-#: Base weights A, C, G, T around a donor site (offsets before and after the motif) and in an acceptor's pyrimidine tract.
-DONOR_WEIGHTS = {0: (0.33, 0.37, 0.18, 0.12), 1: (0.60, 0.13, 0.12, 0.15), 2: (0.08, 0.04, 0.81, 0.07), 5: (0.49, 0.03, 0.45, 0.03), 6: (0.71, 0.08, 0.12, 0.09), 7: (0.06, 0.05, 0.84, 0.05), 8: (0.15, 0.19, 0.20, 0.46)}
+#: Base weights A, C, G, T of a donor's positions, and of an acceptor's pyrimidine tract.
+DONOR_WEIGHTS = {0: (0.35, 0.15, 0.35, 0.15), 1: (0.45, 0.10, 0.35, 0.10), 2: (0.20, 0.15, 0.50, 0.15), 5: (0.65, 0.10, 0.15, 0.10), 6: (0.70, 0.10, 0.10, 0.10), 7: (0.10, 0.10, 0.65, 0.15), 8: (0.10, 0.10, 0.10, 0.70)}
+#: A position that takes a symbol with a chance if another position has one of some symbols.
+DEPENDENT = {2: ("G", 0.70, 0, ("A", "G")), 8: ("T", 0.75, 5, ("A",))}
 TRACT = (0.10, 0.30, 0.10, 0.50)
 UNIFORM = (0.25, 0.25, 0.25, 0.25)
 
@@ -22,27 +24,18 @@ def draw(u: Column, weights: tuple[float, ...]) -> Column:
     return F.when(u < a, "A").when(u < c, "C").when(u < g, "G").otherwise("T")
 
 
-def windows(spark: SparkSession, spec: SiteSpec, n: int, label: int, seed: int = 42, dependent: bool = False) -> DataFrame:
-    """(w, label) of n windows with the motif at its offset: positives follow the position weights, negatives are uniform elsewhere.
-    dependent: position 2 repeats position 0 in 70 % and position 8 repeats 5 in 75 % of donor positives."""
-    parts: list[Column] = []
-    for i in range(spec.window):
-        if spec.offset <= i < spec.offset + 2:
-            parts.append(F.lit(spec.motif[i - spec.offset]))
-            continue
-        weights = UNIFORM if label == 0 else DONOR_WEIGHTS.get(i, UNIFORM) if spec is DONOR else TRACT if i < ACCEPTOR.offset - 1 else UNIFORM
-        c = draw(F.rand(seed * 1000 + i + 500 * label), weights)
-        parts.append(c)
+def windows(spark: SparkSession, spec: SiteSpec, n: int, label: int, seed: int = 42, dependent: bool = False, reject: bool = False) -> DataFrame:
+    """(w, label) of n windows: positives have the motif at its offset and follow the position weights; negatives are uniform
+    but for the motif, which they have too (hard negatives) or, with reject, never have there. dependent: positions of DEPENDENT look at
+    others in donor positives."""
+    at = range(spec.offset, spec.offset + 2)
+    weights = lambda i: UNIFORM if label == 0 else DONOR_WEIGHTS.get(i, UNIFORM) if spec is DONOR else TRACT if i < ACCEPTOR.offset - 1 else UNIFORM
+    drawn = [F.lit(spec.motif[i - spec.offset]) if i in at and not (reject and label == 0) else draw(F.rand(seed * 1000 + i + 500 * label), weights(i)) for i in range(spec.window)]
+    df = spark.range(n).select(*[c.alias(f"_p{i}") for i, c in enumerate(drawn)])
+    if reject and label == 0:  # one of the 15 other pairs in the place of the motif
+        others = [a + b for a in "ACGT" for b in "ACGT" if a + b != spec.motif]
+        pair = F.get(F.array(*[F.lit(x) for x in others]), F.floor(F.rand(seed * 1000 + 999) * len(others)).cast("int"))
+        df = df.withColumn("_pair", pair).withColumns({f"_p{i}": F.substring("_pair", i - spec.offset + 1, 1) for i in at})
     if dependent and label == 1 and spec is DONOR:
-        df = _dependent(spark, n, parts, seed)
-    else:
-        df = spark.range(n).select("id", *[c.alias(f"_p{i}") for i, c in enumerate(parts)])
+        df = df.withColumns({f"_p{i}": F.when(F.col(f"_p{src}").isin(*seen) & (F.rand(seed * 1000 + 100 + i) < share), F.lit(base)).otherwise(F.col(f"_p{i}")) for i, (base, share, src, seen) in DEPENDENT.items()})
     return df.select(F.concat(*[F.col(f"_p{i}") for i in range(spec.window)]).alias("w"), F.lit(label).alias("label"))
-
-
-def _dependent(spark: SparkSession, n: int, parts: list[Column], seed: int) -> DataFrame:
-    """Draws the free positions first, so that dependent ones see them."""
-    late = (2, 8)
-    df = spark.range(n).select("id", *[c.alias(f"_p{i}") for i, c in enumerate(parts) if i not in late])
-    own = {2: DONOR_WEIGHTS[2], 8: DONOR_WEIGHTS[8]}
-    return df.select("*", *[F.when(F.rand(seed * 1000 + 100 + i) < share, F.col(f"_p{src}")).otherwise(draw(F.rand(seed * 1000 + 200 + i), own[i])).alias(f"_p{i}") for i, src, share in ((2, 0, 0.70), (8, 5, 0.75))])

@@ -1,11 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exonloom.operators import evaluate, features, models, stats, svm
+from exonloom import cli
+from exonloom.operators import evaluate, features, models, scorers, stats, svm
 from exonloom.operators.scan import scan, scan_sequence
+from exonloom.operators.windows import sequences
 from exonloom.sources import synthetic
 from exonloom.sources.store import load_model, save_model
 from exonloom.spec import DONOR
@@ -167,7 +170,8 @@ def test_dual_solver_separates():
     c = svm.balanced_cost(y, 1.0)
     for kernel in ("linear", "rbf", "poly"):
         k = svm.kernel_matrix(x, x, kernel, 0.5, 3)
-        alpha, bias = svm.solve_dual(k, y, c)
+        alpha, bias, converged = svm.solve_dual(k, y, c)
+        assert converged
         s = k @ (alpha * y) + bias
         assert abs((alpha * y).sum()) < 1e-6 and (alpha >= -1e-9).all() and (alpha <= c + 1e-9).all()
         assert (np.sign(s) == y).mean() > 0.95
@@ -207,11 +211,78 @@ def test_store(spark, train, tmp_path):
         load_model(spark, str(tmp_path / "none"))
 
 
+def test_every_kind_is_stored_and_scores_alike(spark, train, tmp_path):
+    w = spark.createDataFrame([(r.w,) for r in train.select("w").distinct().limit(40).collect()] + [(None,), ("ACG",)], "w string")
+    for kind in scorers.KINDS:
+        if kind in ("svm-poly", "svm-sigmoid"):
+            continue
+        m = scorers.fit(kind, train, DONOR, feature_set=("one_hot", "kmer2", "pwm", "chi2_pairs", "ebn_llr"))
+        m.save(spark, str(tmp_path / kind))
+        back = scorers.load(spark, str(tmp_path / kind))
+        got = w.select("w", m.score(F.col("w")).alias("a"), back.score(F.col("w")).alias("b")).collect()
+        assert all((r.a is None or math.isnan(r.a)) == (r.w in (None, "ACG")) for r in got), kind
+        assert all(r.a is None or math.isnan(r.a) or abs(r.a - r.b) < 1e-9 for r in got), kind
+    label = {r.w: r.label for r in train.where("label = 1").collect()}
+    said = [(r.w in label, r.p, r.q) for r in w.where("length(w) = 9").select("w", back.predict(F.col("w")).alias("p"), back.probability(F.col("w")).alias("q")).collect()]
+    assert {p for _, p, _ in said} <= {1, -1} and all(0 <= q <= 1 for _, _, q in said)
+    with pytest.raises(ValueError):
+        scorers.fit("other", train, DONOR)
+
+
+def test_strict_lengths(spark, train):
+    m = models.Network(9, "chain").fit(train)
+    df = spark.createDataFrame([("ACG",), (None,)], "w string")
+    assert [r.s for r in df.select(m.score(F.col("w")).alias("s")).collect()] == [None, None]
+    with pytest.raises(Exception, match="window of 9 symbols"):
+        df.select(m.score(F.col("w"), strict=True)).collect()
+
+
+def test_precomputed_kernel():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = np.where(x[:, 0] + x[:, 1] > 0, 1.0, -1.0)
+    coef, bias = svm.precomputed(x @ x.T, y)
+    assert ((x @ x.T @ coef + bias > 0) == (y > 0)).mean() > 0.9
+    with pytest.raises(ValueError):
+        svm.precomputed(x, y)
+
+
+def test_command_line(spark, tmp_path, capsys, sf):
+    path, out = str(tmp_path / "model"), str(tmp_path / "hits")
+    assert cli.main(["train", "--tables", sf, "--model", "wam", "--path", path]) == 0
+    assert cli.main(["predict", "--path", path, "--predict", "CAGGTAAGTCAGGTAAGT", "--threshold", "-50"]) == 0
+    assert capsys.readouterr().out.count("\t") >= 2
+    assert cli.main(["scan", "--tables", sf, "--path", path, "--threshold", "0", "--out", out]) == 0
+    m = scorers.load(spark, path)
+    want = scan(sequences(spark.read.parquet(f"{sf}/gene_records.parquet"), "record_id"), "record_id", DONOR, m.score, 0.0).count()
+    assert want > 50 and spark.read.option("header", True).option("sep", "\t").csv(out).count() == want
+    with pytest.raises(ValueError):
+        cli.gene_file_set(spark, DONOR, str(tmp_path), f"{tmp_path}/.")
+    with pytest.raises(ValueError):
+        cli.main(["scan", "--tables", sf, "--path", path, "--site", "acceptor"])
+
+
+def test_gene_files(spark, tmp_path):
+    rng = random.Random(8)
+    for side in ("a", "b"):
+        (tmp_path / side).mkdir()
+        for k in range(6):
+            s = "".join(rng.choice("ACGT") for _ in range(400))
+            s = s[:100] + "GT" + s[102:]
+            (tmp_path / side / f"{k}.txt").write_text(f">x\n>x(10..100,200..300)\n{s}\n")
+    got = cli.gene_file_set(spark, DONOR, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert {(r.split, r.label) for r in got.select("split", "label").distinct().collect()} == {("train", 1), ("train", 0), ("test", 1), ("test", 0)}
+
+
 def test_synthetic(spark):
     for label in (0, 1):
-        w = [r.w for r in synthetic.windows(spark, DONOR, 400, label, dependent=True).collect()]
-        assert len(w) == 400 and all(len(x) == 9 and x[3:5] == "GT" for x in w)
-    assert sum(x[2] == x[0] for x in w) > 240
+        w = [r.w for r in synthetic.windows(spark, DONOR, 1000, label, dependent=True).collect()]
+        assert len(w) == 1000 and all(len(x) == 9 and x[3:5] == "GT" for x in w)
+    assert all(r.w[3:5] != "GT" for r in synthetic.windows(spark, DONOR, 500, 0, reject=True).collect())
+    purine, other = [x[2] == "G" for x in w if x[0] in "AG"], [x[2] == "G" for x in w if x[0] in "CT"]
+    assert sum(purine) / len(purine) > 0.75 > 0.65 > sum(other) / len(other)
+    after_a, rest = [x[8] == "T" for x in w if x[5] == "A"], [x[8] == "T" for x in w if x[5] != "A"]
+    assert sum(after_a) / len(after_a) > 0.85 > 0.8 > sum(rest) / len(rest)
 
 
 def test_plot(spark):
