@@ -179,9 +179,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_wor
     kept = masks(min(min_words, tolerant_words or min_words))
     items = items.where("item_id is not null and text is not null").select("item_id", F.lower("text").alias("text")).distinct()
     items = write_table(items, "leak-items")
-    texts = write_table(items.groupBy("text").agg(F.min("item_id").alias("item")), "leak-texts")
-    if texts.groupBy("item").count().where("count > 1").count():  # one id with several texts: number the texts instead
-        texts = write_table(texts.select("text", F.xxhash64("text").alias("item")), "leak-texts")
+    texts = write_table(items.select("text").distinct().withColumn("item", F.xxhash64("text")), "leak-texts")
     index = write_table(index_items(texts, kept), "leak-index")
     sent = docs.sparkSession.sparkContext.broadcast(bloom.build(index))
     docs = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
@@ -189,14 +187,13 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = SPAN, tolerant_wor
     hits = met.select("uid", "doc_id", F.explode(F.arrays_zip("keys", "ats")).alias("x")).select("uid", "doc_id", F.col("x.keys").alias("key"), F.col("x.ats").alias("p"))
     near = write_table(hits.join(index, "key", "left_semi"), "leak-hits")  # what the filter let through by chance goes
     diagonals = join_unique(near, index, "key").select("uid", "doc_id", "item", (F.col("p") - F.col("at")).alias("d")).distinct()
-    item_words = write_table(_word_lists(texts), "leak-item-words")
-    both = join_unique(write_table(diagonals, "leak-diagonals"), item_words, "item").join(met.select("uid", "doc_id", "words"), ["uid", "doc_id"])
+    both = join_unique(write_table(diagonals, "leak-diagonals"), _word_lists(texts), "item").join(met.select("uid", "doc_id", "words"), ["uid", "doc_id"])
     first = F.greatest(F.lit(0), F.col("d"))
     n = F.least(F.size("words"), F.size("item_words") + F.col("d")) - first
     same = F.zip_with(F.slice("words", first + 1, n), F.slice("item_words", first - F.col("d") + 1, n), lambda a, b: a == b)
     found = _measured(both.where(n > 0).select("doc_id", "item", same.alias("same"))).groupBy("doc_id", "item").agg(F.max("exact").alias("exact_words"), F.max("loose").alias("tolerant_words"))
     found = found.where((F.col("exact_words") >= min_words) | (F.col("tolerant_words") >= (tolerant_words or 1 << 62)))
-    members = items.join(texts, "text").select("item_id", "item")
+    members = items.select("item_id", F.xxhash64("text").alias("item"))
     return join_unique(write_table(found, "leak-pairs"), members, "item").groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("tolerant_words").alias("tolerant_words"))
 
 
