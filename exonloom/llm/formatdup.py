@@ -36,7 +36,7 @@ def collapse(df: DataFrame, id_col: str, canon: dict = GENE_CANON) -> tuple[Data
     """(classes, members).
 
     classes: class_id (smallest id), n_copies (all rows of the group), n_variants (distinct raw spellings) and the canonical texts.
-    members: raw_key -> class_id, n_raw, n_copies for each distinct raw row.
+    members: raw_key -> class_id, n_raw, n_copies (of the group) for each distinct raw row.
     Rows in which any canonical text is null or empty are never copies of anything and are in neither. Other columns are ignored,
     whatever their names; ids that occur in several rows count once per row."""
     cols = list(canon)
@@ -47,15 +47,14 @@ def collapse(df: DataFrame, id_col: str, canon: dict = GENE_CANON) -> tuple[Data
         survivors = survivors.where(F.col(c) != "")
     survivors = write_table(survivors.withColumn("canon_key", _key(cols)), "format-survivors")
     classes = survivors.groupBy(*cols, "canon_key").agg(F.min("rep").alias("class_id"), F.sum("n_raw").alias("n_copies"), F.count("*").alias("n_variants"))
-    members = join_unique(survivors.select("raw_key", "canon_key", "n_raw"), classes.select("canon_key", "class_id", "n_copies", "n_variants"), "canon_key", "n_variants")
-    return classes, members.select("raw_key", "class_id", "n_raw")
+    keys = write_table(classes.select("canon_key", "class_id", "n_copies", "n_variants"), "format-classes")
+    members = join_unique(survivors.select("raw_key", "canon_key", "n_raw"), keys, "canon_key", "n_variants")
+    return classes, members.select("raw_key", "class_id", "n_raw", "n_copies")
 
 
 def copies(df: DataFrame, id_col: str, canon: dict = GENE_CANON) -> DataFrame:
     """One row (a, b) for each further copy: a the smallest id of the group, b the copy."""
     cols = list(canon)
-    classes, members = collapse(df, id_col, canon)
-    several = classes.where("n_copies > 1").select("class_id")
-    members = members.join(several, "class_id", "left_semi")
+    members = write_table(collapse(df, id_col, canon)[1].where("n_copies > 1").select("raw_key", "class_id", "n_raw"), "format-members")
     rows = df.select(F.col(id_col).alias("b"), _key(cols).alias("raw_key"))
     return join_unique(rows, members, "raw_key", "n_raw").where("b <> class_id").select(F.col("class_id").alias("a"), "b").distinct()
