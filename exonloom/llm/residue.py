@@ -138,7 +138,10 @@ def sentences(lines: list[str]) -> list[str]:
             text = "\n\n".join([*_texts(json.loads(text.split("\n\n")[0])), *text.split("\n\n")[1:]])
         except ValueError:
             pass
-    text = _HTML.sub("\n\n", text)
+    bare = _HTML.sub("\n\n", text)
+    if text and not bare.strip() and "</" not in text:
+        return [SLOT]  # names in angle brackets that are also tags
+    text = bare
     flat = re.sub(r"\s+", " ", text).strip().lower()
     words = re.findall(r"[^\W_]+", flat)
     if len(words) >= 4 and len(set(words)) <= max(1, len(words) // 3) and len(set(words)) <= 6 or re.fullmatch(r"[x._\s-]{8,}", flat) and "x" in flat or len(words) >= 4 and len(set(re.sub(r"\d+", "", flat).split())) == 1:

@@ -155,6 +155,82 @@ TODO: write a description
 Hier kommt später eine Beschreibung hin.
 Le texte viendra plus tard.
 Nunc sed velit dignissim sodales ut eu sem integer. Tellus molestie nunc non blandit massa enim nec dui.
+JavaScript seems to be off in your browser settings.
+You are using a browser with scripting turned off.
+Please allow scripts to run so that the commit can be displayed.
+This viewer cannot run without JavaScript.
+Enable JS and reload this page to continue.
+The requested page could not be located.
+Something broke on our side. Please come back later.
+The server is overloaded right now. Please try again shortly.
+Your session timed out. Please sign in again.
+You are not authorized to view this repository.
+Error 521: web server is down
+HTTP ERROR 500
+Sorry, we could not load this commit.
+Bad Gateway
+The connection to the server was reset.
+Rate limit exceeded. Try again in 60 seconds.
+Unexpected error. Our team has been notified.
+We are down for maintenance. We will be back soon.
+Internal error: please contact the administrator.
+404 - Page not found
+Type your message here.
+Enter a short description of your changes
+Your text here
+Commit message goes here
+Description to be added
+<title>\n\n<body>
+{{ subject }}\n\n{{ body }}
+[TICKET-ID] <short summary>
+${COMMIT_TITLE}
+TODO: describe the change
+Dummy text, to be replaced
+Lorem ipsum dolor sit amet, consectetur adipiscing elit.
+Donec id elit non mi porta gravida at eget metus. Cras mattis consectetur purus sit amet fermentum.
+Morbi leo risus, porta ac consectetur ac, vestibulum at eros. Aenean lacinia bibendum nulla sed.
+Bitte aktivieren Sie JavaScript, um fortzufahren.
+Ihr Browser unterstützt kein JavaScript.
+Es ist ein unerwarteter Fehler aufgetreten.
+Die angeforderte Seite existiert nicht mehr.
+Zugriff verweigert.
+Hier den Text einfügen
+Veuillez activer JavaScript pour afficher ce contenu.
+La page demandée est introuvable.
+Accès refusé. Vous devez vous connecter.
+Texte à compléter
+Active JavaScript para ver este contenido.
+Se ha producido un error interno. Inténtelo de nuevo.
+Acceso denegado
+Escriba aquí la descripción
+Ative o JavaScript para continuar.
+Ocorreu um erro inesperado. Tente novamente.
+Si è verificato un errore. Riprova.
+Inserire qui la descrizione
+Er is een fout opgetreden. Probeer het opnieuw.
+Toegang geweigerd.
+Något gick fel. Försök igen.
+Åtkomst nekad.
+Adgang nægtet.
+Włącz JavaScript, aby kontynuować.
+Coś poszło nie tak. Spróbuj ponownie.
+Что-то пошло не так. Повторите попытку позже.
+Включите JavaScript для продолжения.
+Внутренняя ошибка сервера.
+Увімкніть JavaScript, щоб продовжити.
+Сторінку не знайдено.
+JavaScript gerekli. Lütfen etkinleştirin.
+Beklenmeyen bir hata oluştu.
+JavaScript を有効にしてページを再読み込みしてください。
+サーバーエラーが発生しました。
+ただいまメンテナンス中です。
+您需要启用 JavaScript 才能继续。
+系统繁忙，请稍后重试。
+找不到页面。
+요청하신 페이지를 찾을 수 없습니다.
+서버 오류가 발생했습니다.
+Jotain meni pieleen. Yritä uudelleen.
+Něco se pokazilo. Zkuste to znovu.
 """
 
 ORDINARY = r"""
@@ -251,4 +327,44 @@ Describe the placeholder syntax
 Commit message template with two slots
 Explain [optional] arguments in the help
 Lorem generator uses a fixed seed
+Show maintenance banner while the server restarts
+Fix typo in the access denied message
+Fall back to plain HTML when scripts are off
+Rename error page template
+Catch unexpected errors in the worker
+Return 404 for deleted commits
+Translate error messages to German
+Retry on connection reset
+Do not show the stack trace to users
+Sessions time out after ten minutes
+Placeholder images for missing avatars
+Template for release notes
+Fill in missing descriptions in the schema
+Log why the connection was refused
+Raise rate limit to 60 requests
+Move scripts to the bottom of the page
+JavaScript bundle is 20 kB smaller
+Server errors now carry a request id
+Pages without a title get a default
+Handle sign in errors
+Fehlermeldung beim Laden der Seite verbessert
+Neue Seite für Wartung
+Message d'erreur plus clair
+Nuevo mensaje de error para sesiones
+Новая страница ошибки
+Улучшено сообщение об ошибке
+エラーメッセージを改善
+优化错误提示
+Nieuwe foutpagina
+Ny felsida
+Nowa strona błędu
+Fix crash when JavaScript is disabled
+The browser check no longer needs cookies
+Notify the team about internal errors
+Maintenance mode for the gateway
+Lorem ipsum text replaced with real copy
+Tests for the not found page
+Text fields accept longer descriptions
+Back off when the rate limit is exceeded
+Insert rows in batches
 """
