@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from exonloom.operators import evaluate, models, stats
@@ -15,16 +18,16 @@ from exonloom.spec import ACCEPTOR, DONOR
 L = DONOR.window
 
 
-def _data(spark, sf_dir):
-    return write_table(strict_windows(spark, sf_dir), "strict")
+def _data(spark, sf_dir, spec=DONOR):
+    return write_table(strict_windows(spark, sf_dir, spec), "strict")
 
 
-def _train(spark, sf_dir):
-    return _data(spark, sf_dir).where("split = 'train'").select("label", "w")
+def _train(spark, sf_dir, spec=DONOR):
+    return _data(spark, sf_dir, spec).where("split = 'train'").select("label", "w")
 
 
-def _pos(spark, sf_dir):
-    return _train(spark, sf_dir).where("label = 1").select("w")
+def _pos(spark, sf_dir, spec=DONOR):
+    return _train(spark, sf_dir, spec).where("label = 1").select("w")
 
 
 def _r(df, *cols):
@@ -43,52 +46,52 @@ def position_freq(spark, sf_dir):
     return _r(stats.position_freq(_pos(spark, sf_dir), L), "p")
 
 
-def wmm_logodds(spark, sf_dir):
-    return _r(models.wmm_table(_train(spark, sf_dir), L), "p", "bg", "log_odds")
+def wmm_logodds(spark, sf_dir, spec=DONOR):
+    return _r(models.wmm_table(_train(spark, sf_dir, spec), spec.window), "p", "bg", "log_odds")
 
 
 def wam_cond_prob(spark, sf_dir):
     return _r(stats.conditional_freq(_pos(spark, sf_dir), L), "p")
 
 
-def wam_information_content(spark, sf_dir):
-    return _r(models.information_content(models.wam_tables(_train(spark, sf_dir), L)), "bits")
+def wam_information_content(spark, sf_dir, spec=DONOR):
+    return _r(models.information_content(models.wam_tables(_train(spark, sf_dir, spec), spec.window)), "bits")
 
 
 def wam_top_transition(spark, sf_dir):
     return _r(models.top_transitions(models.wam_tables(_train(spark, sf_dir), L)), "p")
 
 
-def chi2_pairs(spark, sf_dir):
-    return _r(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir), L)), "score")
+def chi2_pairs(spark, sf_dir, spec=DONOR):
+    return _r(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir, spec), spec.window)), "score")
 
 
-def dependency_pairs_topk(spark, sf_dir):
-    return _r(stats.dependency_pairs(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir), L))), "score")
+def dependency_pairs_topk(spark, sf_dir, spec=DONOR):
+    return _r(stats.dependency_pairs(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir, spec), spec.window))), "score")
 
 
-def dependency_strength(spark, sf_dir):
-    return _r(stats.dependency_strength(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir), L))), "strength")
+def dependency_strength(spark, sf_dir, spec=DONOR):
+    return _r(stats.dependency_strength(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir, spec), spec.window))), "strength")
 
 
-def pair_logodds(spark, sf_dir):
-    return _r(models.pair_log_odds(_train(spark, sf_dir), L), "log_odds")
+def pair_logodds(spark, sf_dir, spec=DONOR):
+    return _r(models.pair_log_odds(_train(spark, sf_dir, spec), spec.window), "log_odds")
 
 
 def joint_smoothed(spark, sf_dir):
     return _r(stats.joint_smoothed(stats.pair_counts(_pos(spark, sf_dir), L)), "p")
 
 
-def _mi(pos):
-    return stats.mutual_information(stats.joint_smoothed(stats.pair_counts(pos, L)), stats.position_freq(pos, L))
+def _mi(pos, length=L):
+    return stats.mutual_information(stats.joint_smoothed(stats.pair_counts(pos, length)), stats.position_freq(pos, length))
 
 
-def mutual_information(spark, sf_dir):
-    return _r(_mi(_pos(spark, sf_dir)), "mi")
+def mutual_information(spark, sf_dir, spec=DONOR):
+    return _r(_mi(_pos(spark, sf_dir, spec), spec.window), "mi")
 
 
-def chowliu_edges(spark, sf_dir):
-    return models.parents_table(spark, models.chow_liu_parents(_mi(_pos(spark, sf_dir)), L)).select("child", "parent")
+def chowliu_edges(spark, sf_dir, spec=DONOR):
+    return models.parents_table(spark, models.chow_liu_parents(_mi(_pos(spark, sf_dir, spec), spec.window), spec.window)).select("child", "parent")
 
 
 def bn_long_range_edges(spark, sf_dir):
@@ -98,12 +101,12 @@ def bn_long_range_edges(spark, sf_dir):
     return _r(e.join(mi, (F.least("child", "parent") == F.col("i")) & (F.greatest("child", "parent") == F.col("j"))).select("child", "parent", "mi"), "mi")
 
 
-def ebn_parents(spark, sf_dir):
-    return models.parents_table(spark, models.ebn_parents(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir), L)), L))
+def ebn_parents(spark, sf_dir, spec=DONOR):
+    return models.parents_table(spark, models.ebn_parents(stats.chi2_pairs(stats.pair_counts(_pos(spark, sf_dir, spec), spec.window)), spec.window))
 
 
-def ebn_cpt(spark, sf_dir):
-    m = models.Network(L, "ebn").fit(_train(spark, sf_dir))
+def ebn_cpt(spark, sf_dir, spec=DONOR):
+    m = models.Network(spec.window, "ebn").fit(_train(spark, sf_dir, spec))
     return _r(m.fg, "p")
 
 
@@ -122,34 +125,34 @@ def wmm_score(spark, sf_dir):
     return _scored(d, lambda w: models.wmm_score(w, t))
 
 
-def wam_score(spark, sf_dir):
-    d = _data(spark, sf_dir)
-    t = models.wam_tables(d.where("split = 'train'"), L)
+def wam_score(spark, sf_dir, spec=DONOR):
+    d = _data(spark, sf_dir, spec)
+    t = models.wam_tables(d.where("split = 'train'"), spec.window)
     return _scored(d, lambda w: models.wam_score(w, t))
 
 
-def depwam_score(spark, sf_dir):
-    d = _data(spark, sf_dir)
+def depwam_score(spark, sf_dir, spec=DONOR):
+    d = _data(spark, sf_dir, spec)
     train = d.where("split = 'train'")
-    t, p = models.wam_tables(train, L), models.pair_log_odds(train, L)
+    t, p = models.wam_tables(train, spec.window), models.pair_log_odds(train, spec.window)
     return _scored(d, lambda w: models.wam_score(w, t) + models.pair_score(w, p))
 
 
-def _network(spark, sf_dir, structure):
-    d = _data(spark, sf_dir)
-    return _scored(d, models.Network(L, structure).fit(d.where("split = 'train'")).score)
+def _network(spark, sf_dir, structure, spec):
+    d = _data(spark, sf_dir, spec)
+    return _scored(d, models.Network(spec.window, structure).fit(d.where("split = 'train'")).score)
 
 
-def bn_chain_score(spark, sf_dir):
-    return _network(spark, sf_dir, "chain")
+def bn_chain_score(spark, sf_dir, spec=DONOR):
+    return _network(spark, sf_dir, "chain", spec)
 
 
-def bn_chowliu_score(spark, sf_dir):
-    return _network(spark, sf_dir, "chow-liu")
+def bn_chowliu_score(spark, sf_dir, spec=DONOR):
+    return _network(spark, sf_dir, "chow-liu", spec)
 
 
-def ebn_score(spark, sf_dir):
-    return _network(spark, sf_dir, "ebn")
+def ebn_score(spark, sf_dir, spec=DONOR):
+    return _network(spark, sf_dir, "ebn", spec)
 
 
 def model_comparison(spark, sf_dir):
@@ -199,14 +202,14 @@ def predictions(spark, sf_dir):
     return s.select("sample_id", "model_name", "label", (F.col("score") >= 0).cast("int").alias("predicted"))
 
 
-def _scan(spark, sf_dir, threshold, context=None):
-    t = models.wmm_table(_train(spark, sf_dir), L)
+def _scan(spark, sf_dir, threshold, context=None, spec=DONOR):
+    t = models.wmm_table(_train(spark, sf_dir, spec), spec.window)
     s = sequences(table(spark, sf_dir, "gene_records"), "record_id")
-    return scan(s, "record_id", DONOR, lambda w: F.round(models.wmm_score(w, t), 6), threshold, context)
+    return scan(s, "record_id", spec, lambda w: F.round(models.wmm_score(w, t), 6), threshold, context)
 
 
-def genome_scan(spark, sf_dir):
-    return _r(_scan(spark, sf_dir, 1.0), "score")
+def genome_scan(spark, sf_dir, spec=DONOR):
+    return _r(_scan(spark, sf_dir, 1.0, spec=spec), "score")
 
 
 def scan_context(spark, sf_dir):
@@ -221,6 +224,15 @@ QUERIES = {
         ebn_score, model_comparison, wmm_evaluation, wmm_backgrounds, acceptor_score, bn_summary, predictions, genome_scan, scan_context,
     )
 }
+#: The same on acceptor windows (23 symbols, 253 pairs of positions).
+AT_ACCEPTORS = [
+    f.__name__
+    for f in (
+        wam_score, depwam_score, chi2_pairs, dependency_pairs_topk, dependency_strength, pair_logodds, mutual_information, chowliu_edges,
+        bn_chain_score, bn_chowliu_score, ebn_parents, ebn_cpt, ebn_score, wmm_logodds, wam_information_content, genome_scan,
+    )
+]
+QUERIES |= {f"acceptor_{name}": partial(QUERIES[name], spec=ACCEPTOR) for name in AT_ACCEPTORS}
 
 _B = "(VALUES ('A'), ('C'), ('G'), ('T'))"
 _POS = f"{strict()}, pw AS (SELECT w FROM tp), nw AS (SELECT w FROM tn), tw AS (SELECT label, w FROM st WHERE split = 'test')"
@@ -302,8 +314,9 @@ def _ebn_score(src: str, keep: str) -> str:
 
 _EBN_TABLES = f"{_EBN}, {_ebn_cpt('pw', 'ef')}, {_ebn_cpt('nw', 'eg')}"
 _WMM_TEST = "sc AS (SELECT label, w, round(sum(log_odds), 6) AS score FROM (SELECT label, w, unnest(range(1, 10)) AS p FROM tw) t JOIN lo ON lo.pos = t.p - 1 AND lo.base = substring(w, t.p::INTEGER, 1) GROUP BY label, w)"
-_SCAN = f"""{_WMM}, {SEQS}, ww AS (SELECT record_id, i::INTEGER AS i, substring(s, i::INTEGER + 1, 9) AS win FROM (SELECT record_id, s, unnest(range(0, length(s) - 8)) AS i FROM s WHERE length(s) >= 9) WHERE substring(s, i::INTEGER + 4, 2) = 'GT'),
-hs AS (SELECT record_id, i + 3 AS pos, win, round(sum(log_odds), 6) AS score FROM (SELECT record_id, i, win, unnest(range(1, 10)) AS p FROM ww) x JOIN lo ON lo.pos = x.p - 1 AND lo.base = substring(win, x.p::INTEGER, 1) GROUP BY record_id, i, win)"""
+_SCAN_OF = lambda wmm, x: f"""{wmm}, {SEQS}, ww AS (SELECT record_id, i::INTEGER AS i, substring(s, i::INTEGER + 1, {x.window}) AS win FROM (SELECT record_id, s, unnest(range(0, length(s) - {x.window - 1})) AS i FROM s WHERE length(s) >= {x.window}) WHERE substring(s, i::INTEGER + {x.offset + 1}, 2) = '{x.motif}'),
+hs AS (SELECT record_id, i + {x.offset} AS pos, win, round(sum(log_odds), 6) AS score FROM (SELECT record_id, i, win, unnest(range(1, {x.window + 1})) AS p FROM ww) x JOIN lo ON lo.pos = x.p - 1 AND lo.base = substring(win, x.p::INTEGER, 1) GROUP BY record_id, i, win)"""
+_SCAN = _SCAN_OF(_WMM, DONOR)
 
 ORACLE = {
     "background_freq_raw": f"WITH {_POS}, {_BG} SELECT base, round(freq, 6) AS freq FROM bg",
@@ -352,3 +365,13 @@ SELECT label, w, round(sum(v), 6) AS score FROM (SELECT label, w, unnest(range(1
     "bn_summary": f"WITH RECURSIVE {_TREE} SELECT count(*) AS n_edges, count(*) FILTER (abs(child - parent) > 1) AS n_long_range FROM wk WHERE parent >= 0",
     "predictions": "SELECT sample_id, model_name, label, (score >= 0)::INTEGER AS predicted FROM scores WHERE score IS NOT NULL AND NOT isnan(score)",
 }
+
+
+def _at_acceptors(sql: str) -> str:
+    """SQL on donor windows, as SQL on acceptor windows: the other split, and ranges of positions that much longer."""
+    more = ACCEPTOR.window - DONOR.window
+    return re.sub(r"range\((0|1|i \+ 1), (8|9|10)\)", lambda m: f"range({m[1]}, {int(m[2]) + more})", sql.replace(strict(), strict(ACCEPTOR)))
+
+
+ORACLE |= {f"acceptor_{name}": _at_acceptors(ORACLE[name]) for name in AT_ACCEPTORS if name != "genome_scan"}
+ORACLE["acceptor_genome_scan"] = f"WITH {_SCAN_OF(_at_acceptors(_WMM), ACCEPTOR)} SELECT record_id, pos, score, win FROM hs WHERE score >= 1"
